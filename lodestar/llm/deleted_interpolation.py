@@ -16,7 +16,7 @@ under estimates from the others.  Scores use the counts of all training document
    document is scored.
 
 Hashes have ``24`` bits more than the logarithm of the expected number of n-grams (62 at most), so
-about one n-gram in 2^24 shares its count with another.  A document is never split, so one very long
+about one longer n-gram in 2^18, and one word in 2^24 at most, shares its count with another.  A document is never split, so one very long
 document is a block by itself.
 
 Defined results: a null or empty text is its end token only; rows of a null doc_id are scored,
@@ -37,31 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, get_bytes, lower_words, n_parts, new_path, put_bytes, ship
+from .common import cut, docs_of, get_bytes, hash_words, mix, n_parts, new_path, put_bytes, release, ship
 
 HELD, FIT, DELETED = 0, 1, 2
 LEVELS, STEP = 14, 2  # context buckets: powers of two; ratio bins: STEP to an octave
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(self) < 400_000:
-            self[w] = h
-        return h
-
-
-_HASHES = _Hashes()
-_START, _END = b" start", b" end"  # no word holds a space
+#: Hashes of the start and the end of a document; no word has them but by chance.
+START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
 def pack_ints(x: np.ndarray) -> bytes:
@@ -104,31 +85,39 @@ class Block:
         prev2 = np.roll(prev, 1)
         prev2[lead] = hashes[lead]
         with np.errstate(over="ignore"):
-            two = _mix(hashes + np.uint64(0x9E3779B97F4A7C15) * _mix(prev + np.uint64(2)))
-            three = _mix(two + np.uint64(0xD1B54A32D192ED03) * _mix(prev2 + np.uint64(3)))
-        # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.
-        put = lambda h, order: (h >> np.uint64(64 - bits) & ~np.uint64(3)) | order
-        one = put(_mix(hashes), np.where(lead, 0, 1).astype(np.uint64))
-        self.keys = (one, put(two, np.uint64(2)), put(three, np.uint64(3)))
-        self.unique = np.unique(np.concatenate([one, self.keys[1], self.keys[2][self.token]]))
+            two = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * mix(prev + np.uint64(2)))
+            three = mix(two + np.uint64(0xD1B54A32D192ED03) * mix(prev2 + np.uint64(3)))
+        # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.  Longer
+        # n-grams keep six bits less than words, which are counted exactly.
+        cut_ = np.uint64(64 - bits)
+        one = (mix(hashes) >> cut_ & ~np.uint64(3)) | (~lead).astype(np.uint64)
+        two = (two >> cut_ & ~np.uint64(255)) | np.uint64(2)
+        three = (three >> cut_ & ~np.uint64(255)) | np.uint64(3)
+        every = np.concatenate([one, two, three])
+        order = np.argsort(every)
+        ranked = every[order]
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        self.unique = ranked[new]
+        group = np.empty(3 * n, np.int32)
+        group[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.at = group.reshape(3, n)
 
     def counts(self, role: int) -> np.ndarray:
         pick = self.role == role
-        u, c = np.unique(np.concatenate([self.keys[0][pick], self.keys[1][pick], self.keys[2][pick & self.token]]), return_counts=True)
-        out = np.zeros(len(self.unique), np.uint32)
-        out[np.searchsorted(self.unique, u)] = c
-        return out
+        at = np.concatenate([self.at[0][pick], self.at[1][pick], self.at[2][pick & self.token]])
+        return np.bincount(at, minlength=len(self.unique)).astype(np.uint32)
 
     def lookups(self, totals: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, ...]:
         """c1, c2, c3 and the counts of both contexts at the tokens in ``pick`` (positions)."""
-        at = lambda keys, p: totals[np.searchsorted(self.unique, keys[p])].astype(np.float64)
-        k1, k2, k3 = self.keys
-        return at(k1, pick), at(k2, pick), at(k3, pick), at(k1, pick - 1), at(k2, pick - 1)
+        c = totals.astype(np.float64)
+        one, two, three = self.at
+        return c[one[pick]], c[two[pick]], c[three[pick]], c[one[pick - 1]], c[two[pick - 1]]
 
-    def dump(self, hashes: np.ndarray, ids: list) -> bytes:
+    @staticmethod
+    def dump(hashes: np.ndarray, lengths: np.ndarray, roles: np.ndarray, ids: list) -> bytes:
         vocab, local = np.unique(hashes, return_inverse=True)
         known = np.array([i is not None for i in ids], np.uint8)
-        parts = [pack_keys(vocab), pack_ints(local.astype(np.uint32)), pack_ints(self.lengths.astype(np.int64)), pack_ints(self.roles.astype(np.uint8)),
+        parts = [pack_keys(vocab), pack_ints(local.astype(np.uint32)), pack_ints(lengths.astype(np.int64)), pack_ints(roles.astype(np.uint8)),
                  pack_ints(np.array([i or 0 for i in ids], np.int64)), pack_ints(known)]
         return b"".join(struct.pack("<I", len(p)) + p for p in parts)
 
@@ -215,21 +204,15 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 300_
             block = uuid.uuid4().int >> 66
             roles = np.array([role_of(i, mod, held) for i in ids], np.uint8)
             h, n = np.concatenate(hashes), np.array(lengths, np.int64)
-            b = Block.__new__(Block)
-            b.lengths, b.roles = n, roles
-            put_bytes(where(block), b.dump(h, ids))
+            put_bytes(where(block), Block.dump(h, n, roles, ids))
             fit, gone = (int(n[roles == r].sum()) for r in (FIT, DELETED))
             ids, hashes, lengths, size = [], [], [], 0
             return pa.RecordBatch.from_pylist([{"block": block, "fit": fit, "gone": gone}], schema=pa.schema([("block", pa.int64()), ("fit", pa.int64()), ("gone", pa.int64())]))
 
-        start, end = _HASHES[_START], _HASHES[_END]
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = lower_words(text)
-                h = np.empty(len(words) + 2, np.uint64)
-                h[0], h[-1] = start, end
-                h[1:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-                ids.append(doc_id), hashes.append(h), lengths.append(len(words) + 1)
+                h = np.concatenate(([START], hash_words(text), [END]))
+                ids.append(doc_id), hashes.append(h), lengths.append(len(h) - 1)
                 size += len(h)
                 if size >= block_tokens:
                     yield flush()
@@ -261,45 +244,44 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 300_
         rows, at = [(key[0], -1, struct.pack("<qq", int((ones & (sums[0] > 0)).sum()), int((ones & (sums[0] + sums[1] > 0)).sum())), b"")], 0
         for block, k in zip(pdf["block"], keys, strict=True):
             g = group[at : at + len(k)]
-            rows.append((key[0], block, pack_ints(sums[0][g]), pack_ints(sums[1][g])))
+            rows.append((key[0], block, pack_ints(sums[0][g]), pack_ints(sums[0][g] + sums[1][g])))
             at += len(k)
-        return pd.DataFrame(rows, columns=["bucket", "block", "fit", "gone"])
+        return pd.DataFrame(rows, columns=["bucket", "block", "fit", "all"])
 
     spread = blocks.select("block").repartition(4 * n_parts(spark), "block")
-    totals = cut(spread.mapInPandas(send, "bucket int, block long, keys binary, fit binary, gone binary").groupBy("bucket").applyInPandas(add_up, "bucket int, block long, fit binary, gone binary"), "lm-totals")
+    totals = cut(spread.mapInPandas(send, "bucket int, block long, keys binary, fit binary, gone binary").groupBy("bucket").applyInPandas(add_up, "bucket int, block long, fit binary, all binary"), "lm-totals")
+    release(spark)
     v_fit = v_all = 0
     for r in totals.where("block = -1").select("fit").collect():  # one row for each bucket
         x, y = struct.unpack("<qq", r["fit"])
         v_fit, v_all = v_fit + x, v_all + y
-    own = totals.where("block <> -1").groupBy("block")
+    own = lambda what: totals.where("block <> -1").select("bucket", "block", F.col(what).alias("counts")).groupBy("block")
 
-    def gathered(pdf: pd.DataFrame, *cols: str) -> list[np.ndarray]:
-        pdf = pdf.sort_values("bucket")
-        return [np.concatenate([unpack_ints(x, np.uint32) for x in pdf[c]]) for c in cols]
+    def gathered(pdf: pd.DataFrame) -> np.ndarray:
+        return np.concatenate([unpack_ints(x, np.uint32) for x in pdf.sort_values("bucket")["counts"]])
 
     def histogram(key, pdf: pd.DataFrame) -> pd.DataFrame:
         b, _ = Block.load(get_bytes(where(key[0])), bits)
-        (fit,) = gathered(pdf, "fit")
         pick = np.flatnonzero(b.token & (b.role == DELETED))
-        p1, p2, p3, level = estimates(b.lookups(fit, pick), total.fit, v_fit)
+        p1, p2, p3, level = estimates(b.lookups(gathered(pdf), pick), total.fit, v_fit)
         code, n = np.unique((level * 256 + _bin(p2, p1)) * 256 + _bin(p3, p1), return_counts=True)
         return pd.DataFrame({"code": code, "n": n})
 
-    seen = own.applyInPandas(histogram, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
+    seen = own("fit").applyInPandas(histogram, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     weights = learn_weights(seen["code"].to_numpy(np.int64), seen["n"].to_numpy(float))
+    release(spark)
     n_all = total.fit + total.gone
 
     def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         b, ids = Block.load(get_bytes(where(key[0])), bits)
-        counts = np.add(*gathered(pdf, "fit", "gone"))
         pick = np.flatnonzero(b.token)
-        p1, p2, p3, level = estimates(look := b.lookups(counts, pick), n_all, v_all)
+        p1, p2, p3, level = estimates(look := b.lookups(gathered(pdf), pick), n_all, v_all)
         w = weights[level]
         starts = np.concatenate(([0], np.cumsum(b.lengths)))[:-1].astype(np.int64)
         sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731  each document has its end token
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": b.lengths, "n_known": sums((look[0] > 0).astype(np.int64)), "base_score": sums(np.log10(p1)),
                              "score": sums(np.log10(w[:, 0] * p1 + w[:, 1] * p2 + w[:, 2] * p3))})
 
-    scored = own.applyInPandas(judge, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = own("all").applyInPandas(judge, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     is_held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == held, F.lit(False))
     return scored.select("doc_id", is_held.alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

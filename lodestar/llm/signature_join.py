@@ -39,44 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, docs_of, lower_words, n_parts, ship
+from .common import components, cut, docs_of, hash_words, mix, n_parts, ship
 
 BUCKETS, LEAF, FAN = 512, 8, 6
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; the table stops growing when full."""
-
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(self) < 300_000:
-            self[w] = h
-        return h
-
-
-_WORDS = WordHashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct hashes of the word windows; a shorter text is one window; no word: none."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = hash_words(text)
+    if not len(h):
+        return h
     k = min(width, len(h))
     n = len(h) - k + 1
     with np.errstate(over="ignore"):
         acc = np.full(n, 0x9E3779B97F4A7C15 + k, np.uint64)
         for i in range(k):
-            acc = _mix(acc * np.uint64(0x100000001B3) + h[i : i + n])
+            acc = mix(acc * np.uint64(0x100000001B3) + h[i : i + n])
     return np.unique(acc)
 
 
