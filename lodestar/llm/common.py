@@ -6,7 +6,6 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 import zlib
 from pathlib import Path
 
@@ -14,25 +13,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import ship  # noqa: F401
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lodestar_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    sc._lodestar_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
