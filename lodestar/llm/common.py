@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import os
+import struct
 import tempfile
+import time
 import uuid
 import zlib
 from pathlib import Path
@@ -100,8 +102,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage, upon which Spark removes the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works behind the collector's back
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    """Byte planes of little-endian numbers, compressed."""
+    import zstandard
+
+    x = np.ascontiguousarray(x)
+    return struct.pack("<IB", len(x), x.dtype.itemsize) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def unpack_ints(data: bytes, dtype) -> np.ndarray:
+    import zstandard
+
+    n, width = struct.unpack("<IB", data[:5])
+    raw = zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=max(1, n * width))
+    return np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().reshape(-1).view(dtype) if n else np.zeros(0, dtype)
+
+
+def pack_keys(sorted_keys: np.ndarray) -> bytes:
+    return pack_ints(np.diff(sorted_keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_ints(data, np.uint64), dtype=np.uint64)
 
 
 def lower_words(text: bytes) -> list[bytes]:

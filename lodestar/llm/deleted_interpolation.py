@@ -16,7 +16,7 @@ under estimates from the others.  Scores use the counts of all training document
    document is scored.
 
 Hashes have ``24`` bits more than the logarithm of the expected number of n-grams (62 at most), so
-about one longer n-gram in 2^18, and one word in 2^24 at most, shares its count with another.  A document is never split, so one very long
+about one longer n-gram in 2^14, and one word in 2^24 at most, shares its count with another.  A document is never split, so one very long
 document is a block by itself.
 
 Defined results: a null or empty text is its end token only; rows of a null doc_id are scored,
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, get_bytes, hash_words, mix, n_parts, new_path, put_bytes, release, ship
+from .common import cut, docs_of, get_bytes, hash_words, mix, n_parts, new_path, pack_ints, pack_keys, put_bytes, release, ship, unpack_ints, unpack_keys
 
 HELD, FIT, DELETED = 0, 1, 2
 LEVELS, STEP = 14, 2  # context buckets: powers of two; ratio bins: STEP to an octave
@@ -45,30 +45,6 @@ LEVELS, STEP = 14, 2  # context buckets: powers of two; ratio bins: STEP to an o
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
-def pack_ints(x: np.ndarray) -> bytes:
-    """Byte planes of little-endian numbers, compressed."""
-    import zstandard
-
-    x = np.ascontiguousarray(x)
-    return struct.pack("<IB", len(x), x.dtype.itemsize) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
-
-
-def unpack_ints(data: bytes, dtype) -> np.ndarray:
-    import zstandard
-
-    n, width = struct.unpack("<IB", data[:5])
-    raw = zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=max(1, n * width))
-    return np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().reshape(-1).view(dtype) if n else np.zeros(0, dtype)
-
-
-def pack_keys(sorted_keys: np.ndarray) -> bytes:
-    return pack_ints(np.diff(sorted_keys, prepend=np.uint64(0)))
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack_ints(data, np.uint64), dtype=np.uint64)
-
-
 class Block:
     """Documents as word hashes, each led by the start sign; ``first`` has each document's position."""
 
@@ -88,11 +64,11 @@ class Block:
             two = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * mix(prev + np.uint64(2)))
             three = mix(two + np.uint64(0xD1B54A32D192ED03) * mix(prev2 + np.uint64(3)))
         # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.  Longer
-        # n-grams keep six bits less than words, which are counted exactly.
+        # n-grams keep ten bits less than words, which are counted all but exactly.
         cut_ = np.uint64(64 - bits)
         one = (mix(hashes) >> cut_ & ~np.uint64(3)) | (~lead).astype(np.uint64)
-        two = (two >> cut_ & ~np.uint64(255)) | np.uint64(2)
-        three = (three >> cut_ & ~np.uint64(255)) | np.uint64(3)
+        two = (two >> cut_ & ~np.uint64(4095)) | np.uint64(2)
+        three = (three >> cut_ & ~np.uint64(4095)) | np.uint64(3)
         every = np.concatenate([one, two, three])
         order = np.argsort(every)
         ranked = every[order]

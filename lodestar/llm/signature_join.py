@@ -4,11 +4,11 @@ Exact links between documents whose word-shingle sets have a Jaccard similarity
 ``num``/100, and the classes that the links form.
 
 1. Each document's shingles become a sorted set of 64-bit hashes; only its size, a 128-bit digest of
-   the set and its prefix (the first n - ceil(t n) + 1 hashes in one global order) are stored.  Two
+   the set and, packed by hash bucket, its prefix (the first n - ceil(t n) + 1 hashes in one global order) are stored.  Two
    sets that link share a prefix hash, in any fixed order; ours puts hashes that are frequent in a
    sample of documents last, so shared passages rarely fall into a prefix.
-2. Documents of one digest are one class; only its smallest doc_id goes on (copies of any number cost
-   one row).
+2. Documents of one digest are one class, named by its smallest doc_id.  Copies within a batch go on
+   once, so a group of copies costs an entry for each batch.
 3. Sets that share a prefix hash are joined to the smallest of them; connected components of this
    graph are the regions within which links can lie.
 4. The texts of the sets in regions of two or more meet by region, once each.  In a region a signature
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, docs_of, hash_words, mix, n_parts, ship
+from .common import components, cut, docs_of, hash_words, mix, n_parts, pack_ints, pack_keys, ship, unpack_ints, unpack_keys
 
 BUCKETS, LEAF, FAN = 512, 8, 6
 
@@ -217,25 +217,50 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     late = spark.sparkContext.broadcast(frequent_hashes(docs, width, sample, bound))
 
+    buckets = 1 << max(3, (n_parts(spark) - 1).bit_length())
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and for each batch and bucket one row of packed prefix hashes with their documents."""
+        names = ["doc_id", "n", "h1", "h2", "bucket", "keys", "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
-            n, h1, h2, pre = [], [], [], []
-            for t in b.column("text").to_pylist():
+            n, h1, h2, heads = [], [], [], {}
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t, width)
                 x, y = digest(s)
                 n.append(len(s)), h1.append(x), h2.append(y)
-                pre.append(prefix(s, late.value, num).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "pre"])
-
-    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, pre array<long>"), "sets")
-    full = described.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    # One row per class goes on; its prefix comes from its smallest document.
-    heads = cut(full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["h1", "h2"]).select("doc_id", "n", F.explode("pre").alias("p")), "prefixes")
-    shared = heads.groupBy("p").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a != z").select("p", "a")
-    pairs = heads.join(shared, "p").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
+                if len(s) and i is not None and ((x, y) not in heads or i < heads[x, y][0]):  # copies in a batch go on once
+                    heads[x, y] = (i, heads[x, y][1] if (x, y) in heads else prefix(s, late.value, num))
+            rows = len(n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, kinds[1]), pa.array(h1, kinds[2]), pa.array(h2, kinds[3]), *(pa.nulls(rows, k) for k in kinds[4:])], names=names)
+            if heads:
+                keys = np.concatenate([p for _, p in heads.values()])
+                ids = np.repeat(np.array([i for i, _ in heads.values()], np.int64), [len(p) for _, p in heads.values()])
+                order = np.argsort(keys)
+                keys, ids = keys[order], ids[order]
+                ends = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
+                cuts = np.concatenate(([0], ends, [len(keys)]))
+                some = [(k, s, e) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array([k for k, _, _ in some], kinds[4]), pa.array([pack_keys(keys[s:e]) for _, s, e in some], kinds[5]),
+                                                  pa.array([pack_ints(ids[s:e]) for _, s, e in some], kinds[6])], names=names)
+
+    def meet(key, pdf):
+        """Documents of one prefix hash, each joined to the smallest of them."""
+        import pandas as pd
+
+        keys, ids = np.concatenate([unpack_keys(x) for x in pdf["keys"]]), np.concatenate([unpack_ints(x, np.int64) for x in pdf["ids"]])
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+        low = ids[first][np.cumsum(first) - 1]
+        return pd.DataFrame({"a": low[low != ids], "b": ids[low != ids]}).drop_duplicates()
+
+    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, bucket int, keys binary, ids binary"), "sets")
+    sets = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    pairs = described.where("bucket IS NOT NULL").select("bucket", "keys", "ids").groupBy("bucket").applyInPandas(meet, "a long, b long")
     regions = components(pairs)
-    members = cut(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(classes.select(F.col("rep").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "regions")
+    members = cut(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
     half = region_limit // 2
     large = members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > region_limit)
     split = members.join(large, "region", "left_semi")
@@ -279,5 +304,5 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int
     links = met.mapInPandas(link, "a long, b long")
     found = components(links)
     own = classes.select("h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
-    out = described.drop("pre").join(own, ["h1", "h2"], "left")
+    out = sets.join(own, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
