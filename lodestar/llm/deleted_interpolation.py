@@ -161,7 +161,7 @@ def learn_weights(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np
     return w / w.sum(1, keepdims=True)
 
 
-def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 300_000) -> DataFrame:
+def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     import pandas as pd
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 300_
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = np.concatenate(([START], hash_words(text), [END]))
+                h = np.concatenate(([START], hash_words(text) & ~np.uint64(255), [END]))  # 56 bits: stored smaller
                 ids.append(doc_id), hashes.append(h), lengths.append(len(h) - 1)
                 size += len(h)
                 if size >= block_tokens:
