@@ -9,8 +9,8 @@ Exact links between documents whose word-shingle sets have a Jaccard similarity
    sample of documents last, so shared passages rarely fall into a prefix.
 2. Documents of one digest are one class, named by its smallest doc_id.  Copies within a batch go on
    once, so a group of copies costs an entry for each batch.
-3. Sets that share a prefix hash are joined to the smallest of them; connected components of this
-   graph are the regions within which links can lie.
+3. Sets that share a prefix hash are put in order of size and joined where no gap in size rules out
+   a link; connected components of this graph are the regions within which links can lie.
 4. The texts of the sets in regions of two or more meet by region, once each.  In a region a signature
    tree is built over the sets by size: a node holds the OR of its members' token bitmaps and their
    size range.  Dual traversal compares nodes, prunes a pair of nodes when the maximum possible
@@ -205,11 +205,11 @@ def frequent_hashes(docs: DataFrame, width: int, sample: int, bound: int) -> np.
     n = docs.count()
     part = max(1, n // sample)
     rows = docs_of(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(part)) == 0)
-    got = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(bound).select("h").toPandas()
+    got = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "h").limit(bound).select("h").toPandas()
     return np.sort(got["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int = 8_000, bound: int = 60_000,
+def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int = 20_000, bound: int = 200_000,
                     region_limit: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
@@ -221,8 +221,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and for each batch and bucket one row of packed prefix hashes with their documents."""
-        names = ["doc_id", "n", "h1", "h2", "bucket", "keys", "ids"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["doc_id", "n", "h1", "h2", "bucket", "keys", "ids", "sizes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for b in batches:
             n, h1, h2, heads = [], [], [], {}
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -230,35 +230,38 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int
                 x, y = digest(s)
                 n.append(len(s)), h1.append(x), h2.append(y)
                 if len(s) and i is not None and ((x, y) not in heads or i < heads[x, y][0]):  # copies in a batch go on once
-                    heads[x, y] = (i, heads[x, y][1] if (x, y) in heads else prefix(s, late.value, num))
+                    heads[x, y] = (i, *(heads[x, y][1:] if (x, y) in heads else (prefix(s, late.value, num), len(s))))
             rows = len(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, kinds[1]), pa.array(h1, kinds[2]), pa.array(h2, kinds[3]), *(pa.nulls(rows, k) for k in kinds[4:])], names=names)
             if heads:
-                keys = np.concatenate([p for _, p in heads.values()])
-                ids = np.repeat(np.array([i for i, _ in heads.values()], np.int64), [len(p) for _, p in heads.values()])
+                keys = np.concatenate([p for _, p, _ in heads.values()])
+                ids = np.repeat(np.array([(i, m) for i, _, m in heads.values()], np.int64), [len(p) for _, p, _ in heads.values()], axis=0)
                 order = np.argsort(keys)
-                keys, ids = keys[order], ids[order]
+                keys, ids, sizes = keys[order], ids[order, 0], ids[order, 1].astype(np.uint32)
                 ends = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
                 cuts = np.concatenate(([0], ends, [len(keys)]))
                 some = [(k, s, e) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array([k for k, _, _ in some], kinds[4]), pa.array([pack_keys(keys[s:e]) for _, s, e in some], kinds[5]),
-                                                  pa.array([pack_ints(ids[s:e]) for _, s, e in some], kinds[6])], names=names)
+                                                  pa.array([pack_ints(ids[s:e]) for _, s, e in some], kinds[6]), pa.array([pack_ints(sizes[s:e]) for _, s, e in some], kinds[7])], names=names)
 
     def meet(key, pdf):
-        """Documents of one prefix hash, each joined to the smallest of them."""
+        """Documents of one prefix hash in order of size; each run without a gap too large for a link is joined to its first.
+
+        Two sets that link have no such gap between them, as every set between is nearer in size to both."""
         import pandas as pd
 
         keys, ids = np.concatenate([unpack_keys(x) for x in pdf["keys"]]), np.concatenate([unpack_ints(x, np.int64) for x in pdf["ids"]])
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+        sizes = np.concatenate([unpack_ints(x, np.uint32) for x in pdf["sizes"]]).astype(np.int64)
+        order = np.lexsort((ids, sizes, keys))
+        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (100 * sizes[:-1] < num * sizes[1:])))
         low = ids[first][np.cumsum(first) - 1]
         return pd.DataFrame({"a": low[low != ids], "b": ids[low != ids]}).drop_duplicates()
 
-    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, bucket int, keys binary, ids binary"), "sets")
+    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, bucket int, keys binary, ids binary, sizes binary"), "sets")
     sets = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    pairs = described.where("bucket IS NOT NULL").select("bucket", "keys", "ids").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    pairs = described.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "sizes").groupBy("bucket").applyInPandas(meet, "a long, b long")
     regions = components(pairs)
     members = cut(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
     half = region_limit // 2
