@@ -28,7 +28,7 @@ class PieceEncoder(dict):
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.mode, self.limit = mode, limit
+        self.mode, self.limit, self.spaced = mode, limit, Spaced(self)
         self.width = width if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 8 * width else 4
         # Where the tokenizer folds case itself, folding A-Z beforehand changes nothing and halves the table.
         self.folds = all(self.whole_ids(c.upper()) == self.whole_ids(c) for c in "abcdefghijklmnopqrstuvwxyz")
@@ -46,13 +46,16 @@ class PieceEncoder(dict):
         Once the table is full no entry is added: the words met first are the frequent ones."""
         if len(piece) > 200:
             return self.whole(piece)
+        parts = _LEAD.findall(piece) if self.mode == "lead" and not piece.isspace() else [piece]
         text = piece.decode("utf-8", "replace")
         head = text.rstrip(_TAIL)
-        if head and len(head) < len(text) and (head[-1].isalpha() or head[-1] in "0123456789"):
+        if len(parts) > 1:
+            ids = b"".join(map(self.__getitem__, parts))
+        elif head and len(head) < len(text) and (head[-1].isalpha() or head[-1] in "0123456789"):
             ids = self[head.encode()] + self[text[len(head) :].encode()]
         else:
             ids = self.whole(piece)
-        if len(self) < self.limit:
+        if len(self) < self.limit and piece[:1] != b" ":
             self[piece] = ids
         return ids
 
@@ -63,7 +66,24 @@ class PieceEncoder(dict):
             return b"".join(map(self.__getitem__, text.split()))
         if not text.isascii() and _ODD.search(text.decode("utf-8", "replace")):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _LEAD.findall(text)))
+        if b"  " in text or text[-1:] == b" ":
+            return b"".join(map(self.__getitem__, _LEAD.findall(text)))
+        # Without double spaces a cut before each space is safe; what a piece holds beyond one word is cut when it is first met.
+        first, *rest = text.split(b" ")
+        return (self[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+
+
+class Spaced(dict):
+    """Pieces by what follows their leading space."""
+
+    def __init__(self, owner: PieceEncoder):
+        self.owner = owner
+
+    def __missing__(self, rest: bytes) -> bytes:
+        ids = self.owner[b" " + rest]
+        if len(self) < self.owner.limit:
+            self[rest] = ids
+        return ids
 
 
 _ENCODERS: dict = {}

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, docs_of, hash_words, mix, n_parts, pack_ints, pack_keys, ship, unpack_ints, unpack_keys
+from .common import components, cut, docs_of, hash_words, mix, n_parts, pack_ints, pack_keys, release, ship, unpack_ints, unpack_keys
 
 BUCKETS, LEAF, FAN = 512, 8, 6
 
@@ -209,7 +209,7 @@ def frequent_hashes(docs: DataFrame, width: int, sample: int, bound: int) -> np.
     return np.sort(got["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int = 20_000, bound: int = 200_000,
+def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int = 40_000, bound: int = 400_000,
                     region_limit: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
@@ -264,6 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int
     pairs = described.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "sizes").groupBy("bucket").applyInPandas(meet, "a long, b long")
     regions = components(pairs)
     members = cut(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
+    release(spark)
     half = region_limit // 2
     large = members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > region_limit)
     split = members.join(large, "region", "left_semi")

@@ -1,0 +1,222 @@
+"""Brute-force, round-trip and edge-case tests of the training-data operators on small tables."""
+
+import collections
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import bm25_packing, boosted_quality, common, deleted_interpolation, latent_decontam, quality_rules, signature_join, surrogates, token_frames, toxicity, url_filter
+from lodestar.llm.pieces import PieceEncoder
+
+SF = "/root/testdata/sf0.001"
+WORD, BYTE = common.tokenizer_path("word_bpe_49k.json"), common.tokenizer_path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Real documents, and nulls, empty and long texts, repeated rows and a column of a clashing name."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = [(9001, None), (9002, ""), (9003, " \n "), (9004, "one"), (9005, "same words here again and again " * 3), (9006, "same words here again and again " * 3), (9006, "same words here again and again " * 3),
+           (None, "a text without an id"), (9007, "long " * 30000), (9008, "\u00a0odd\u2003space  two   three \x1c end ")]
+    return common.cut(real.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("n", F.lit("clash")).withColumn("bucket", F.lit(1)))
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def rows(docs):
+    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("path,mode", [(WORD, "drop"), (BYTE, "lead")])
+def test_pieces_equal_whole(docs, path, mode):
+    e = PieceEncoder(path, mode)
+    for t in [t for _, t in rows(docs)] + ["a  b\n\n c", "x\n y", "don't  it's 12,345!\r\n\r\nfoo", "a\n\n b\n \n b", " lead", "trail ", "\u039f\u0394\u039f\u03a3 <|endoftext|>"]:
+        assert e.encode(t.encode()) == e.whole(t.encode()), t[:50]
+
+
+def test_frames_round_trip(spark, docs, empty):
+    m = token_frames.write(docs, WORD)
+    got = sorted(token_frames.read(m).collect(), key=lambda r: r.start)
+    e, at = PieceEncoder(WORD, "drop"), 0
+    want = sorted(rows(docs), key=lambda r: (r[0] is not None, r[0], r[1].encode()))
+    for r, (i, t) in zip(got, want, strict=True):
+        ids = np.frombuffer(e.whole(t.encode()), "<u2").astype("<u4").tobytes() + b"\1\0\0\0"
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (i, at, len(ids) // 4, zlib.crc32(ids), ids)
+        at += len(ids) // 4
+    assert {r.doc_id for r in token_frames.read(m, [9002, 5]).collect()} == {9002, 5}
+    assert token_frames.read(token_frames.write(empty, WORD)).count() == 0
+
+
+def test_frames_notice_damage():
+    w = token_frames.ShardWriter(2)
+    w.add(1, b"\1\0" * 50), w.add(2, b"\2\0" * 50)
+    data = bytearray(w.finish())
+    assert token_frames.ShardReader.from_bytes(bytes(data)).ids(1).tolist() == [2] * 50
+    data[-14] ^= 1  # the checksum of the last frame
+    with pytest.raises(ValueError):
+        token_frames.ShardReader.from_bytes(bytes(data)).ids(1)
+
+
+def test_interpolation_base(docs, empty):
+    got = deleted_interpolation.score(docs, block_tokens=3000).collect()
+    tok = [(i, t.encode().lower().split() + [b" end"]) for i, t in rows(docs)]
+    c = collections.Counter(w for i, t in tok if i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(i), len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for i, t in tok)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert all(r.train_tokens == n for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert deleted_interpolation.score(empty).count() == 0
+
+
+def test_em_finds_the_better_estimate():
+    codes = np.array([(5 * 14 + 5) * 65536 + (61 + 10) * 256 + 0])
+    w = deleted_interpolation.learn_weights(codes, np.array([1000.0]))
+    assert w[5 * 14 + 5].argmax() == 1 and np.allclose(w.sum(1), 1)
+
+
+def test_classifiers(spark, empty):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for mod, col in ((boosted_quality, "quality"), (toxicity, "toxic")):
+        model = mod.train(d, labels)
+        m = mod.score(d, model).join(labels, "doc_id").where("held_out").toPandas()
+        assert (m.predicted == m[col]).mean() > 0.93 and m.score.between(0, 1).all()
+        assert mod.score(empty, model).count() == 0
+        assert mod.score(d, mod.train(d, labels.limit(0))).limit(5).count() == 5
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
+    assert boosted_quality.score(odd, boosted_quality.train(d, labels)).count() == 3
+
+
+def test_lexicon_fuzzy_and_quotation():
+    lex = toxicity.Lexicon({"worthless": 5.0, "idiot": 5.0}, {"moro": 4.0})
+    assert lex.weight("worthles") == (5.0, True) and lex.weight("wrothless") == (5.0, True) and lex.weight("wrthles") == (0.0, False)
+    assert lex.weight("morons") == (4.0, False) and lex.weight("table")[0] == 0
+    plain, quoted = toxicity.features("you are an idiot", lex), toxicity.features('he said "idiot" and left', lex)
+    assert plain[0] > quoted[0] and quoted[1] > 0
+    for a in ("worthless", "idiot"):  # the automaton against edit distance by brute force
+        for b in ("worthless", "worhless", "worthlessx", "wXrthless", "idio", "idoit", "iditos", "xidiot"):
+            def dist(s, t):
+                if s == t:
+                    return 0
+                one = {s[:i] + s[i + 1:] for i in range(len(s))} | {s[:i] + c + s[i:] for i in range(len(s) + 1) for c in t} | {s[:i] + c + s[i + 1:] for i in range(len(s)) for c in t} | {s[:i] + s[i + 1] + s[i] + s[i + 2:] for i in range(len(s) - 1)}
+                return 1 if t in one else 2
+            assert (toxicity.Trie({a: 1.0}, {}).within_one(b) > 0) == (dist(b, a) <= 1), (a, b)
+
+
+def test_rules(docs, empty):
+    got = {(r.doc_id, r.n_words): r for r in quality_rules.judge(docs).collect()}
+    for i, t in rows(docs):
+        w = t.encode().split()
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {k + j for k in range(len(w) - 2) if c[tuple(w[k:k + 3])] > 1 for j in range(3)}
+        r = got[i, len(w)]
+        assert (r.n_repeat_words, r.base_failed) == (len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))
+    assert quality_rules.judge(empty).count() == 0
+
+
+def test_decontamination_against_brute_force(spark, empty):
+    d, b = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(d, b).collect()}
+    items = {r.item_id: latent_decontam.word_codes(r.text.encode()) for r in b.collect()}
+    want = set()
+    for i, t in rows(d):
+        codes = latent_decontam.word_codes(t.encode())
+        for k, item in items.items():
+            n = len(item)
+            if any(latent_decontam.lcs(item, codes[a:a + 2 * n]) >= 0.9 * n for a in range(0, max(1, len(codes) - n // 2), max(1, n // 2)) if np.isin(item, codes[a:a + 2 * n]).sum() >= 0.9 * n):
+                want.add((i, k))
+    assert want and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+    assert latent_decontam.contaminated(empty, b).count() == 0 and latent_decontam.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_packing_is_whole(docs, empty):
+    p = bm25_packing.pack(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), BYTE, shard_docs=64).toPandas()
+    e = PieceEncoder(BYTE, "lead")
+    for i, t in dict(rows(docs)).items():
+        if i is None:
+            continue
+        ids = np.frombuffer(e.whole(t.encode()), "<u2").astype("<u4").tolist() + [0]
+        at = 0
+        for r in p[p.doc_id == i].sort_values("start").itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at:at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    by = p.sort_values(["sequence_id", "offset"]).groupby("sequence_id").length
+    assert by.sum().max() <= 1024 and by.sum().sum() / (1024 * by.ngroups) > 0.9
+    assert bm25_packing.pack(empty, BYTE).count() == 0 and bm25_packing.pack(docs, BYTE).count() > 0
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 400])
+def test_join_against_brute_force(spark, docs, empty, limit):
+    base = [" ".join(f"w{k}x{i}" for k in range(60)) for i in range(4)]
+    near = [(20000 + 10 * i + j, t.replace(f"w{j}x", "zz") if j else t) for i, t in enumerate(base) for j in range(4)]
+    d = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    got = {r.doc_id: r for r in signature_join.near_duplicates(d, region_limit=limit).collect()}
+    sets = {}
+    for i, t in rows(d):
+        w = t.encode().lower().split()
+        sets[i] = frozenset(tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert signature_join.near_duplicates(empty).count() == 0
+    assert signature_join.near_duplicates(docs).count() == docs.count()
+
+
+def test_urls(spark):
+    link = '<link rel="canonical" href="{}">'
+    data = [(1, "https://a.example.org/x", link.format("http://b.example.net/es/y")), (2, "http://www.EXAMPLE.com/en/1", ""), (3, "http://m.example.com/en/1", None), (4, None, None), (5, "no scheme", ""),
+            (6, "https://c.example.org/q?u=1", '<meta http-equiv="refresh" content="0; url=https://a.example.org/x">'), (7, "https://d.com/z", link.format("https://a.example.org/x")), (8, "https://e.example.org/k", "")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {1: (None, "block"), 2: ("www.example.com/en/", "allow"), 3: ("example.com/en/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "block"), 7: ("com/", "allow"), 8: (None, "allow")}
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)], "a long, b long")
+    got = {r.node: r.root for r in common.components(e).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_surrogates(spark, docs, empty):
+    t = "Mr. John Smith met Frau Anna Weber; Mr Smith wrote to john.s@mail3.example.com, +1 (076) 555-8046, 19.37.233.111, 4183418637171908, token = \"99168226c4d3cee7e953ef6959c77215d0cbdfc9\"."
+    r, again, plain = surrogates.pseudonymise(spark.createDataFrame([(1, t, "a"), (2, t, "b"), (3, "Nothing here. And so on.", "c")], "doc_id long, text string, n_entities string")).orderBy("doc_id").collect()
+    assert r.text == again.text and r.n_entities == 8 and r.distinct_ok and plain.text == "Nothing here. And so on."
+    for secret in ("John", "Smith", "Weber", "john.s", "555-8046", "19.37.233.111", "4183418637171908", "99168226"):
+        assert secret not in r.text
+    first, last = r.text.split()[1:3]
+    assert first in surrogates.GIVEN["m", "latin"] and f"Mr {last} wrote" in r.text
+    many = spark.range(3000).select("id", F.concat(F.lit("+1 (076) 555-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"))
+    assert surrogates.collisions(many.withColumnRenamed("id", "doc_id")).count() == 0
+    assert surrogates.pseudonymise(docs).count() == docs.count() and surrogates.pseudonymise(empty).count() == 0
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline
+
+    d, out = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), None
+    good = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()}
+    out = common.cut(corpus_pipeline.quality(spark, d, "/root/testdata/sf0.01"))
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == d.columns and len(good & kept) >= 0.97 * len(good) and len(kept) < d.count()
+    one = common.cut(corpus_pipeline.near_duplicates(spark, out, SF))
+    classes = signature_join.near_duplicates(out, width=5, num=80).select("component_id").distinct().count()
+    assert one.columns == d.columns and one.count() == classes
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier"
