@@ -50,15 +50,19 @@ class PieceEncoder(dict):
         text = piece.decode("utf-8", "replace")
         head = text.rstrip(_TAIL)
         if len(parts) > 1:
-            ids = b"".join(map(self.__getitem__, parts))
+            ids = b"".join(map(self.held, parts))
         elif head and len(head) < len(text) and (head[-1].isalpha() or head[-1] in "0123456789"):
-            ids = self[head.encode()] + self[text[len(head) :].encode()]
+            ids = self.held(head.encode()) + self[text[len(head) :].encode()]
         else:
             ids = self.whole(piece)
         if len(self) < self.limit and piece[:1] != b" ":
             self[piece] = ids
         return ids
 
+    def held(self, piece: bytes) -> bytes:
+        """A piece from the table it belongs to."""
+        return self.spaced[piece[1:]] if piece[:1] == b" " and len(piece) > 1 else self[piece]
+
     def encode(self, text: bytes) -> bytes:
         if self.folds:
             text = text.lower()
@@ -67,7 +71,7 @@ class PieceEncoder(dict):
         if not text.isascii() and _ODD.search(text.decode("utf-8", "replace")):
             return self.whole(text)
         if b"  " in text or text[-1:] == b" ":
-            return b"".join(map(self.__getitem__, _LEAD.findall(text)))
+            return b"".join(map(self.held, _LEAD.findall(text)))
         # Without double spaces a cut before each space is safe; what a piece holds beyond one word is cut when it is first met.
         first, *rest = text.split(b" ")
         return (self[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
@@ -80,7 +84,7 @@ class Spaced(dict):
         self.owner = owner
 
     def __missing__(self, rest: bytes) -> bytes:
-        ids = self.owner[b" " + rest]
+        ids = self.owner.__missing__(b" " + rest)
         if len(self) < self.owner.limit:
             self[rest] = ids
         return ids
