@@ -15,8 +15,8 @@ under estimates from the others.  Scores use the counts of all training document
    quantised probability ratios, bounded in size whatever the corpus, on which EM runs; then every
    document is scored.
 
-Hashes have ``24`` bits more than the logarithm of the expected number of n-grams (62 at most), so
-about one longer n-gram in 2^14, and one word in 2^24 at most, shares its count with another.  A document is never split, so one very long
+Hashes have 22 bits more than the logarithm of the expected number of n-grams (62 at most), so
+about one longer n-gram in 2^12, and one word in 2^22 at most, shares its count with another.  A document is never split, so one very long
 document is a block by itself.
 
 Defined results: a null or empty text is its end token only; rows of a null doc_id are scored,
@@ -168,7 +168,7 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_
     spark = docs.sparkSession
     ship(spark)
     buckets = 1 << max(4, (n_parts(spark) - 1).bit_length())
-    bits = min(62, buckets.bit_length() + 20 + 24 + 2)
+    bits = min(62, buckets.bit_length() + 20 + 22 + 2)
     folder = new_path(spark, "lm-blocks")
     where = lambda block: f"{folder}/block-{block & 0xFF:02x}/{block:016x}"
 
