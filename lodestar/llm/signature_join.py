@@ -4,13 +4,14 @@ Exact links between documents whose word-shingle sets have a Jaccard similarity
 ``num``/100, and the classes that the links form.
 
 1. Each document's shingles become a sorted set of 64-bit hashes; only its size, a 128-bit digest of
-   the set and, packed by hash bucket, its prefix (the first n - ceil(t n) + 1 hashes in one global order) are stored.  Two
-   sets that link share a prefix hash, in any fixed order; ours puts hashes that are frequent in a
-   sample of documents last, so shared passages rarely fall into a prefix.
+   the set and, packed by hash bucket, its keys are stored.  The keys are digests of parts: the range
+   of hashes is cut into so many parts that the hashes two linked sets do not share cannot touch all
+   of them, so some part is equal in both.  A part holds several hashes, so a passage that
+   unlinked documents share seldom makes a whole part equal, however frequent it is.
 2. Documents of one digest are one class, named by its smallest doc_id.  Copies within a batch go on
    once, so a group of copies costs an entry for each batch.
-3. Sets that share a prefix hash are put in order of size and joined where no gap in size rules out
-   a link; connected components of this graph are the regions within which links can lie.
+3. Sets that share a key are joined; connected components of this graph are the regions within which
+   links can lie.
 4. The texts of the sets in regions of two or more meet by region, once each.  In a region a signature
    tree is built over the sets by size: a node holds the OR of its members' token bitmaps and their
    size range.  Dual traversal compares nodes, prunes a pair of nodes when the maximum possible
@@ -67,13 +68,38 @@ def _ceil(a: int, b: int) -> int:
     return -(-a // b)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, num: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 hashes, those of ``frequent`` (sorted) last."""
-    k = len(s) - _ceil(num * len(s), 100) + 1
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        s = np.concatenate([s[~late], s[late]])
-    return s[:k]
+def size_classes(n: int, num: int) -> list[tuple[int, int, int]]:
+    """The two classes (class, parts, most differences) in which a set of n hashes takes part.
+
+    Interval i of sizes starts where a link with the first size of interval i - 1 ends, so linked sets lie
+    in one interval or in neighbouring ones.  Class c is for pairs whose smaller set is in interval c - 1."""
+    i, low, high = 0, 1, 100 // num + 1
+    while n >= high:
+        i, low, high = i + 1, high, 100 * high // num + 1
+    out = []
+    for c, first, second in ((i, low, high), (i + 1, high, 100 * high // num + 1)):
+        most = (first + second - 2) * (100 - num) // (100 + num)
+        out.append((c, most + 2 + most // 24, most))
+    return out
+
+
+def part_keys(s: np.ndarray, num: int) -> np.ndarray:
+    """A key of 48 bits for each part of the set that has hashes, in both of its classes.
+
+    Of K parts at least K - d are equal in two linked sets with at most d differences.  A set with K - d or more
+    parts without a hash could be equal to another in those alone; its first n - ceil(t n) + 1 hashes are
+    keys as well, of which two such sets share one."""
+    out = []
+    with np.errstate(over="ignore"):
+        mixed = mix(s)
+        for c, parts, most in size_classes(len(s), num):
+            part = (s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascending, as s is
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            tag = np.uint64(c) * np.uint64(0x9E3779B97F4A7C15)
+            out.append(mix(np.add.reduceat(mixed, first) + mix(tag + part[first])))
+            if parts - len(first) >= parts - most:
+                out.append(mix(mixed[: len(s) - _ceil(num * len(s), 100) + 1] + mix(~tag)))
+    return np.unique(np.concatenate(out) & ~np.uint64(0xFFFF))
 
 
 class Node:
@@ -192,37 +218,17 @@ def forest(sets: list[np.ndarray], num: int, block: list[int] | None = None) ->
     return link.edges
 
 
-def frequent_hashes(docs: DataFrame, width: int, sample: int, bound: int) -> np.ndarray:
-    """At most ``bound`` hashes that occur in at least two of about ``sample`` sampled documents: only the order depends on them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, width) for t in b.column("text").to_pylist()]
-            if sets:
-                u, c = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
-
-    n = docs.count()
-    part = max(1, n // sample)
-    rows = docs_of(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(part)) == 0)
-    got = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "h").limit(bound).select("h").toPandas()
-    return np.sort(got["h"].to_numpy(np.int64).view(np.uint64))
-
-
-def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int = 40_000, bound: int = 400_000,
-                    region_limit: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    late = spark.sparkContext.broadcast(frequent_hashes(docs, width, sample, bound))
-
     buckets = 1 << max(3, (n_parts(spark) - 1).bit_length())
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and for each batch and bucket one row of packed prefix hashes with their documents."""
-        names = ["doc_id", "n", "h1", "h2", "bucket", "keys", "ids", "sizes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        """A row for each document, and for each batch and bucket one row of packed keys with their documents."""
+        names = ["doc_id", "n", "h1", "h2", "bucket", "keys", "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
             n, h1, h2, heads = [], [], [], {}
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -230,38 +236,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, sample: int
                 x, y = digest(s)
                 n.append(len(s)), h1.append(x), h2.append(y)
                 if len(s) and i is not None and ((x, y) not in heads or i < heads[x, y][0]):  # copies in a batch go on once
-                    heads[x, y] = (i, *(heads[x, y][1:] if (x, y) in heads else (prefix(s, late.value, num), len(s))))
+                    heads[x, y] = (i, heads[x, y][1] if (x, y) in heads else part_keys(s, num))
             rows = len(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, kinds[1]), pa.array(h1, kinds[2]), pa.array(h2, kinds[3]), *(pa.nulls(rows, k) for k in kinds[4:])], names=names)
             if heads:
-                keys = np.concatenate([p for _, p, _ in heads.values()])
-                ids = np.repeat(np.array([(i, m) for i, _, m in heads.values()], np.int64), [len(p) for _, p, _ in heads.values()], axis=0)
+                keys = np.concatenate([k for _, k in heads.values()])
+                ids = np.repeat(np.array([i for i, _ in heads.values()], np.int64), [len(k) for _, k in heads.values()])
                 order = np.argsort(keys)
-                keys, ids, sizes = keys[order], ids[order, 0], ids[order, 1].astype(np.uint32)
+                keys, ids = keys[order], ids[order]
                 ends = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
                 cuts = np.concatenate(([0], ends, [len(keys)]))
                 some = [(k, s, e) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array([k for k, _, _ in some], kinds[4]), pa.array([pack_keys(keys[s:e]) for _, s, e in some], kinds[5]),
-                                                  pa.array([pack_ints(ids[s:e]) for _, s, e in some], kinds[6]), pa.array([pack_ints(sizes[s:e]) for _, s, e in some], kinds[7])], names=names)
+                                                  pa.array([pack_ints(ids[s:e]) for _, s, e in some], kinds[6])], names=names)
 
     def meet(key, pdf):
-        """Documents of one prefix hash in order of size; each run without a gap too large for a link is joined to its first.
-
-        Two sets that link have no such gap between them, as every set between is nearer in size to both."""
+        """Each document of a key is joined to the key's smallest."""
         import pandas as pd
 
         keys, ids = np.concatenate([unpack_keys(x) for x in pdf["keys"]]), np.concatenate([unpack_ints(x, np.int64) for x in pdf["ids"]])
-        sizes = np.concatenate([unpack_ints(x, np.uint32) for x in pdf["sizes"]]).astype(np.int64)
-        order = np.lexsort((ids, sizes, keys))
-        keys, ids, sizes = keys[order], ids[order], sizes[order]
-        first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (100 * sizes[:-1] < num * sizes[1:])))
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))
         low = ids[first][np.cumsum(first) - 1]
         return pd.DataFrame({"a": low[low != ids], "b": ids[low != ids]}).drop_duplicates()
 
-    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, bucket int, keys binary, ids binary, sizes binary"), "sets")
+    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, bucket int, keys binary, ids binary"), "sets")
     sets = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    pairs = described.where("bucket IS NOT NULL").select("bucket", "keys", "ids", "sizes").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    pairs = described.where("bucket IS NOT NULL").select("bucket", "keys", "ids").groupBy("bucket").applyInPandas(meet, "a long, b long")
     regions = components(pairs)
     members = cut(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
     release(spark)

@@ -181,6 +181,20 @@ def test_join_against_brute_force(spark, docs, empty, limit):
     assert signature_join.near_duplicates(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("num", [85, 80, 50])
+def test_linked_sets_share_a_key(num):
+    rng = np.random.default_rng(num)
+    for n in [*range(1, 40), *(int(x) for x in rng.integers(40, 3000, 60))]:
+        pool = rng.integers(0, 2**64, 2 * n + 2, np.uint64)
+        for _ in range(20):
+            gone = int(rng.integers(0, max(1, n * (100 - num) // (100 + num)) + 1))
+            extra = int(rng.integers(0, gone + 1)) if rng.random() < 0.7 else n * (100 - num) // num
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[min(gone, n - 1) : n], pool[n : n + extra]]))
+            o = len(np.intersect1d(a, b))
+            if 100 * o >= num * (len(a) + len(b) - o):
+                assert len(np.intersect1d(signature_join.part_keys(a, num), signature_join.part_keys(b, num))), (n, gone, extra)
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'
     data = [(1, "https://a.example.org/x", link.format("http://b.example.net/es/y")), (2, "http://www.EXAMPLE.com/en/1", ""), (3, "http://m.example.com/en/1", None), (4, None, None), (5, "no scheme", ""),
