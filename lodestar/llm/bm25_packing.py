@@ -88,21 +88,23 @@ class Bm25Index:
             terms.append(u), docs.append(np.full(len(u), d)), tfs.append(c)
             self.queries.append(u[np.argsort(-idf[u] * np.minimum(c, 4), kind="stable")[:QUERY_TERMS]])
         term, doc, tf = np.concatenate(terms).astype(np.int64), np.concatenate(docs), np.concatenate(tfs)
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16) if term.max() < 1 << 16 else term, kind="stable")  # short keys are sorted by radix
         self.doc = doc[order]
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
         self.first = np.searchsorted(term[order], np.arange(int(term.max()) + 2))
-        self.scores = np.zeros(len(tails))
 
     def neighbours(self, seed: int, alive: np.ndarray) -> list[int]:
         """The unused documents that share a query term with the seed, best first, ties by position."""
         spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed]]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        np.add.at(self.scores, docs, np.concatenate([self.weight[s] for s in spans]))
-        found = np.unique(docs)
-        found = found[alive[found] & (found != seed)]
-        best = found[np.lexsort((found, -self.scores[found]))][:NEIGHBOURS]
-        self.scores[docs] = 0
+        docs, weights = np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
+        scores = np.bincount(docs, weights, len(alive))  # every weight is above 0
+        scores[seed] = 0
+        found = np.flatnonzero((scores > 0) & alive)
+        worst = -scores[found]
+        if len(found) > NEIGHBOURS:
+            near = worst <= np.partition(worst, NEIGHBOURS - 1)[NEIGHBOURS - 1]
+            found, worst = found[near], worst[near]
+        best = found[np.lexsort((found, worst))][:NEIGHBOURS]
         return best.tolist()
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -19,6 +21,11 @@ _TAIL = ".,;:!?*#$%&|<>()[]{}-_/"
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 
+#: Byte-level vocabularies write a byte as itself where it is printable, and the others in order from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+
+
 class PieceEncoder(dict):
     """Maps a piece (bytes) to its ids as little-endian bytes of ``width``."""
 
@@ -33,12 +40,34 @@ class PieceEncoder(dict):
         # Where the tokenizer folds case itself, folding A-Z beforehand changes nothing and halves the table.
         self.folds = all(self.whole_ids(c.upper()) == self.whole_ids(c) for c in "abcdefghijklmnopqrstuvwxyz")
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
+        # A byte-level pre-tokenizer keeps a run of letters, with a space before it, as one token: its merges alone give the ids.
+        byte_level = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None and not self.tok.pre_tokenizer.add_prefix_space
+        named = any(t.content.strip().isalpha() for t in self.tok.get_added_tokens_decoder().values())
+        self.merges = self.tok.model.tokenize if mode == "lead" and byte_level and self.tok.pre_tokenizer.use_regex and not named else None
 
     def whole_ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def whole(self, text: bytes) -> bytes:
-        return np.array(self.whole_ids(text.decode("utf-8", "replace")), self.dtype).tobytes()
+        return self.packed(self.whole_ids(text.decode("utf-8", "replace")))
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def letters(self, word: bytes) -> bool:
+        """Whether the merges alone encode the word: ASCII and Latin letters only."""
+        if self.merges is None or len(word) > 200:
+            return False
+        if word.isalpha():  # of bytes: ASCII
+            return True
+        text = word.decode("utf-8", "replace")
+        return text.isalpha() and max(text) < "\u0250"
+
+    def merged(self, piece: bytes) -> bytes:
+        return self.packed([t.id for t in self.merges(piece.decode("latin-1").translate(_BYTES))])
 
     def __missing__(self, piece: bytes) -> bytes:
         """A word and the ASCII punctuation behind it are separate tokens in both modes, so each has an entry of its own.
@@ -46,6 +75,11 @@ class PieceEncoder(dict):
         Once the table is full no entry is added: the words met first are the frequent ones."""
         if len(piece) > 200:
             return self.whole(piece)
+        if self.letters(piece):
+            ids = self.merged(piece)
+            if len(self) < self.limit:
+                self[piece] = ids
+            return ids
         parts = _LEAD.findall(piece) if self.mode == "lead" and not piece.isspace() else [piece]
         text = piece.decode("utf-8", "replace")
         head = text.rstrip(_TAIL)
@@ -84,7 +118,7 @@ class Spaced(dict):
         self.owner = owner
 
     def __missing__(self, rest: bytes) -> bytes:
-        ids = self.owner.__missing__(b" " + rest)
+        ids = self.owner.merged(b" " + rest) if self.owner.letters(rest) else self.owner.__missing__(b" " + rest)
         if len(self) < self.owner.limit:
             self[rest] = ids
         return ids
