@@ -10,16 +10,20 @@ Exact links between documents whose word-shingle sets have a Jaccard similarity
    unlinked documents share seldom makes a whole part equal, however frequent it is.
 2. Documents of one digest are one class, named by its smallest doc_id.  Copies within a batch go on
    once, so a group of copies costs an entry for each batch.
-3. Sets that share a key are joined; connected components of this graph are the regions within which
-   links can lie.
+3. Sets that share a key are joined; connected components of this graph are regions within which
+   links lie.  In each of them the sets meet once more by the hashes of their prefixes, rare hashes first,
+   whose components are the final regions.  Which hashes are frequent is learnt from a sample of about
+   ``order_docs`` documents; any order is correct, this one parts sets that share a common passage only.
 4. The texts of the sets in regions of two or more meet by region, once each.  In a region a signature
    tree is built over the sets by size: a node holds the OR of its members' token bitmaps and their
    size range.  Dual traversal compares nodes, prunes a pair of nodes when the maximum possible
    overlap or the sizes exclude a link or all members are linked already, and checks the remaining
    pairs of sets exactly.  Linked sets are merged at once, so a group of near copies costs about one
    check each, and only a spanning forest of links leaves the task.
-5. Regions beyond ``region_limit`` shingles are cut into blocks by size; each pair of blocks whose
-   sizes allow a link is a task of its own.  Connected components of all the forests give the classes.
+5. Regions beyond ``block_sets`` sets or ``region_limit`` shingles are dealt to blocks at random, each linked by
+   itself; then one set of each class found so far, so that near copies become one class.  In a region with
+   several classes left, every block of sets outside the largest class meets every block of a size that
+   allows a link; pairs of one class are not compared.  Connected components of all the forests give the classes.
 
 The bitmap is in unary code: bit (bucket, c) is set if a set has more than c hashes in the bucket, so
 the OR of bitmaps is the maximum of counters and the number of common bits, a sum of minima, bounds
@@ -33,11 +37,12 @@ and link with nothing; other columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, docs_of, hash_words, mix, n_parts, pack_ints, pack_keys, release, ship, unpack_ints, unpack_keys
@@ -133,8 +138,10 @@ class SignatureTree:
 class Linker:
     """Finds a spanning forest of the links among sets, with the dual traversal."""
 
-    def __init__(self, sets: list[np.ndarray], num: int):
-        self.sets, self.num, self.parent, self.edges, self.checks = sets, num, list(range(len(sets))), [], 0
+    def __init__(self, sets: list[np.ndarray], num: int, roots: list[int] | None = None):
+        first: dict[int, int] = {}
+        parent = [first.setdefault(r, i) for i, r in enumerate(roots)] if roots else list(range(len(sets)))
+        self.sets, self.num, self.parent, self.edges, self.checks = sets, num, parent, [], 0
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -204,9 +211,9 @@ class Linker:
                 todo += [(a, c) for c in b.children]
 
 
-def forest(sets: list[np.ndarray], num: int, block: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that span the components; with ``block``, only links between different blocks or within the one block."""
-    link = Linker(sets, num)
+def forest(sets: list[np.ndarray], num: int, block: list[int] | None = None, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components; with ``block``, only links between the two blocks; sets of equal ``roots`` are joined already."""
+    link = Linker(sets, num, roots)
     groups: dict[int, list[int]] = {}
     for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
         groups.setdefault(block[i] if block else 0, []).append(i)
@@ -218,37 +225,86 @@ def forest(sets: list[np.ndarray], num: int, block: list[int] | None = None) ->
     return link.edges
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit: int = 4_000_000) -> DataFrame:
+def prefix(s: np.ndarray, num: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(t n) + 1 hashes by (frequency, hash), 32 bits of each; two linked sets share one."""
+    take = len(s) - _ceil(num * len(s), 100) + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        often = np.where(frequent[at] == s, counts[at], 0)
+        if often.any():
+            s = s[np.lexsort((s, often))]
+    return (s[:take] >> np.uint64(32)).astype("<u4")
+
+
+def frequent_hashes(docs: DataFrame, width: int, order_docs: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that occur three times or more in a part of a sample of about ``order_docs`` documents, at most ``most`` a part, and their counts."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(n, 1))) < order_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [shingles(t, width) for b in batches for t in b.column("text").to_pylist()]
+        if sets:
+            h, c = np.unique(np.concatenate(sets), return_counts=True)
+            keep = np.flatnonzero(c >= 3)
+            keep = keep[np.argsort(-c[keep], kind="stable")[:most]]
+            yield pa.RecordBatch.from_arrays([pa.array([h[keep].tobytes()], pa.binary()), pa.array([c[keep].astype(np.int64).tobytes()], pa.binary())], names=["h", "c"])
+
+    got = docs_of(some).repartition(4).mapInArrow(run, "h binary, c binary").collect()
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, c = np.concatenate([np.frombuffer(r.h, np.uint64) for r in got]), np.concatenate([np.frombuffer(r.c, np.int64) for r in got])
+    u, inverse = np.unique(h, return_inverse=True)
+    return u, np.bincount(inverse, c, len(u)).astype(np.int64)
+
+
+def packed(keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, keys, ids) by the leading bits of the keys."""
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    ends = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
+    cuts = np.concatenate(([0], ends, [len(keys)])).tolist()
+    return [(k, pack_keys(keys[s:e]), pack_ints(ids[s:e])) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit: int = 4_000_000, block_sets: int = 128, order_docs: int = 16_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = 1 << max(3, (n_parts(spark) - 1).bit_length())
+    order = spark.sparkContext.broadcast(frequent_hashes(docs, width, order_docs))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and for each batch and bucket one row of packed keys with their documents."""
-        names = ["doc_id", "n", "h1", "h2", "bucket", "keys", "ids"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["doc_id", "n", "h1", "h2", "rare", "bucket", "keys", "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
-            n, h1, h2, heads = [], [], [], {}
+            n, h1, h2, rare, heads = [], [], [], [], {}
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t, width)
                 x, y = digest(s)
-                n.append(len(s)), h1.append(x), h2.append(y)
+                n.append(len(s)), h1.append(x), h2.append(y), rare.append(None)
                 if len(s) and i is not None and ((x, y) not in heads or i < heads[x, y][0]):  # copies in a batch go on once
                     heads[x, y] = (i, heads[x, y][1] if (x, y) in heads else part_keys(s, num))
+                    rare[-1] = prefix(s, num, *order.value).tobytes()
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, kinds[1]), pa.array(h1, kinds[2]), pa.array(h2, kinds[3]), *(pa.nulls(rows, k) for k in kinds[4:])], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, kinds[1]), pa.array(h1, kinds[2]), pa.array(h2, kinds[3]), pa.array(rare, kinds[4]), *(pa.nulls(rows, k) for k in kinds[5:])], names=names)
             if heads:
-                keys = np.concatenate([k for _, k in heads.values()])
-                ids = np.repeat(np.array([i for i, _ in heads.values()], np.int64), [len(k) for _, k in heads.values()])
-                order = np.argsort(keys)
-                keys, ids = keys[order], ids[order]
-                ends = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
-                cuts = np.concatenate(([0], ends, [len(keys)]))
-                some = [(k, s, e) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array([k for k, _, _ in some], kinds[4]), pa.array([pack_keys(keys[s:e]) for _, s, e in some], kinds[5]),
-                                                  pa.array([pack_ints(ids[s:e]) for _, s, e in some], kinds[6])], names=names)
+                some = packed(np.concatenate([k for _, k in heads.values()]), np.repeat(np.array([i for i, _ in heads.values()], np.int64), [len(k) for _, k in heads.values()]), buckets)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:5]), *(pa.array(list(c), k) for c, k in zip(zip(*some), kinds[5:]))], names=names)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The prefixes of the sets of regions, packed by bucket, each hash mixed with its region."""
+        for b in batches:
+            sets = [np.frombuffer(x, "<u4").astype(np.uint64) for x in b.column("rare").to_pylist()]
+            if not sets:
+                continue
+            lens = [len(x) for x in sets]
+            ids, region = np.repeat(b.column("doc_id").to_numpy(), lens), np.repeat(b.column("region").to_numpy().astype(np.uint64), lens)
+            with np.errstate(over="ignore"):
+                keys = mix(mix(region + np.uint64(1)) + np.concatenate(sets)) & ~np.uint64(0xFFFF)
+            some = packed(keys, ids, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*some), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "ids"])
 
     def meet(key, pdf):
         """Each document of a key is joined to the key's smallest."""
@@ -261,35 +317,32 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit
         low = ids[first][np.cumsum(first) - 1]
         return pd.DataFrame({"a": low[low != ids], "b": ids[low != ids]}).drop_duplicates()
 
-    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, bucket int, keys binary, ids binary"), "sets")
+    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, rare binary, bucket int, keys binary, ids binary"), "sets")
     sets = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    pairs = described.where("bucket IS NOT NULL").select("bucket", "keys", "ids").groupBy("bucket").applyInPandas(meet, "a long, b long")
-    regions = components(pairs)
-    members = cut(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
+
+    def met(entries: DataFrame) -> DataFrame:
+        found = components(entries.groupBy("bucket").applyInPandas(meet, "a long, b long"))
+        return found.select(F.col("node").alias("doc_id"), F.col("root").alias("region"))
+
+    coarse = met(described.where("bucket IS NOT NULL").select("bucket", "keys", "ids"))
+    heads = described.where("rare IS NOT NULL").select("doc_id", "rare").join(coarse, "doc_id")
+    members = met(heads.mapInArrow(again, "bucket int, keys binary, ids binary"))
+    members = cut(members.join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
     release(spark)
-    half = region_limit // 2
-    large = members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > region_limit)
-    split = members.join(large, "region", "left_semi")
-    small = members.join(large, "region", "left_anti").select("doc_id", "region", F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("block"))
-    w = Window.partitionBy("region").orderBy("n", "doc_id")
-    blocks = split.withColumn("block", F.floor((F.sum("n").over(w) - F.col("n")) / half).cast("int"))
-    sizes = blocks.groupBy("region", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = sizes.select(F.col("region"), F.col("block").alias("y"), F.col("low").alias("low_y"))
-    tasks = sizes.join(other, "region").where((F.col("y") >= F.col("block")) & (100 * F.col("high") >= num * F.col("low_y"))).select("region", F.col("block").alias("x"), "y")
-    ends = F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("block")
-    dealt = blocks.join(tasks.select("region", "x", "y", ends), ["region", "block"]).select("doc_id", "region", "x", "y", "block")
-    work = small.unionByName(dealt)
+    large = cut(members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where((F.col("sets") > block_sets) | (F.col("total") > region_limit))
+                .select("region", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(2 * F.col("total") / region_limit)).cast("int").alias("blocks")), "large")
+    texts = cut(docs_of(docs).join(members.join(large, "region", "left"), "doc_id"), "texts")
+    dealt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.coalesce("blocks", F.lit(1))).cast("string")
 
     def link(batches: Iterator) -> Iterator:
         """Rows come sorted by (region, x, y); each run of equal keys is one traversal."""
         import pandas as pd
 
-        key, ids, texts, block = None, [], [], []
+        key, ids, texts, block, roots = None, [], [], [], []
 
         def done():
-            sets = [shingles(t, width) for t in texts]
-            edges = forest(sets, num, block if key[1] >= 0 and key[1] != key[2] else None)
+            edges = forest([shingles(t, width) for t in texts], num, [int(x == key[2]) for x in block] if key[1] != key[2] else None, roots)
             return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
 
         out = []
@@ -298,17 +351,46 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit
                 if (r.region, r.x, r.y) != key:
                     if len(ids) > 1:
                         out.append(done())
-                    key, ids, texts, block = (r.region, r.x, r.y), [], [], []
-                ids.append(r.doc_id), texts.append(r.text), block.append(r.block)
+                    key, ids, texts, block, roots = (r.region, r.x, r.y), [], [], [], []
+                ids.append(r.doc_id), texts.append(r.text), block.append(r.block), roots.append(r.root)
             if out:
                 yield pd.concat(out)
                 out = []
         if len(ids) > 1:
             yield done()
 
-    parts = n_parts(spark)
-    met = docs_of(docs).join(work, "doc_id").repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y", "doc_id")
-    links = met.mapInPandas(link, "a long, b long")
+    def linked(work: DataFrame, what: str) -> DataFrame:
+        """The links within the tasks (region, x, y); rows: doc_id, text, region, x, y, block, root."""
+        rows = work.select("doc_id", "text", "region", "x", "y", "block", "root").repartition(n_parts(spark), "region", "x", "y")
+        return cut(rows.sortWithinPartitions("region", "x", "y", "doc_id").mapInPandas(link, "a long, b long"), what)
+
+    links = linked(texts.select("*", dealt.alias("x"), dealt.alias("y"), dealt.alias("block"), F.col("doc_id").alias("root")), "links")
+    if large.head(1):
+        split = texts.where("blocks IS NOT NULL")
+
+        def rooted(links: DataFrame) -> DataFrame:
+            c = components(links).select(F.col("node").alias("doc_id"), "root")
+            return split.join(c, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+        reps = rooted(links).where("root = doc_id")
+        n_reps = cut(reps.groupBy("region").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("now")), "reps")
+        dealt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("now")).cast("string")
+        links = links.unionByName(linked(reps.join(n_reps, "region").select("*", dealt.alias("x"), dealt.alias("y"), dealt.alias("block")), "links"))
+        now = cut(rooted(links).select("doc_id", "region", "n", "root"), "rooted")
+        per = now.groupBy("region", "root").agg(F.count("*").alias("sets"))
+        several = cut(per.groupBy("region").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("region", "main"), "several")
+        # Sizes of linked sets lie in one band or in neighbouring ones, as a band is a little wider than the ratio 100 / num.
+        band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / num) if num < 100 else 1.0)).cast("int")
+        name = lambda k: F.concat_ws("|", *(c.cast("string") for c in (F.col("inner"), F.col("band"), k)))
+        rest = now.join(several, "region").select("doc_id", "region", "root", (F.col("root") == F.col("main")).alias("inner"), band.alias("band"))
+        groups = cut(rest.groupBy("region", "inner", "band").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks")), "bands")
+        rest = rest.join(groups, ["region", "inner", "band"]).withColumn("block", name(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("blocks"))))
+        each = groups.select("region", "inner", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("region", "inner", "band", name(F.col("k")).alias("x"))
+        other = each.select("region", F.col("inner").alias("inner_y"), F.col("band").alias("band_y"), F.col("x").alias("y"))
+        tasks = each.join(other, "region").where((F.col("x") <= F.col("y")) & ~(F.col("inner") & F.col("inner_y")) & (F.abs(F.col("band") - F.col("band_y")) <= 1))
+        ends = F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("block")
+        work = rest.join(tasks.select("region", "x", "y", ends), ["region", "block"]).select("doc_id", "root", "x", "y", "block")
+        links = links.unionByName(linked(split.select("doc_id", "text", "region").join(work, "doc_id"), "links"))
     found = components(links)
     own = classes.select("h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     out = sets.join(own, ["h1", "h2"], "left")

@@ -153,12 +153,12 @@ def test_packing_is_whole(docs, empty):
     assert bm25_packing.pack(empty, BYTE).count() == 0 and bm25_packing.pack(docs, BYTE).count() > 0
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 400])
-def test_join_against_brute_force(spark, docs, empty, limit):
+@pytest.mark.parametrize("limit,most", [(4_000_000, 128), (4_000_000, 2), (400, 128)])
+def test_join_against_brute_force(spark, docs, empty, limit, most):
     base = [" ".join(f"w{k}x{i}" for k in range(60)) for i in range(4)]
     near = [(20000 + 10 * i + j, t.replace(f"w{j}x", "zz") if j else t) for i, t in enumerate(base) for j in range(4)]
     d = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
-    got = {r.doc_id: r for r in signature_join.near_duplicates(d, region_limit=limit).collect()}
+    got = {r.doc_id: r for r in signature_join.near_duplicates(d, region_limit=limit, block_sets=most).collect()}
     sets = {}
     for i, t in rows(d):
         w = t.encode().lower().split()
