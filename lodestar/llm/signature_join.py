@@ -266,6 +266,23 @@ def packed(keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple[int, b
     return [(k, pack_keys(keys[s:e]), pack_ints(ids[s:e])) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the edges as (smallest node, other node), one for each other node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        new, least = label.copy(), np.minimum(label[x], label[y])
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = nodes[label] != nodes
+    return nodes[label][other], nodes[other]
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit: int = 4_000_000, block_sets: int = 128, order_docs: int = 16_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
@@ -307,22 +324,32 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*some), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "ids"])
 
     def meet(key, pdf):
-        """Each document of a key is joined to the key's smallest."""
+        """Documents of a key are joined; what the keys of the bucket join is a tree for each component, packed by document."""
         import pandas as pd
 
         keys, ids = np.concatenate([unpack_keys(x) for x in pdf["keys"]]), np.concatenate([unpack_ints(x, np.int64) for x in pdf["ids"]])
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        low = ids[first][np.cumsum(first) - 1]
-        return pd.DataFrame({"a": low[low != ids], "b": ids[low != ids]}).drop_duplicates()
+        low, high = stars(ids[first][np.cumsum(first) - 1], ids)
+        with np.errstate(over="ignore"):
+            part = (mix(high.view(np.uint64)) % np.uint64(max(8, buckets // 4))).astype(np.int64)
+        found = [(int(k), pack_ints(low[part == k]), pack_ints(high[part == k])) for k in np.unique(part)]
+        return pd.DataFrame(found, columns=["part", "low", "high"])
+
+    def merge(key, pdf):
+        import pandas as pd
+
+        low, high = stars(*(np.concatenate([unpack_ints(x, np.int64) for x in pdf[c]]) for c in ("low", "high")))
+        return pd.DataFrame({"a": low, "b": high})
 
     described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, rare binary, bucket int, keys binary, ids binary"), "sets")
     sets = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
     def met(entries: DataFrame) -> DataFrame:
-        found = components(entries.groupBy("bucket").applyInPandas(meet, "a long, b long"))
+        stored = cut(entries.groupBy("bucket").applyInPandas(meet, "part int, low binary, high binary"), "stars")
+        found = components(stored.groupBy("part").applyInPandas(merge, "a long, b long"))
         return found.select(F.col("node").alias("doc_id"), F.col("root").alias("region"))
 
     coarse = met(described.where("bucket IS NOT NULL").select("bucket", "keys", "ids"))
