@@ -1,16 +1,21 @@
-"""Packing: lexical retrieval packing by a sharded BM25 inverted index.
+"""Packing: lexical retrieval packing by a BM25 inverted index over all documents.
 
 Documents are encoded once.  A document's full windows are sequences of their own; what is left
-(its tail, shorter than a window) is packed.  Tails are dealt at random to shards of bounded
-size, each with a BM25 inverted index over token ids; the idf comes from the document frequencies
-over all documents, a vector bounded by the vocabulary.  In each shard the longest unused tail
-seeds a sequence, the index returns its unused neighbours by score, and they fill the window
-greedily; the last one is cut and its rest stays unused, with its own turn later.  Only the last
-sequence of a shard can have padding.
+(its tail, shorter than a window) is packed.  The index is kept in blocks of ``shard_docs`` documents in
+the shared store, with the idf and the mean length of all documents; every seed asks every block.
+The longest unused tails seed the sequences, ``seeds`` of them a round: a round scores its seeds
+against the unused documents of all blocks, merges for each seed the best that fill its
+window (and ``SPARE`` windows more, as earlier seeds may take some), and the driver fills the windows in
+the seeds' order.  A seed whose list runs out goes on with its window in the next round; only
+where no scored document is left do the longest unused tails follow.  The last piece of a window is
+cut and its rest stays unused, with its own turn later.
+
+The driver holds, and each round broadcasts, the unused length of each tail (4 bytes a document);
+the scores cost seeds times documents, so time grows with the square of the input.
 
 Defined results: a null text is empty and has only the end id; equal rows are packed each on its
 own; null doc_ids are packed like others; other columns are ignored; an empty table gives an empty
-result.
+result.  The end id is no term.
 """
 
 from __future__ import annotations
@@ -20,46 +25,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, ship
+from .common import cut, docs_of, new_path, ship
 from .pieces import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+BLOCKS = "block long, doc_id array<long>, doc_tokens array<long>, crcs array<array<long>>, tail array<binary>, terms array<binary>, lens binary, term binary, first binary, doc binary, weight binary"
 K1, B = 1.2, 0.75
-QUERY_TERMS, NEIGHBOURS = 12, 64
+QUERY_TERMS = 12
+SPARE, COMMON, CHUNK = 2, 1 / 32, 512
 
 
 def encode(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
-    """doc_id, doc_tokens, the crc32 of each full window, and the ids of the tail (2 or 4 bytes each), stored."""
+    """doc_id, doc_tokens, the crc32 of each full window, the ids of the tail (2 or 4 bytes each), and terms with counts, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "lead")
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            out: dict[str, list] = {"doc_id": b.column("doc_id"), "doc_tokens": [], "crcs": [], "tail": []}
+            out: dict[str, list] = {"doc_id": b.column("doc_id"), "doc_tokens": [], "crcs": [], "tail": [], "terms": [], "counts": []}
             for text in b.column("text").to_pylist():
                 ids = np.frombuffer(enc.encode(text) + end, enc.dtype).astype("<u4")
                 full = len(ids) // window * window
                 out["doc_tokens"].append(len(ids))
                 out["crcs"].append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, full, window)])
                 out["tail"].append(ids[full:].astype("<u2" if enc.width == 2 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([out["doc_id"].cast(pa.int64()), pa.array(out["doc_tokens"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), pa.array(out["tail"], pa.binary())], names=list(out))
+                terms, counts = np.unique(ids[full:-1], return_counts=True)
+                out["terms"].append(terms.astype("<u4").tobytes()), out["counts"].append(counts.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([out["doc_id"].cast(pa.int64()), pa.array(out["doc_tokens"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), *(pa.array(out[c], pa.binary()) for c in ("tail", "terms", "counts"))], names=list(out))
 
     rows = docs_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return cut(rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary"), "encoded")
+    return cut(rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"), "encoded")
 
 
-def document_frequencies(encoded: DataFrame, vocab: int, dtype: str) -> np.ndarray:
-    """In how many tails each token id occurs; one row per task and slice of the vocabulary is shuffled."""
+def document_frequencies(encoded: DataFrame, vocab: int) -> np.ndarray:
+    """In how many documents each term occurs; one row per task and slice of the vocabulary is shuffled."""
     slice_ = 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(vocab + slice_, np.int64)
         for b in batches:
-            for tail in b.column("tail").to_pylist():
-                df[np.unique(np.frombuffer(tail, dtype))] += 1
+            for terms in b.column("terms").to_pylist():
+                df[np.frombuffer(terms, "<u4")] += 1
         if df.any():
             starts = list(range(0, vocab, slice_))
             yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([df[s : s + slice_].tobytes() for s in starts], pa.binary())], names=["s", "v"])
@@ -69,81 +79,164 @@ def document_frequencies(encoded: DataFrame, vocab: int, dtype: str) -> np.ndarr
 
         return pd.DataFrame({"s": [key[0]], "v": [np.sum([np.frombuffer(v, np.int64) for v in pdf.v], axis=0).tobytes()]})
 
-    got = encoded.select("tail").mapInArrow(run, "s long, v binary").groupBy("s").applyInPandas(add, "s long, v binary").collect()
+    got = encoded.select("terms").mapInArrow(run, "s long, v binary").groupBy("s").applyInPandas(add, "s long, v binary").collect()
     out = np.zeros(vocab + slice_, np.int64)
     for r in got:
         out[r.s : r.s + slice_] = np.frombuffer(r.v, np.int64)
     return out
 
 
-class Bm25Index:
-    """An inverted index over the tails of one shard; ``alive`` marks unused ones."""
-
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray):
-        self.lengths = np.array([len(t) for t in tails], np.float64)
-        norm = K1 * (1 - B + B * self.lengths / max(self.lengths.mean(), 1))
-        terms, docs, tfs, self.queries = [], [], [], []
-        for d, t in enumerate(tails):
-            u, c = np.unique(t, return_counts=True)
-            terms.append(u), docs.append(np.full(len(u), d)), tfs.append(c)
-            self.queries.append(u[np.argsort(-idf[u] * np.minimum(c, 4), kind="stable")[:QUERY_TERMS]])
-        term, doc, tf = np.concatenate(terms).astype(np.int64), np.concatenate(docs), np.concatenate(tfs)
-        order = np.argsort(term.astype(np.uint16) if term.max() < 1 << 16 else term, kind="stable")  # short keys are sorted by radix
-        self.doc = doc[order]
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
-        self.first = np.searchsorted(term[order], np.arange(int(term.max()) + 2))
-
-    def neighbours(self, seed: int, alive: np.ndarray) -> list[int]:
-        """The unused documents that share a query term with the seed, best first, ties by position."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed]]
-        docs, weights = np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
-        scores = np.bincount(docs, weights, len(alive))  # every weight is above 0
-        scores[seed] = 0
-        found = np.flatnonzero((scores > 0) & alive)
-        worst = -scores[found]
-        if len(found) > NEIGHBOURS:
-            near = worst <= np.partition(worst, NEIGHBOURS - 1)[NEIGHBOURS - 1]
-            found, worst = found[near], worst[near]
-        best = found[np.lexsort((found, worst))][:NEIGHBOURS]
-        return best.tolist()
-
-
-def pack_shard(tails: list[np.ndarray], idf: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (tail, first id, length, sequence, offset) of one shard."""
-    index, n = Bm25Index(tails, idf), len(tails)
-    alive, used = np.ones(n, bool), np.zeros(n, np.int64)
-    order, out, sequence, at = sorted(range(n), key=lambda i: (-len(tails[i]), i)), [], 0, 0
-    fallback = 0  # the next in order, for windows that neighbours do not fill
-
-    def put(i: int, offset: int) -> int:
-        take = min(len(tails[i]) - used[i], window - offset)
-        out.append((i, int(used[i]), int(take), sequence, offset))
-        used[i] += take
-        alive[i] = used[i] < len(tails[i])
-        return offset + int(take)
-
-    while at < n:
-        seed = order[at]
-        if not alive[seed]:
-            at += 1
-            continue
-        offset = put(seed, 0)
-        if offset < window:
-            for i in index.neighbours(seed, alive):
-                offset = put(i, offset)
-                if offset == window:
-                    break
-            fallback = max(fallback, at)
-            while offset < window and fallback < n:
-                if alive[order[fallback]]:
-                    offset = put(order[fallback], offset)
-                else:
-                    fallback += 1
-        sequence += 1
-    return out
+def index_blocks(encoded: DataFrame, idf: np.ndarray, mean: float, width: str, shard_docs: int) -> DataFrame:
+    """The documents in blocks, each a row with its inverted index: postings in order of term, with BM25 weights."""
+    shared = encoded.sparkSession.sparkContext.broadcast(idf)
+
+    def block(key: int, rows: list[dict]) -> dict:
+        idf = shared.value
+        terms, counts = [np.frombuffer(r["terms"], "<u4") for r in rows], np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
+        doc = np.repeat(np.arange(len(rows)), [len(t) for t in terms])
+        term = np.concatenate(terms)
+        length = np.bincount(doc, counts, len(rows))
+        weight = idf[term] * counts * (K1 + 1) / (counts + (K1 * (1 - B + B * length / mean))[doc])
+        order = np.argsort(term, kind="stable")
+        u, first = np.unique(term[order], return_index=True)
+        lens = np.array([len(r["tail"]) // np.dtype(width).itemsize for r in rows], "<u4")
+        return {"block": key, **{c: [r[c] for r in rows] for c in ("doc_id", "doc_tokens", "crcs", "tail", "terms")}, "lens": lens.tobytes(), "term": u.astype("<u4").tobytes(),
+                "first": np.append(first, len(term)).astype("<u4").tobytes(), "doc": doc[order].astype("<u4").tobytes(), "weight": weight[order].astype("<f4").tobytes()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints, raw = pa.list_(pa.int64()), pa.binary()
+        schema = pa.schema([("block", pa.int64()), ("doc_id", ints), ("doc_tokens", ints), ("crcs", pa.list_(ints)), ("tail", pa.list_(raw)), ("terms", pa.list_(raw)), *((c, raw) for c in ("lens", "term", "first", "doc", "weight"))])
+        held, key = [], TaskContext.get().partitionId() << 32
+        for b in batches:
+            held += b.to_pylist()
+            while len(held) >= shard_docs:
+                yield pa.RecordBatch.from_pylist([block(key, held[:shard_docs])], schema=schema)
+                held, key = held[shard_docs:], key + 1
+        if held:
+            yield pa.RecordBatch.from_pylist([block(key, held)], schema=schema)
 
+    return cut(encoded.mapInArrow(run, BLOCKS), "blocks")
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_docs: int = 4096) -> DataFrame:
+
+def filling(seed: np.ndarray, rid: np.ndarray, score: np.ndarray, room: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Positions of each seed's best documents, best first, as many as have ``limit`` of its seed's ids together."""
+    order = np.lexsort((rid, -score, seed))
+    s, r = seed[order], room[order].astype(np.int64)
+    before = np.cumsum(r) - r
+    start = np.flatnonzero(np.diff(s, prepend=-1))
+    before -= np.repeat(before[start], np.diff(np.append(start, len(s))))
+    return order[before < limit[s]]
+
+
+class Query:
+    """The seeds of one round: their terms, own numbers and limits, and the unused lengths of all tails."""
+
+    def __init__(self, terms: list[np.ndarray], own: np.ndarray, limit: np.ndarray, left: np.ndarray, common: np.ndarray):
+        self.own, self.limit, self.left, self.common = own, limit, left, common
+        seed, term = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64)
+        rare = common[term] < 0
+        self.seed_c, self.col_c = seed[~rare], common[term[~rare]]
+        order = np.argsort(term[rare], kind="stable")
+        self.seed_r, (self.term_r, first) = seed[rare][order], np.unique(term[rare][order], return_index=True)
+        self.first_r = np.append(first, len(order))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "dense"}
+
+    def best(self, base: int, n: int, term: np.ndarray, first: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(seed, number, score) of the unused documents of a block that fill the limits of each seed."""
+        if not hasattr(self, "dense"):
+            self.dense = np.zeros((len(self.own), int(self.common.max(initial=-1)) + 1), np.float32)
+            self.dense[self.seed_c, self.col_c] = 1
+        room = self.left[base : base + n]
+        live = np.flatnonzero(room)
+        to = np.full(n, -1)
+        to[live] = np.arange(len(live))
+        at, col = to[doc], np.repeat(self.common[term], np.diff(first))
+        use = (at >= 0) & (col >= 0)
+        index = np.zeros((self.dense.shape[1], len(live)), np.float32)
+        index[col[use], at[use]] = weight[use]
+        score = self.dense @ index
+        _, i, j = np.intersect1d(self.term_r, term, assume_unique=True, return_indices=True)
+        for lo, hi, a, z in zip(self.first_r[i].tolist(), self.first_r[i + 1].tolist(), first[j].tolist(), first[j + 1].tolist(), strict=True):
+            d, w = at[a:z], weight[a:z]
+            d, w = d[d >= 0], w[d >= 0]
+            score[self.seed_r[lo:hi, None], d] += w
+        mine = np.flatnonzero((self.own >= base) & (self.own < base + n))
+        score[mine, to[self.own[mine] - base]] = 0
+        out, room = [], room[live]
+        for lo in range(0, len(score), CHUNK):
+            s, k = score[lo : lo + CHUNK], min(len(live), 32)
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(live) else np.tile(np.arange(k), (len(s), 1))
+            got = np.take_along_axis(s, near, 1)
+            short = np.flatnonzero((room[near].sum(1) < self.limit[lo : lo + CHUNK]) & (got.min(1) > 0)) if k < len(live) else []
+            got[short] = 0  # these need more than k documents and are read whole
+            r, c = np.nonzero(got > 0)
+            out.append((r + lo, near[r, c], got[r, c]))
+            for x in short:
+                d = np.flatnonzero(s[x] > 0)
+                out.append((np.full(len(d), x + lo), d, s[x, d]))
+        seed, d, got = (np.concatenate(x) for x in zip(*out, strict=True))
+        keep = filling(seed, live[d], got, room[d], self.limit)
+        return seed[keep], live[d[keep]] + base, got[keep]
+
+
+def search(blocks: DataFrame, bases: dict[int, int], query: Query) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each seed the numbers of its best unused documents over all blocks, best first, with whether they are all."""
+    shared = blocks.sparkSession.sparkContext.broadcast((query, bases))
+    kind = "g long, seed binary, rid binary, score binary"
+
+    def merged(parts: list[tuple[np.ndarray, ...]], q: Query) -> tuple[np.ndarray, ...]:
+        seed, rid, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keep = filling(seed, rid, score, q.left[rid], q.limit)
+        return seed[keep], rid[keep], score[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (q, bases), held = shared.value, None
+        for b in batches:
+            for key, lens, *rest in zip(*(b.column(c).to_pylist() for c in ("block", "lens", "term", "first", "doc", "weight")), strict=True):
+                n, arrays = len(lens) // 4, [np.frombuffer(x, t) for x, t in zip(rest, ("<u4", "<u4", "<u4", "<f4"), strict=True)]
+                if q.left[bases[key] : bases[key] + n].any():
+                    held = merged([*([held] if held else []), q.best(bases[key], n, *arrays)], q)
+        if held:
+            at = np.searchsorted(held[0], np.arange(0, len(q.own) + CHUNK, CHUNK))
+            rows = [[int(k), *(x[a:z].astype(t).tobytes() for x, t in zip(held, ("<i8", "<i8", "<f4"), strict=True))] for k, (a, z) in enumerate(zip(at, at[1:], strict=False)) if z > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["g", "seed", "rid", "score"])
+
+    def merge(key, pdf):
+        import pandas as pd
+
+        q = shared.value[0]
+        seed, rid, score = merged([tuple(np.frombuffer(x, t) for x, t in zip(r, ("<i8", "<i8", "<f4"), strict=True)) for r in zip(pdf.seed, pdf.rid, pdf.score, strict=True)], q)
+        return pd.DataFrame({"g": [key[0]], "seed": [seed.tobytes()], "rid": [rid.tobytes()], "score": [score.tobytes()]})
+
+    out = [np.zeros(0, np.int64)] * len(query.own)
+    for r in blocks.select("block", "lens", "term", "first", "doc", "weight").mapInArrow(run, kind).groupBy("g").applyInPandas(merge, kind).collect():
+        seed, rid = np.frombuffer(r.seed, "<i8"), np.frombuffer(r.rid, "<i8")
+        start = np.flatnonzero(np.diff(seed, prepend=-1))
+        for s, x in zip(seed[start].tolist(), np.split(rid, start[1:]), strict=True):
+            out[s] = x
+    shared.destroy()
+    return [(x, bool(query.left[x].sum() < limit)) for x, limit in zip(out, query.limit, strict=True)]
+
+
+def terms_of(blocks: DataFrame, bases: dict[int, int], wanted: np.ndarray, idf: np.ndarray) -> list[np.ndarray]:
+    """The query terms of the documents of these numbers."""
+    shared = blocks.sparkSession.sparkContext.broadcast((np.unique(wanted), bases))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bases = shared.value
+        for b in batches:
+            for key, terms in zip(b.column("block").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                mine = ids[(ids >= bases[key]) & (ids < bases[key] + len(terms))]
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array([terms[int(i - bases[key])] for i in mine], pa.binary())], names=["rid", "terms"])
+
+    got = {r.rid: np.frombuffer(r.terms, "<u4") for r in blocks.select("block", "terms").mapInArrow(run, "rid long, terms binary").collect()}
+    return [t[np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]] for t in (got[i] for i in wanted.tolist())]
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_docs: int = 4096, seeds: int = 4096) -> DataFrame:
     """One row per piece; each id of each document lies in exactly one piece."""
     import pandas as pd
 
@@ -152,28 +245,82 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     enc = encoder(tokenizer, "lead")
     dtype, vocab = str(enc.dtype.str), enc.tok.get_vocab_size(with_added_tokens=True)
     encoded = encode(docs, tokenizer, window, end_id)
-    n = encoded.count()
-    df = document_frequencies(encoded, vocab, dtype)
+    n, total = encoded.agg(F.count("*"), F.coalesce(F.sum(F.col("doc_tokens") - 1), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], PIECES)
+    df = document_frequencies(encoded, vocab)
     idf = np.log1p((n - df + 0.5).clip(0.5) / (df + 0.5))
-    shared = spark.sparkContext.broadcast(idf)
-    shards = max(1, -(-n // shard_docs))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "doc_tokens", "tail"], kind="stable").reset_index(drop=True)
-        base, sequence, rows = int(key[0]) << 32, 0, []
-        for r in pdf.itertuples():
-            for k, crc in enumerate(r.crcs):
-                rows.append((r.doc_id, k * window, window, crc, r.doc_tokens, base + sequence, 0))
-                sequence += 1
-        tails = [np.frombuffer(t, dtype) for t in pdf["tail"]]
-        some = [i for i, t in enumerate(tails) if len(t)]
-        if some:
-            starts = (pdf.doc_tokens - [len(t) for t in tails]).tolist()
-            for i, first, length, seq, offset in pack_shard([tails[i] for i in some], shared.value, window):
-                i = some[i]
-                crc = zlib.crc32(tails[i][first : first + length].astype("<u4").tobytes())
-                rows.append((pdf.doc_id[i], starts[i] + first, length, crc, pdf.doc_tokens[i], base + sequence + seq, offset))
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
-
-    dealt = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tail", "doc_tokens", F.monotonically_increasing_id()), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, PIECES)
+    common = np.where(df > n * COMMON, np.cumsum(df > n * COMMON) - 1, -1)  # these are scored as a dense product
+    blocks = index_blocks(encoded, idf, max(total / n, 1), dtype, shard_docs)
+    sizes = sorted((r.block, np.frombuffer(r.lens, "<u4")) for r in blocks.select("block", "lens").collect())
+    starts = np.cumsum([0, *(len(x) for _, x in sizes)])
+    keys, bases = [k for k, _ in sizes], {k: int(s) for (k, _), s in zip(sizes, starts, strict=False)}
+    length = np.concatenate([x for _, x in sizes])
+    left, order = length.copy(), np.argsort(-length.astype(np.int64), kind="stable")
+    path, kind = new_path(spark, "pieces"), "block long, at long, first long, n long, sequence long, offset long"
+    spark.createDataFrame([], kind).write.parquet(path)
+    out: list[tuple[int, int, int, int, int]] = []
+    sequence = at = fallback = 0
+
+    def put(i: int, number: int, offset: int) -> int:
+        take = min(int(left[i]), window - offset)
+        out.append((i, int(length[i] - left[i]), take, number, offset))
+        left[i] -= take
+        return offset + take
+
+    waiting: list[tuple[int, int, int]] = []  # seed, sequence and offset of windows begun
+    while True:
+        while at < n and not left[order[at]]:
+            at += 1
+        # Never more windows than half of what is unused could fill, so that windows begun do not go without.
+        most = min(seeds, max(1, int(left.sum(dtype=np.int64)) // (2 * window))) - len(waiting)
+        fresh = order[at:][left[order[at:]] > 0][: max(0, most)]
+        if not waiting and not len(fresh):
+            break
+        own = np.array([*(w[0] for w in waiting), *fresh], np.int64)
+        need = window - np.array([*(w[2] for w in waiting), *left[fresh]], np.int64)
+        found = search(blocks, bases, Query(terms_of(blocks, bases, own, idf), own, need + SPARE * window, left.copy(), common))
+        again = []
+        for k, (i, (near, whole)) in enumerate(zip(own.tolist(), found, strict=True)):
+            if k < len(waiting):
+                _, number, offset = waiting[k]
+            elif left[i]:
+                number, offset, sequence = sequence, put(i, sequence, 0), sequence + 1
+            else:
+                continue  # an earlier seed took it
+            for d in near.tolist():
+                if offset == window:
+                    break
+                if left[d]:
+                    offset = put(d, number, offset)
+            if offset < window and not whole:
+                again.append((i, number, offset))
+                continue
+            fallback = max(fallback, at)
+            while offset < window and fallback < n:
+                if left[order[fallback]]:
+                    offset = put(int(order[fallback]), number, offset)
+                else:
+                    fallback += 1
+        waiting = again
+        if out:
+            p = np.array(out, np.int64)
+            b = np.searchsorted(starts, p[:, 0], "right") - 1
+            spark.createDataFrame(pd.DataFrame({"block": np.array(keys, np.int64)[b], "at": p[:, 0] - starts[b], "first": p[:, 1], "n": p[:, 2], "sequence": p[:, 3], "offset": p[:, 4]}), kind).coalesce(1).write.mode("append").parquet(path)
+            out.clear()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        for b in batches:
+            for r in b.to_pylist():
+                rows, base = [], bases[r["block"]]
+                for i, crcs in enumerate(r["crcs"]):  # full windows are numbered by their document, above all packed sequences
+                    rows += [(r["doc_id"][i], k * window, window, crc, r["doc_tokens"][i], (base + i + 1 << 32) + k, 0) for k, crc in enumerate(crcs)]
+                for p in r["p"] or []:
+                    i = p["at"]
+                    ids = np.frombuffer(r["tail"][i], dtype)
+                    rows.append((r["doc_id"][i], r["doc_tokens"][i] - len(ids) + p["first"], p["n"], zlib.crc32(ids[p["first"] : p["first"] + p["n"]].astype("<u4").tobytes()), r["doc_tokens"][i], p["sequence"], p["offset"]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
+
+    pieces = spark.read.schema(kind).parquet(path).groupBy("block").agg(F.collect_list(F.struct("at", "first", "n", "sequence", "offset")).alias("p"))
+    return blocks.select("block", "doc_id", "doc_tokens", "crcs", "tail").join(pieces, "block", "left").mapInArrow(emit, PIECES)

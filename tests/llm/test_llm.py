@@ -234,3 +234,22 @@ def test_pipeline_keeps_clean_documents(spark):
     classes = signature_join.near_duplicates(out, width=5, num=80).select("component_id").distinct().count()
     assert one.columns == d.columns and one.count() == classes
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier"
+
+
+def invented(k, n):
+    """n words that no other k shares."""
+    draw = np.random.default_rng(k)
+    return " ".join("".join(w) for w in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 6)))
+
+
+def packed_with(p, doc_id):
+    """The documents that share a packed sequence with this one."""
+    mine = set(p[p.doc_id == doc_id].sequence_id)
+    return set(p[p.sequence_id.isin(mine)].doc_id) - {doc_id}
+
+
+def test_packing_asks_all_shards(spark):
+    """Each of 40 pairs of like texts shares a sequence, however the documents are dealt to blocks."""
+    data = [(100 * j + k, invented(k, 180)) for j in range(2) for k in range(40)]
+    p = bm25_packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), BYTE, shard_docs=4).toPandas()
+    assert sum(k + 100 in packed_with(p, k) for k in range(40)) >= 38
