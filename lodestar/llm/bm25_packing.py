@@ -1,7 +1,7 @@
 """Packing: lexical retrieval packing by a BM25 inverted index over all documents.
 
 Documents are encoded once.  A document's full windows are sequences of their own; what is left
-(its tail, shorter than a window) is packed.  The index is kept in blocks of ``shard_docs`` documents in
+(its tail, shorter than a window) is packed, by the likeness of the whole texts.  The index is kept in blocks of ``shard_docs`` documents in
 the shared store, with the idf and the mean length of all documents; every seed asks every block.
 The longest unused tails seed the sequences, ``seeds`` of them a round: a round scores its seeds
 against the unused documents of all blocks, merges for each seed the best that fill its
@@ -53,7 +53,7 @@ def encode(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
                 out["doc_tokens"].append(len(ids))
                 out["crcs"].append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, full, window)])
                 out["tail"].append(ids[full:].astype("<u2" if enc.width == 2 else "<u4").tobytes())
-                terms, counts = np.unique(ids[full:-1], return_counts=True)
+                terms, counts = np.unique(ids[:-1], return_counts=True)
                 out["terms"].append(terms.astype("<u4").tobytes()), out["counts"].append(counts.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([out["doc_id"].cast(pa.int64()), pa.array(out["doc_tokens"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), *(pa.array(out[c], pa.binary()) for c in ("tail", "terms", "counts"))], names=list(out))
 

@@ -253,3 +253,11 @@ def test_packing_asks_all_shards(spark):
     data = [(100 * j + k, invented(k, 180)) for j in range(2) for k in range(40)]
     p = bm25_packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), BYTE, shard_docs=4).toPandas()
     assert sum(k + 100 in packed_with(p, k) for k in range(40)) >= 38
+
+
+def test_packing_sees_whole_texts(spark):
+    """Pairs whose likeness lies in the full window meet, though their tails are all alike."""
+    data = [(100 * j + k, invented(k, 150) + " and so on" * 350) for j in range(2) for k in range(20)]
+    p = bm25_packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), BYTE).toPandas()
+    p = p[p.length < 1024]
+    assert sum(k + 100 in packed_with(p, k) for k in range(20)) >= 18
