@@ -2,7 +2,7 @@
 
 Documents are encoded once.  A document's full windows are sequences of their own; what is left
 (its tail, shorter than a window) is packed, by the likeness of the whole texts.  The index is kept in blocks of ``shard_docs`` documents in
-the shared store, with the idf and the mean length of all documents; every seed asks every block.
+the shared store, with the idf and the mean length of all documents; every seed asks every block, with all its terms.
 The longest unused tails seed the sequences, ``seeds`` of them a round: a round scores its seeds
 against the unused documents of all blocks, merges for each seed the best that fill its
 window (and ``SPARE`` windows more, as earlier seeds may take some), and the driver fills the windows in
@@ -35,7 +35,6 @@ from .pieces import encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 BLOCKS = "block long, doc_id array<long>, doc_tokens array<long>, crcs array<array<long>>, tail array<binary>, terms array<binary>, lens binary, term binary, first binary, doc binary, weight binary"
 K1, B = 1.2, 0.75
-QUERY_TERMS = 12
 SPARE, COMMON, CHUNK = 2, 1 / 32, 512
 
 
@@ -221,8 +220,8 @@ def search(blocks: DataFrame, bases: dict[int, int], query: Query) -> list[tuple
     return [(x, bool(query.left[x].sum() < limit)) for x, limit in zip(out, query.limit, strict=True)]
 
 
-def terms_of(blocks: DataFrame, bases: dict[int, int], wanted: np.ndarray, idf: np.ndarray) -> list[np.ndarray]:
-    """The query terms of the documents of these numbers."""
+def terms_of(blocks: DataFrame, bases: dict[int, int], wanted: np.ndarray) -> list[np.ndarray]:
+    """All terms of the documents of these numbers."""
     shared = blocks.sparkSession.sparkContext.broadcast((np.unique(wanted), bases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +232,7 @@ def terms_of(blocks: DataFrame, bases: dict[int, int], wanted: np.ndarray, idf:
                 yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array([terms[int(i - bases[key])] for i in mine], pa.binary())], names=["rid", "terms"])
 
     got = {r.rid: np.frombuffer(r.terms, "<u4") for r in blocks.select("block", "terms").mapInArrow(run, "rid long, terms binary").collect()}
-    return [t[np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]] for t in (got[i] for i in wanted.tolist())]
+    return [got[i] for i in wanted.tolist()]
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_docs: int = 4096, seeds: int = 4096) -> DataFrame:
@@ -279,7 +278,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
             break
         own = np.array([*(w[0] for w in waiting), *fresh], np.int64)
         need = window - np.array([*(w[2] for w in waiting), *left[fresh]], np.int64)
-        found = search(blocks, bases, Query(terms_of(blocks, bases, own, idf), own, need + SPARE * window, left.copy(), common))
+        found = search(blocks, bases, Query(terms_of(blocks, bases, own), own, need + SPARE * window, left.copy(), common))
         again = []
         for k, (i, (near, whole)) in enumerate(zip(own.tolist(), found, strict=True)):
             if k < len(waiting):

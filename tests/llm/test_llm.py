@@ -261,3 +261,10 @@ def test_packing_sees_whole_texts(spark):
     p = bm25_packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), BYTE).toPandas()
     p = p[p.length < 1024]
     assert sum(k + 100 in packed_with(p, k) for k in range(20)) >= 18
+
+
+def test_packing_goes_down_the_scores(spark):
+    """A seed takes every document that shares its thirteenth or a later word before longer ones that share none."""
+    data = [(0, invented(0, 60) + " a zebra")] + [(k, "a zebra") for k in range(1, 101)] + [(k, ",".join(map(str, range(1000 + k, 1025 + k)))) for k in range(200, 240)]
+    p = bm25_packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), WORD).toPandas()
+    assert packed_with(p, 0) >= set(range(1, 101))
