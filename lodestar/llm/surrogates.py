@@ -27,6 +27,13 @@ GIVEN = {
     ("m", "greek"): "Αντώνης Βασίλης Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σταύρος".split(),
     ("f", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Κατερίνα Μαρία Σοφία".split(),
 }
+#: Further given names that announce an untitled name; their surrogates come from the letters.
+MORE = ("Aaron Abigail Adrian Alan Albert Alejandro Alexander Alexandra Amanda Amelia Amy Andrea Andreas Andrew Angela Anita Anna Anne Annette Anthony Antoine Antonio Arthur Barbara Benjamin Bernard Betty "
+        "Brandon Brenda Brian Camille Carlos Carmen Carol Caroline Catherine Charles Charlotte Christina Christine Christopher Claire Claudia Cynthia Daniel Daniela Deborah Dennis Diego Dominik Donald Dorothy "
+        "Edward Elena Elisabeth Elizabeth Emily Emmanuel Eric Esther Eva Fernando Florian Francisco Frank Franz Frederick Gabriel Gary George Gerald Gloria Gregory Hans Harold Heather Heinrich Helmut Henri Henry Ingrid Isabel Isabelle "
+        "Jacob Jacqueline Jacques Jason Javier Jean Jeffrey Jennifer Jeremy Jessica Joachim Jonathan Jorge Jose José Joseph Joshua Juan Judith Julia Julie Justin Karen Katharina Katherine Kathleen Kenneth Kevin Kimberly Klaus Larry Laurent Linda Lisa Lucas Lucia "
+        "Luis Lukas Manuel Margaret Marie Martin Martha Mary Matthew Matthias Melissa Michael Michel Michelle Miguel Monica Nancy Nathalie Nathan Nicholas Nicole Olivia Pablo Pamela Patricia Patrick Pedro Peter Petra Philip Philippe Pierre "
+        "Rachel Ralph Raymond Rebecca Richard Roger Ronald Ruth Ryan Samantha Samuel Sandra Scott Sebastian Sharon Sofia Sophia Sophie Stefan Stephanie Stephen Steven Susan Susanne Sylvie Theresa Timothy Ulrich Veronica Victoria Walter William Wolfgang Zoe").split()
 #: Titles that announce a name, by gender (fixed values).
 TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "Господин", "Κύριος"],
@@ -38,14 +45,17 @@ CLASSES = [
     "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщьъ", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αειουωη", "βγδζθκλμνξπρστφχψς", "ΑΕΙΟΥΩΗ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "άέίόύώή",
 ]
 HEX = ["0123456789abcdef"]
+#: With upper-case letters, a digit stays a digit and a letter its case.
+CASED = ["0123456789", "abcdef", "ABCDEF"]
 
 _NAME = r"\p{Lu}[\p{L}'’]*\p{L}"
 _TITLE = "|".join(t for g in ("m", "f") for t in sorted(TITLES[g], key=len, reverse=True))
-_LISTED = "|".join(n for names in GIVEN.values() for n in names)
+_LISTED = "|".join(n for names in [*GIVEN.values(), MORE] for n in names)
 #: Entity patterns in the order in which they are tried at one place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{32,}+(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,}+(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}\-])",
@@ -80,7 +90,7 @@ def _round(key: str, r: int):
         still, moves = (s[f"x{i}"], s[f"y{i}"]) if r % 2 == 0 else (s[f"y{i}"], s[f"x{i}"])
         seed = F.concat_ws("|", F.lit(f"{key}|{r}|{i}"), s["k"], F.length(moves).cast("string"), still)
         chars = F.filter(F.split(moves, ""), lambda c: c != "")
-        new = F.array_join(F.transform(chars, lambda c, j: F.when(s["k"] == "secret", _shift(c, _draw(seed, j), HEX)).otherwise(_shift(c, _draw(seed, j), CLASSES))), "")
+        new = F.array_join(F.transform(chars, lambda c, j: F.when(s["k"] == "secret", _shift(c, _draw(seed, j), HEX)).when(s["k"] == "hex", _shift(c, _draw(seed, j), CASED)).otherwise(_shift(c, _draw(seed, j), CLASSES))), "")
         return (still, new) if r % 2 == 0 else (new, still)
 
     def step(s: Column) -> Column:

@@ -268,3 +268,12 @@ def test_packing_goes_down_the_scores(spark):
     data = [(0, invented(0, 60) + " a zebra")] + [(k, "a zebra") for k in range(1, 101)] + [(k, ",".join(map(str, range(1000 + k, 1025 + k)))) for k in range(200, 240)]
     p = bm25_packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), WORD).toPandas()
     assert packed_with(p, 0) >= set(range(1, 101))
+
+
+def test_hex_of_either_case_and_more_names(spark):
+    upper, mixed, long = "9233A8ECF7C59B01" * 2, "aB3f" * 10, "0f9c" * 40
+    t = f'TOKEN = "{upper}" key {mixed} and {long} from Michael Brown'
+    r = surrogates.pseudonymise(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    words = r.text.split()
+    assert r.n_entities == 4 and r.distinct_ok and not any(x in r.text for x in (upper, mixed, long, "Michael", "Brown"))
+    assert words[2].strip('"').isupper() and [len(words[i].strip('"')) for i in (2, 4, 6)] == [32, 40, 160]
