@@ -59,16 +59,32 @@ def same_page(url: Column) -> Column:
     return F.concat(host_of(url), path_of(url))
 
 
+def resolved(target: Column, base: Column) -> Column:
+    """The target as an absolute url; one of a scheme without ``://`` is null."""
+    plain = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.coalesce(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1), F.lit(""))
+    path = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), plain))
+    steps = F.split(F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", up(a)).otherwise(F.concat(a, F.array(s))))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string")).when(plain == "", base)
+            .otherwise(F.concat(F.lit("http://"), host_of(base), F.array_join(kept, "/"))))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the page and the absolute target of each canonical link, og:url or meta refresh in its html."""
-    attr = r"""["']?([^"'\s>;]*://[^"'\s>]+)"""
+    """(a, b): the page and the target of each canonical link, og:url or meta refresh in its html, resolved against its base."""
+    attr = r"""["']?([^"'\s>]+)"""
     tag = lambda mark, name: rf"""(?is)<(?:link|meta)\b(?=[^>]*{mark})[^>]*?{name}{attr}"""
     html = F.coalesce(F.col("html"), F.lit(""))
     targets = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (
         tag(r"""rel=["']?canonical""", r"href\s*=\s*"), tag(r"""property=["']?og:url""", r"content\s*=\s*"),
         tag(r"""http-equiv=["']?refresh""", r"url\s*=\s*"))])
     linked = pages.where(html.rlike("(?i)canonical|og:url|http-equiv")).where(F.col("url").contains("://"))
-    return linked.select(F.col("url").alias("_u"), F.explode(targets).alias("_t")).select(same_page(F.col("_u")).alias("a"), same_page(F.col("_t")).alias("b"))
+    own = F.regexp_extract(html, r"""(?is)<base\b[^>]*?\shref\s*=\s*["']?([^"'\s>]+)""", 1)
+    rows = linked.select(F.col("url").alias("_u"), own.alias("_o"), F.explode(targets).alias("_t"))
+    rows = rows.withColumn("_o", F.when(F.col("_o") == "", F.col("_u")).otherwise(resolved(F.col("_o"), F.col("_u"))))
+    return rows.select(same_page(F.col("_u")).alias("a"), same_page(resolved(F.col("_t"), F.coalesce("_o", "_u"))).alias("b")).where("b != ''")
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[UrlRule] = RULES) -> DataFrame:

@@ -277,3 +277,11 @@ def test_hex_of_either_case_and_more_names(spark):
     words = r.text.split()
     assert r.n_entities == 4 and r.distinct_ok and not any(x in r.text for x in (upper, mixed, long, "Michael", "Brown"))
     assert words[2].strip('"').isupper() and [len(words[i].strip('"')) for i in (2, 4, 6)] == [32, 40, 160]
+
+
+def test_relative_links(spark):
+    link = '<link rel="canonical" href="{}">'
+    data = [(1, "http://a.org/x/y", link.format("/es/1")), (2, "http://b.org/p/q", link.format("//c.net/es/2")), (3, "http://d.net/q/r", '<meta http-equiv="refresh" content="0; url=../es/3">'), (4, "http://e.org/x", link.format("mailto:me")),
+            (5, "http://f.net/x", link.format("/es/5")), (6, "http://g.org/x", '<base href="http://g.net/es/">' + link.format("6")), (7, "http://h.net/x", link.format("?es=1"))]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow"}
