@@ -44,7 +44,10 @@ def statistics(text: bytes) -> list[float]:
     ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, n)
     counts = np.bincount(ids)
     if n >= 3:
-        grams = np.sort(ids[:-2] * len(codes) ** 2 + ids[1:-1] * len(codes) + ids[2:]) if len(codes) < 2_000_000 else np.arange(n)
+        pairs = ids[:-1] * len(codes) + ids[1:]
+        if len(codes) >= 2_000_000:  # where three would not fit into 64 bits, pairs are numbered anew
+            pairs = np.unique(pairs, return_inverse=True)[1]
+        grams = np.sort(pairs[:-1] * len(codes) + ids[2:])
         repeats = 1 - (1 + int((grams[1:] != grams[:-1]).sum())) / len(grams)
     else:
         repeats = 0.0

@@ -285,3 +285,8 @@ def test_relative_links(spark):
             (5, "http://f.net/x", link.format("/es/5")), (6, "http://g.org/x", '<base href="http://g.net/es/">' + link.format("6")), (7, "http://h.net/x", link.format("?es=1"))]
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow"}
+
+
+def test_repeats_in_very_long_texts():
+    once = " ".join(map(str, range(2_000_001)))
+    assert abs(boosted_quality.statistics(f"{once} {once}".encode())[boosted_quality.FEATURES.index("window_repeats")] - 0.5) < 0.01
