@@ -290,3 +290,16 @@ def test_relative_links(spark):
 def test_repeats_in_very_long_texts():
     once = " ".join(map(str, range(2_000_001)))
     assert abs(boosted_quality.statistics(f"{once} {once}".encode())[boosted_quality.FEATURES.index("window_repeats")] - 0.5) < 0.01
+
+
+def test_short_items_are_found(spark):
+    """Items of 16 to 22 words, of which 55 to 100 % are kept; 256 items fill a block."""
+    rng, items, texts = np.random.default_rng(3), [], []
+    for k in range(256):
+        w = invented(k, 14 + k % 7).split()
+        items.append((k, " ".join(w) + f" answer: reply{k}"))
+        keep = np.sort(rng.permutation(len(w))[: round((0.55, 0.65, 0.8, 1)[k // 7 % 4] * len(w))])
+        texts.append((k, " ".join([invented(9000 + k, 40 + k % 16), *(w[i] for i in keep), f"answer reply{k}", invented(19000 + k, 50)])))
+    got = latent_decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.doc_id == r.item_id}
+    assert len(found) >= 0.95 * 256
