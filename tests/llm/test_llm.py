@@ -303,3 +303,12 @@ def test_short_items_are_found(spark):
     got = latent_decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     found = {r.doc_id for r in got if r.doc_id == r.item_id}
     assert len(found) >= 0.95 * 256
+
+
+def test_full_block_keeps_its_energy(spark):
+    """A full block of 256 items without common words lies in the latent space."""
+    items = latent_decontam.Items([(k, invented(k, 20)) for k in range(256)])
+    d, idf = spark.createDataFrame([(k, invented(9000 + k, 60)) for k in range(100)], "doc_id long, text string"), np.ones(latent_decontam.DIM)
+    latent = latent_decontam.fit_svd(common.docs_of(d), items, idf, 200)
+    energy = [((v @ latent[u]) ** 2).sum() for u, v in (latent_decontam._vector(latent_decontam.feature(c), idf) for c in items.codes)]
+    assert min(energy) > 0.95
