@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import struct
 import tempfile
-import time
 import uuid
 import zlib
 from pathlib import Path
@@ -23,9 +22,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a folder of our own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark.sparkContext, "_lodestar_dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestar-ckpt-")
         spark.sparkContext._lodestar_dir = base
     return base.rstrip("/")
@@ -100,20 +101,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, upon which Spark removes the shuffle files of finished steps."""
-    for _ in range(2):  # the cleaner works behind the collector's back
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def pack_ints(x: np.ndarray) -> bytes:
     """Byte planes of little-endian numbers, compressed."""
     import zstandard
 
     x = np.ascontiguousarray(x)
-    return struct.pack("<IB", len(x), x.dtype.itemsize) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return struct.pack("<IB", len(x), x.dtype.itemsize) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
 def unpack_ints(data: bytes, dtype) -> np.ndarray:
@@ -157,39 +150,218 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     return docs_of(docs).join(F.broadcast(picked), "doc_id")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Connected components of an edge list as (node, root), root the smallest node of its component.
+EDGES_HELD = 1_000_000  # edges that a task joins at once
+
+
+def stars(a: np.ndarray, b: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the edges as (centre, other node), one row for each other node.
+
+    The centre is the smallest node, or with a salt the first one in an order drawn by it."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if salt:
+        order = np.argsort(ranks(nodes, salt), kind="stable")
+        back = np.empty(len(nodes), np.int64)
+        back[order] = np.arange(len(nodes))
+        nodes, at = nodes[order], back[at]
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        new, least = label.copy(), np.minimum(label[x], label[y])
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[label][other], nodes[other]
+
+
+def ranks(nodes: np.ndarray, salt: int) -> np.ndarray:
+    """A permutation of the 64-bit numbers, another for each salt."""
+    with np.errstate(over="ignore"):
+        return mix(nodes.astype(np.int64).view(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def packed_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """An edge list of longs as rows of packed arrays (x, y); edges with a null end and loops go."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([pack_ints(x)], pa.binary()), pa.array([pack_ints(y)], pa.binary())], names=["x", "y"])
+
+    rows = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    return rows.mapInArrow(run, "x binary, y binary")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of packed edges (x, y: arrays of longs) as (node, root), stored; root: the smallest node.
+
+    Rounds of contraction.  A task joins its edges to stars, under an order of the nodes that is drawn anew for each round.
+    The stars meet by node: a node that is a centre in no task leaves the graph and points to the first of its centres;
+    the centres that met there are the edges of the next round.  So a node has a row for each task at most, however many
+    edges it has, a round keeps a fixed share of the nodes at most, and ``EDGES_HELD`` edges or fewer are one task's work
+    and end the search.  Nodes without an edge to another are not returned."""
+    import pandas as pd
+    import pyarrow as pa
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and
-    an equi-join, and writes every round to the shared folder.  Nodes without an edge to another
-    node are not returned; null ends are ignored."""
     spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
-        F.col(a).isNotNull() & F.col(b).isNotNull()).where("u != v").distinct()
-    e, path, last = *_stored(e), None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt, nxt_path = _stored(small)
-        drop_path(spark, path)
-        e, path = nxt, nxt_path
-        mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == last:
+    ship(spark)
+    buckets = n_parts(spark)
+    store = Store(spark)
+
+    def round_(edges: DataFrame, salt: int) -> DataFrame:
+        def deal(held: list) -> pa.RecordBatch:
+            centre, node = stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)), salt)
+            own = np.unique(centre)
+            centre, node = np.concatenate([centre, own]), np.concatenate([node, own])
+            with np.errstate(over="ignore"):
+                part = (mix(node.view(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.searchsorted(part[order], np.arange(buckets + 1))
+            rows = [(k, pack_ints(node[order[s:e]]), pack_ints(centre[order[s:e]])) for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if e > s]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "node", "centre"])
+
+        def local(batches):
+            held, size = [], 0
+            for b in batches:
+                for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                    held.append((unpack_ints(x, np.int64), unpack_ints(y, np.int64)))
+                    size += len(held[-1][0])
+                    if size >= 4 * EDGES_HELD:
+                        yield deal(held)
+                        held, size = [], 0
+            if size:
+                yield deal(held)
+
+        def settle(key, pdf):
+            node, centre = (np.concatenate([unpack_ints(x, np.int64) for x in pdf[c]]) for c in ("node", "centre"))
+            order = np.lexsort((ranks(centre, salt), node))
+            node, centre = node[order], centre[order]
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            to = np.repeat(centre[first], np.diff(np.append(first, len(node))))
+            leaves = first[~np.logical_or.reduceat(node == centre, first)]
+            pair = np.unique(np.stack([centre, to], 1)[centre != to], axis=0)
+            return pd.DataFrame({"n": [len(pair)], "x": [pack_ints(pair[:, 0])], "y": [pack_ints(pair[:, 1])], "v": [pack_ints(node[leaves])], "m": [pack_ints(to[leaves])]})
+
+        dealt = edges.mapInArrow(local, "bucket int, node binary, centre binary")
+        return store.cut(dealt.groupBy("bucket").applyInPandas(settle, "n long, x binary, y binary, v binary, m binary"), "contract")
+
+    def rows(level: DataFrame) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                for v, m in zip(b.column("v").to_pylist(), b.column("m").to_pylist(), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(unpack_ints(v, np.int64)), pa.array(unpack_ints(m, np.int64))], names=["node", "root"])
+
+        return level.select("v", "m").mapInArrow(run, "node long, root long")
+
+    levels, now = [], edges.select("x", "y")
+    while True:
+        levels.append(round_(now, len(levels) + 1))
+        left = levels[-1].agg(F.sum("n")).first()[0]
+        if not left:
             break
-        last = mark
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        now = levels[-1].where("n > 0").select("x", "y").coalesce(-(-left // EDGES_HELD))
+    found = rows(levels[-1])
+    for level in reversed(levels[:-1]):  # what a node points to may have left in a later round
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("_end"))
+        found = rows(level).join(later, "root", "left").select("node", F.coalesce("_end", "root").alias("root")).unionByName(found)
+    found = store.cut(found, "pointers")
+    least = found.groupBy("root").agg(F.min("node").alias("_low")).select("root", F.least("_low", "root").alias("_low"))
+    out = cut(found.join(least, "root").select("node", F.col("_low").alias("root")).unionByName(least.select(F.col("root").alias("node"), F.col("_low").alias("root"))), "components")
+    store.drop()
+    return out
 
 
-def _stored(df: DataFrame) -> tuple[DataFrame, str]:
-    path = new_path(df.sparkSession, "edges")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def named_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``components`` of an edge list over any values: nodes are numbered in a stored table; root: the smallest value."""
+    store = Store(edges.sparkSession)
+    e = store.cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "named")
+    names = store.cut(e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct().withColumn("k", F.monotonically_increasing_id()), "names")
+    numbered = e.join(names.select(F.col("node").alias("a"), F.col("k").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("k").alias("y")), "b")
+    found = components(packed_edges(numbered, "x", "y")).select(F.col("node").alias("k"), F.col("root").alias("c")).join(names, "k")
+    least = found.groupBy("c").agg(F.min("node").alias("root"))
+    out = cut(found.join(least, "c").select("node", "root"), "components")
+    store.drop()
+    return out
+
+
+class Store:
+    """Tables and folders in the shared folder that one operator needs until its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, what: str) -> str:
+        self.paths.append(new_path(self.spark, what))
+        return self.paths[-1]
+
+    def cut(self, df: DataFrame, what: str = "cut") -> DataFrame:
+        path = self.path(what)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for p in self.paths:
+            drop_path(self.spark, p)
+        self.paths = []
+
+
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of text, which set the number of buckets and partitions."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    return int(n), int(size)
+
+
+def parts_of(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Partitions for so many bytes: the session's number, or more where a part would hold over ``each`` bytes."""
+    return max(n_parts(spark), -(-size // each))
+
+
+class Bloom:
+    """Which longs are among those of a table: no false negatives, and at most ``most_bits`` bits whatever the table's size.
+
+    It only saves work: beyond its size it lets more rows through, which a join then drops."""
+
+    def __init__(self, ids: DataFrame, most_bits: int = 1 << 27):
+        import pandas as pd
+        import pyarrow as pa
+
+        spark, n = ids.sparkSession, ids.count()
+        self.bits = bits = min(most_bits, 1 << max(16, (12 * n).bit_length()))
+        slice_ = 1 << 13
+
+        def run(batches):
+            mine = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for h in Bloom.places(b.column(0).to_numpy(zero_copy_only=False), bits):
+                    np.bitwise_or.at(mine, h >> 3, np.left_shift(np.uint8(1), (h & 7).astype(np.uint8)))
+            rows = [(s, mine[s : s + slice_].tobytes()) for s in range(0, len(mine), slice_) if mine[s : s + slice_].any()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["s", "v"])
+
+        def merge(key, pdf):
+            return pd.DataFrame({"s": [key[0]], "v": [np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["v"]]).tobytes()]})
+
+        self.field = np.zeros(bits // 8, np.uint8)
+        for r in ids.mapInArrow(run, "s long, v binary").groupBy("s").applyInPandas(merge, "s long, v binary").collect():
+            self.field[r.s : r.s + slice_] = np.frombuffer(r.v, np.uint8)
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+        x = ids.astype(np.int64).view(np.uint64)
+        return [(ranks(x.view(np.int64), k) & np.uint64(bits - 1)).astype(np.int64) for k in (101, 102, 103, 104)]
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ids), bool)
+        for h in self.places(ids, self.bits):
+            out &= (self.field[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
 def open_store(uri: str):
@@ -206,10 +378,10 @@ def put_bytes(uri: str, data: bytes) -> None:
         f.write(data)
 
 
-def get_bytes(uri: str) -> bytes:
+def get_bytes(uri: str, at: int = 0, size: int | None = None) -> bytes:
     store, path = open_store(uri)
     with store.open_input_file(path) as f:
-        return f.read()
+        return f.read() if size is None else f.read_at(size, at)
 
 
 def n_parts(spark: SparkSession) -> int:

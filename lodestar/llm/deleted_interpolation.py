@@ -9,15 +9,15 @@ under estimates from the others.  Scores use the counts of all training document
    in local coding, ids, roles) is a file in the shared folder and a row of a stored manifest.
 2. Each block sends its distinct n-grams with their counts to hash buckets, one packed row for
    each block and bucket: counts are summed per block before they are shuffled, so a frequent
-   n-gram costs a row's entry for each block, not for each token.
-3. A bucket adds up the counts and returns to each block the totals of its own n-grams, without keys.
+   n-gram costs a row's entry for each block, not for each token.  The number of buckets follows the bytes of text.
+3. A bucket adds up the counts, in 64 bits, and returns to each block the totals of its own n-grams, without keys;
+   those of the fitted documents only for n-grams that the block's deleted documents hold.
 4. With these a block has all it needs.  Deleted documents give a histogram of context buckets and
    quantised probability ratios, bounded in size whatever the corpus, on which EM runs; then every
    document is scored.
 
-Hashes have 22 bits more than the logarithm of the expected number of n-grams (62 at most), so
-about one longer n-gram in 2^12, and one word in 2^22 at most, shares its count with another.  A document is never split, so one very long
-document is a block by itself.
+Words and n-grams are told apart by 62 bits of a hash at every size, so among 10^9 distinct words one in some 10^9
+shares its count with another.  A document is never split, so one very long document is a block by itself.
 
 Defined results: a null or empty text is its end token only; rows of a null doc_id are scored,
 never learned from and not held out; repeated rows count each; an empty table gives an empty
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, get_bytes, hash_words, mix, n_parts, new_path, pack_ints, pack_keys, put_bytes, release, ship, unpack_ints, unpack_keys
+from .common import Store, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, parts_of, put_bytes, ship, sizes, unpack_ints, unpack_keys
 
 HELD, FIT, DELETED = 0, 1, 2
 LEVELS, STEP = 14, 2  # context buckets: powers of two; ratio bins: STEP to an octave
@@ -48,7 +48,7 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 class Block:
     """Documents as word hashes, each led by the start sign; ``first`` has each document's position."""
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, roles: np.ndarray, bits: int):
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, roles: np.ndarray):
         self.lengths, self.roles = lengths, roles
         self.first = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
         n = len(hashes)
@@ -63,12 +63,9 @@ class Block:
         with np.errstate(over="ignore"):
             two = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * mix(prev + np.uint64(2)))
             three = mix(two + np.uint64(0xD1B54A32D192ED03) * mix(prev2 + np.uint64(3)))
-        # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.  Longer
-        # n-grams keep ten bits less than words, which are counted all but exactly.
-        cut_ = np.uint64(64 - bits)
-        one = (mix(hashes) >> cut_ & ~np.uint64(3)) | (~lead).astype(np.uint64)
-        two = (two >> cut_ & ~np.uint64(4095)) | np.uint64(2)
-        three = (three >> cut_ & ~np.uint64(4095)) | np.uint64(3)
+        # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.
+        rest = ~np.uint64(3)
+        one, two, three = mix(hashes) & rest | (~lead).astype(np.uint64), two & rest | np.uint64(2), three & rest | np.uint64(3)
         every = np.concatenate([one, two, three])
         order = np.argsort(every)
         ranked = every[order]
@@ -81,7 +78,7 @@ class Block:
     def counts(self, role: int) -> np.ndarray:
         pick = self.role == role
         at = np.concatenate([self.at[0][pick], self.at[1][pick], self.at[2][pick & self.token]])
-        return np.bincount(at, minlength=len(self.unique)).astype(np.uint32)
+        return np.bincount(at, minlength=len(self.unique)).astype(np.uint64)
 
     def lookups(self, totals: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, ...]:
         """c1, c2, c3 and the counts of both contexts at the tokens in ``pick`` (positions)."""
@@ -98,7 +95,7 @@ class Block:
         return b"".join(struct.pack("<I", len(p)) + p for p in parts)
 
     @staticmethod
-    def load(data: bytes, bits: int) -> tuple[Block, list]:
+    def load(data: bytes) -> tuple[Block, list]:
         parts, at = [], 0
         while at < len(data):
             n = struct.unpack_from("<I", data, at)[0]
@@ -106,7 +103,7 @@ class Block:
             at += 4 + n
         hashes = unpack_keys(parts[0])[unpack_ints(parts[1], np.uint32)]
         ids, known = unpack_ints(parts[4], np.int64), unpack_ints(parts[5], np.uint8)
-        return Block(hashes, unpack_ints(parts[2], np.int64), unpack_ints(parts[3], np.uint8), bits), [int(i) if k else None for i, k in zip(ids, known, strict=True)]
+        return Block(hashes, unpack_ints(parts[2], np.int64), unpack_ints(parts[3], np.uint8)), [int(i) if k else None for i, k in zip(ids, known, strict=True)]
 
 
 def role_of(doc_id, mod: int = 5, held: int = 1, deleted: int = 10) -> int:
@@ -161,15 +158,16 @@ def learn_weights(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np
     return w / w.sum(1, keepdims=True)
 
 
-def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_000) -> DataFrame:
+def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 600_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     import pandas as pd
 
     spark = docs.sparkSession
     ship(spark)
-    buckets = 1 << max(4, (n_parts(spark) - 1).bit_length())
-    bits = min(62, buckets.bit_length() + 20 + 22 + 2)
-    folder = new_path(spark, "lm-blocks")
+    made = Store(spark)
+    parts = parts_of(spark, sizes(docs)[1], 8 << 20)
+    buckets = 1 << max(4, (parts - 1).bit_length())
+    folder = made.path("lm-blocks")
     where = lambda block: f"{folder}/block-{block & 0xFF:02x}/{block:016x}"
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +185,7 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = np.concatenate(([START], hash_words(text) & ~np.uint64(255), [END]))  # 56 bits: stored smaller
+                h = np.concatenate(([START], hash_words(text), [END]))
                 ids.append(doc_id), hashes.append(h), lengths.append(len(h) - 1)
                 size += len(h)
                 if size >= block_tokens:
@@ -195,15 +193,15 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_
         if ids:
             yield flush()
 
-    blocks = cut(docs_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(store, "block long, fit long, gone long"), "lm-manifest")
+    blocks = made.cut(docs_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(store, "block long, fit long, gone long"), "lm-manifest")
     total = blocks.agg(F.coalesce(F.sum("fit"), F.lit(0)).alias("fit"), F.coalesce(F.sum("gone"), F.lit(0)).alias("gone")).first()
 
     def send(pdfs: Iterator) -> Iterator:
         for pdf in pdfs:
             for block in pdf["block"]:
-                b, _ = Block.load(get_bytes(where(block)), bits)
+                b, _ = Block.load(get_bytes(where(block)))
                 fit, gone = b.counts(FIT), b.counts(DELETED)
-                ends = np.searchsorted(b.unique, np.arange(1, buckets, dtype=np.uint64) << np.uint64(bits - (buckets.bit_length() - 1)))
+                ends = np.searchsorted(b.unique, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
                 cuts = np.concatenate(([0], ends, [len(b.unique)]))
                 yield pd.DataFrame([(k, block, pack_keys(b.unique[s:e]), pack_ints(fit[s:e]), pack_ints(gone[s:e])) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s],
                                    columns=["bucket", "block", "keys", "fit", "gone"])
@@ -215,18 +213,19 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_
         new = np.concatenate(([True], every[order][1:] != every[order][:-1]))
         group = np.empty(len(every), np.int64)
         group[order] = np.cumsum(new) - 1
-        sums = [np.bincount(group, np.concatenate([unpack_ints(x, np.uint32) for x in pdf[c]])).astype(np.uint32) for c in ("fit", "gone")]
+        counts = {c: [unpack_ints(x, np.uint64) for x in pdf[c]] for c in ("fit", "gone")}
+        starts = np.flatnonzero(new)
+        sums = [np.add.reduceat(np.concatenate(counts[c])[order], starts) for c in ("fit", "gone")]
         ones = every[order][new] & np.uint64(3) == 1
         rows, at = [(key[0], -1, struct.pack("<qq", int((ones & (sums[0] > 0)).sum()), int((ones & (sums[0] + sums[1] > 0)).sum())), b"")], 0
-        for block, k in zip(pdf["block"], keys, strict=True):
+        for block, k, gone in zip(pdf["block"], keys, counts["gone"], strict=True):
             g = group[at : at + len(k)]
-            rows.append((key[0], block, pack_ints(sums[0][g]), pack_ints(sums[0][g] + sums[1][g])))
+            rows.append((key[0], block, pack_ints(np.where(gone > 0, sums[0][g], np.uint64(0))), pack_ints(sums[0][g] + sums[1][g])))
             at += len(k)
         return pd.DataFrame(rows, columns=["bucket", "block", "fit", "all"])
 
-    spread = blocks.select("block").repartition(4 * n_parts(spark), "block")
-    totals = cut(spread.mapInPandas(send, "bucket int, block long, keys binary, fit binary, gone binary").groupBy("bucket").applyInPandas(add_up, "bucket int, block long, fit binary, all binary"), "lm-totals")
-    release(spark)
+    spread = blocks.select("block").repartition(4 * parts, "block")
+    totals = made.cut(spread.mapInPandas(send, "bucket int, block long, keys binary, fit binary, gone binary").groupBy("bucket").applyInPandas(add_up, "bucket int, block long, fit binary, all binary"), "lm-totals")
     v_fit = v_all = 0
     for r in totals.where("block = -1").select("fit").collect():  # one row for each bucket
         x, y = struct.unpack("<qq", r["fit"])
@@ -234,10 +233,10 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_
     own = lambda what: totals.where("block <> -1").select("bucket", "block", F.col(what).alias("counts")).groupBy("block")
 
     def gathered(pdf: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([unpack_ints(x, np.uint32) for x in pdf.sort_values("bucket")["counts"]])
+        return np.concatenate([unpack_ints(x, np.uint64) for x in pdf.sort_values("bucket")["counts"]])
 
     def histogram(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b, _ = Block.load(get_bytes(where(key[0])), bits)
+        b, _ = Block.load(get_bytes(where(key[0])))
         pick = np.flatnonzero(b.token & (b.role == DELETED))
         p1, p2, p3, level = estimates(b.lookups(gathered(pdf), pick), total.fit, v_fit)
         code, n = np.unique((level * 256 + _bin(p2, p1)) * 256 + _bin(p3, p1), return_counts=True)
@@ -245,11 +244,10 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_
 
     seen = own("fit").applyInPandas(histogram, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     weights = learn_weights(seen["code"].to_numpy(np.int64), seen["n"].to_numpy(float))
-    release(spark)
     n_all = total.fit + total.gone
 
     def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b, ids = Block.load(get_bytes(where(key[0])), bits)
+        b, ids = Block.load(get_bytes(where(key[0])))
         pick = np.flatnonzero(b.token)
         p1, p2, p3, level = estimates(look := b.lookups(gathered(pdf), pick), n_all, v_all)
         w = weights[level]
@@ -260,4 +258,6 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 360_
 
     scored = own("all").applyInPandas(judge, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     is_held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == held, F.lit(False))
-    return scored.select("doc_id", is_held.alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    out = cut(scored.select("doc_id", is_held.alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"), "lm-scores")
+    made.drop()
+    return out

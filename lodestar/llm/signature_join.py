@@ -14,23 +14,27 @@ Exact links between documents whose word-shingle sets have a Jaccard similarity
    links lie.  In each of them the sets meet once more by the hashes of their prefixes, rare hashes first,
    whose components are the final regions.  Which hashes are frequent is learnt from a sample of about
    ``order_docs`` documents; any order is correct, this one parts sets that share a common passage only.
-4. The texts of the sets in regions of two or more meet by region, once each.  In a region a signature
-   tree is built over the sets by size: a node holds the OR of its members' token bitmaps and their
-   size range.  Dual traversal compares nodes, prunes a pair of nodes when the maximum possible
-   overlap or the sizes exclude a link or all members are linked already, and checks the remaining
-   pairs of sets exactly.  Linked sets are merged at once, so a group of near copies costs about one
+4. The packed sets of the documents in regions of two or more meet by region, once each; the others are
+   left out by a Bloom filter of bounded size.  Regions beyond ``block_sets`` sets or ``region_limit`` shingles
+   are dealt to blocks.  In a region or block a signature tree is built over the sets by size: a node holds the
+   OR of its members' token bitmaps and their size range.  Dual traversal compares nodes, prunes a pair of nodes
+   when the maximum possible overlap or the sizes exclude a link or all members are linked already, and checks the
+   remaining pairs of sets exactly.  Linked sets are merged at once, so a group of near copies costs about one
    check each, and only a spanning forest of links leaves the task.
-5. Regions beyond ``block_sets`` sets or ``region_limit`` shingles are dealt to blocks at random, each linked by
-   itself; then one set of each class found so far, so that near copies become one class.  In a region with
-   several classes left, every block of sets outside the largest class meets every block of a size that
-   allows a link; pairs of one class are not compared.  Connected components of all the forests give the classes.
+5. The sets of a block are stored.  One set of each class found in a block meets those of other blocks, so that
+   near copies become one class.  Regions with several classes left go up the tree: their sets are dealt anew by
+   size to leaf blocks, each stored once, and the OR-bitmap and size range of every block enter the region's stored tree.
+   Each block outside the largest class walks that tree and reads only the blocks it cannot exclude;
+   pairs of one class are not compared.  No set is shuffled for a pair.
+   Connected components of all the forests give the classes.
 
 The bitmap is in unary code: bit (bucket, c) is set if a set has more than c hashes in the bucket, so
 the OR of bitmaps is the maximum of counters and the number of common bits, a sum of minima, bounds
 the overlap of any two members.
 
 Defined results: null or empty texts, and texts without a word, have an empty set, link with nothing
-and are their own component; equal rows link; rows of a null doc_id are returned with a null component
+and are their own component; equal rows link; rows of one doc_id with different texts are one node, which has the links
+of each; rows of a null doc_id are returned with a null component
 and link with nothing; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -38,6 +42,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +51,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, docs_of, hash_words, mix, n_parts, pack_ints, pack_keys, release, ship, unpack_ints, unpack_keys
+from .common import Bloom, Store, components, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, packed_edges, parts_of, put_bytes, ship, sizes, stars, unpack_ints, unpack_keys
 
-BUCKETS, LEAF, FAN = 512, 8, 6
+BUCKETS, LEAF, FAN = 512, 32, 6
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -115,24 +121,50 @@ class Node:
         self.sole = -1  # the component of all members, once they are in one
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint16)
+def buckets_for(sets: list[np.ndarray]) -> int:
+    """Counters of a bitmap: about as many as the largest set has hashes, so that most are 0 or 1."""
+    return min(1 << 13, max(BUCKETS, 1 << max((len(s) for s in sets), default=1).bit_length()))
+
+
+def bitmap(s: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    return np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.int32)
 
 
 class SignatureTree:
     """Leaves of sets of similar size, then nodes of FAN children."""
 
-    def __init__(self, sets: list[np.ndarray], order: list[int]):
-        bits = {i: bitmap(sets[i]) for i in order}
+    def __init__(self, sets: list[np.ndarray], order: list[int], buckets: int = BUCKETS):
+        self.order = {i: k for k, i in enumerate(order)}
+        bits = [bitmap(sets[i], buckets) for i in order]
+        kind = np.uint8 if max(int(b.max(initial=0)) for b in bits) < 256 else np.int32
+        self.bits = np.array(bits, kind)
         level = []
         for at in range(0, len(order), LEAF):
             m = order[at : at + LEAF]
-            level.append(Node(np.maximum.reduce([bits[i] for i in m]), len(sets[m[0]]), len(sets[m[-1]]), m, None))
-        self.bits = bits
-        while len(level) > 1:
-            level = [Node(np.maximum.reduce([c.bits for c in g]), g[0].low, g[-1].high, [i for c in g for i in c.members], g)
-                     for g in (level[at : at + FAN] for at in range(0, len(level), FAN))]
-        self.root = level[0]
+            level.append(Node(self.bits[at : at + LEAF].max(0), len(sets[m[0]]), len(sets[m[-1]]), m, None))
+        self.root = grown(level)
+
+    def rows(self, members: list[int]) -> np.ndarray:
+        at = self.order[members[0]]
+        return self.bits[at : at + len(members)]
+
+
+def grown(level: list[Node]) -> Node:
+    """The tree over nodes in order of size."""
+    while len(level) > 1:
+        level = [Node(np.maximum.reduce([c.bits for c in g]), min(c.low for c in g), max(c.high for c in g), [i for c in g for i in c.members], g)
+                 for g in (level[at : at + FAN] for at in range(0, len(level), FAN))]
+    return level[0]
+
+
+def may_link(num: int, low_a: int, high_a: int, low_b: int, high_b: int, bits_a: np.ndarray, bits_b: np.ndarray) -> bool:
+    """Whether two members of these sizes and bitmaps could link: overlap >= t/(1+t) (|A|+|B|)."""
+    if 100 * high_a < num * low_b or 100 * high_b < num * low_a:
+        return False
+    most = int(np.minimum(bits_a, bits_b).sum(dtype=np.int64))
+    # A set of a node has at least ``low`` hashes; with overlap o the union is at least low_a + low_b - o.
+    o = min(most, high_a, high_b)
+    return 100 * o >= num * (max(low_a, o) + max(low_b, o) - o)
 
 
 class Linker:
@@ -149,15 +181,6 @@ class Linker:
             i = self.parent[i]
         return i
 
-    def may(self, low_a: int, high_a: int, low_b: int, high_b: int, bits_a, bits_b) -> bool:
-        """Whether two members of these sizes and bitmaps could link: overlap >= t/(1+t) (|A|+|B|)."""
-        if 100 * high_a < self.num * low_b or 100 * high_b < self.num * low_a:
-            return False
-        most = int(np.minimum(bits_a, bits_b).sum(dtype=np.int64))
-        # A set of a node has at least ``low`` hashes; with overlap o the union is at least low_a + low_b - o.
-        o = min(most, high_a, high_b)
-        return 100 * o >= self.num * (max(low_a, o) + max(low_b, o) - o)
-
     def linked(self, i: int, j: int) -> bool:
         a, b = self.sets[i], self.sets[j]
         self.checks += 1
@@ -166,14 +189,22 @@ class Linker:
         o = int((both[1:] == both[:-1]).sum())
         return 100 * o >= self.num * (len(a) + len(b) - o)
 
-    def pair(self, tree_a: SignatureTree, tree_b: SignatureTree, i: int, j: int) -> None:
-        r, s = self.find(i), self.find(j)
-        if r == s:
-            return
-        a, b = len(self.sets[i]), len(self.sets[j])
-        if self.may(a, a, b, b, tree_a.bits[i], tree_b.bits[j]) and self.linked(i, j):
-            self.parent[max(r, s)] = min(r, s)
-            self.edges.append((i, j))
+    def leaves(self, tree_a: SignatureTree, tree_b: SignatureTree, a: Node, b: Node) -> None:
+        """The pairs of two leaves (or of one) whose sizes and bitmaps allow a link, checked one after the other."""
+        n, m = (np.array([len(self.sets[i]) for i in x.members], np.int64) for x in (a, b))
+        r, s = (np.array([self.find(i) for i in x.members]) for x in (a, b))
+        near = (100 * n[:, None] >= self.num * m) & (100 * m >= self.num * n[:, None]) & (r[:, None] != s)
+        i, j = np.nonzero(np.triu(near, 1) if a is b else near)
+        bits_a, bits_b = tree_a.rows(a.members), tree_b.rows(b.members)
+        for at in range(0, len(i), 512):
+            x, y = i[at : at + 512], j[at : at + 512]
+            most = np.minimum(bits_a[x], bits_b[y]).sum(1, dtype=np.int64)
+            for k in np.flatnonzero(100 * most >= self.num * (n[x] + m[y] - most)).tolist():
+                p, q = a.members[x[k]], b.members[y[k]]
+                u, v = self.find(p), self.find(q)
+                if u != v and self.linked(p, q):
+                    self.parent[max(u, v)] = min(u, v)
+                    self.edges.append((p, q))
 
     def sole(self, n: Node) -> int:
         """The component that holds all members, or -1."""
@@ -191,20 +222,13 @@ class Linker:
             s = self.sole(a)
             if s >= 0 and (a is b or s == self.sole(b)):
                 continue
-            if a is not b and not self.may(a.low, a.high, b.low, b.high, a.bits, b.bits):
+            if a is not b and not may_link(self.num, a.low, a.high, b.low, b.high, a.bits, b.bits):
                 continue
-            if a is b:
-                if a.children is None:
-                    for x, i in enumerate(a.members):
-                        for j in a.members[x + 1 :]:
-                            self.pair(tree_a, tree_b, i, j)
-                else:
-                    c = a.children
-                    todo += [(c[x], c[y]) for y in range(len(c)) for x in range(y)] + [(x, x) for x in c]
-            elif a.children is None and b.children is None:
-                for i in a.members:
-                    for j in b.members:
-                        self.pair(tree_a, tree_b, i, j)
+            if a.children is None and b.children is None:
+                self.leaves(tree_a, tree_b, a, b)
+            elif a is b:
+                c = a.children
+                todo += [(c[x], c[y]) for y in range(len(c)) for x in range(y)] + [(x, x) for x in c]
             elif b.children is None or (a.children is not None and len(a.members) >= len(b.members)):
                 todo += [(c, b) for c in a.children]
             else:
@@ -213,11 +237,11 @@ class Linker:
 
 def forest(sets: list[np.ndarray], num: int, block: list[int] | None = None, roots: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that join the components; with ``block``, only links between the two blocks; sets of equal ``roots`` are joined already."""
-    link = Linker(sets, num, roots)
+    link, buckets = Linker(sets, num, roots), buckets_for(sets)
     groups: dict[int, list[int]] = {}
     for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
         groups.setdefault(block[i] if block else 0, []).append(i)
-    trees = [SignatureTree(sets, order) for _, order in sorted(groups.items())]
+    trees = [SignatureTree(sets, order, buckets) for _, order in sorted(groups.items())]
     if len(trees) == 1:
         link.walk(trees[0], trees[0])
     elif len(trees) == 2:
@@ -236,9 +260,8 @@ def prefix(s: np.ndarray, num: int, frequent: np.ndarray, counts: np.ndarray) ->
     return (s[:take] >> np.uint64(32)).astype("<u4")
 
 
-def frequent_hashes(docs: DataFrame, width: int, order_docs: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_hashes(docs: DataFrame, width: int, order_docs: int, n: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that occur three times or more in a part of a sample of about ``order_docs`` documents, at most ``most`` a part, and their counts."""
-    n = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(n, 1))) < order_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,30 +289,44 @@ def packed(keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple[int, b
     return [(k, pack_keys(keys[s:e]), pack_ints(ids[s:e])) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The components of the edges as (smallest node, other node), one for each other node."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-    while True:
-        new, least = label.copy(), np.minimum(label[x], label[y])
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = nodes[label] != nodes
-    return nodes[label][other], nodes[other]
+def refs_of(path: str, ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, str, int, int]]:
+    """Stores sets one after the other; (doc_id, path, first byte, size) of each."""
+    put_bytes(path, b"".join(s.astype("<u8").tobytes() for s in sets))
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))[:-1] * 8
+    return [(i, path, int(a), len(s)) for i, a, s in zip(ids, at, sets, strict=True)]
+
+
+def read_set(path: str, at: int, n: int) -> np.ndarray:
+    return np.frombuffer(get_bytes(path, at, 8 * n), "<u8")
+
+
+def runs(pdfs: Iterator, *by: str) -> Iterator:
+    """(key, rows) of each run of equal keys in rows that come sorted by them."""
+    key, held = None, []
+    for pdf in pdfs:
+        for r in pdf.itertuples(index=False):
+            now = tuple(getattr(r, c) for c in by)
+            if now != key:
+                if held:
+                    yield key, held
+                key, held = now, []
+            held.append(r)
+    if held:
+        yield key, held
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit: int = 4_000_000, block_sets: int = 128, order_docs: int = 16_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    import pandas as pd
+
     spark = docs.sparkSession
     ship(spark)
+    store = Store(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = 1 << max(3, (n_parts(spark) - 1).bit_length())
-    order = spark.sparkContext.broadcast(frequent_hashes(docs, width, order_docs))
+    n_docs, n_bytes = sizes(docs)
+    parts = parts_of(spark, n_bytes)
+    buckets = 1 << max(3, (parts - 1).bit_length())
+    order = spark.sparkContext.broadcast(frequent_hashes(docs, width, order_docs, n_docs))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and for each batch and bucket one row of packed keys with their documents."""
@@ -324,101 +361,136 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*some), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "ids"])
 
     def meet(key, pdf):
-        """Documents of a key are joined; what the keys of the bucket join is a tree for each component, packed by document."""
-        import pandas as pd
-
+        """Documents of a key are joined; what the keys of the bucket join is a star for each component."""
         keys, ids = np.concatenate([unpack_keys(x) for x in pdf["keys"]]), np.concatenate([unpack_ints(x, np.int64) for x in pdf["ids"]])
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         first = np.concatenate(([True], keys[1:] != keys[:-1]))
         low, high = stars(ids[first][np.cumsum(first) - 1], ids)
-        with np.errstate(over="ignore"):
-            part = (mix(high.view(np.uint64)) % np.uint64(max(8, buckets // 4))).astype(np.int64)
-        found = [(int(k), pack_ints(low[part == k]), pack_ints(high[part == k])) for k in np.unique(part)]
-        return pd.DataFrame(found, columns=["part", "low", "high"])
-
-    def merge(key, pdf):
-        import pandas as pd
-
-        low, high = stars(*(np.concatenate([unpack_ints(x, np.int64) for x in pdf[c]]) for c in ("low", "high")))
-        return pd.DataFrame({"a": low, "b": high})
-
-    described = cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, rare binary, bucket int, keys binary, ids binary"), "sets")
-    sets = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+        return pd.DataFrame({"x": [pack_ints(low)], "y": [pack_ints(high)]})
 
     def met(entries: DataFrame) -> DataFrame:
-        stored = cut(entries.groupBy("bucket").applyInPandas(meet, "part int, low binary, high binary"), "stars")
-        found = components(stored.groupBy("part").applyInPandas(merge, "a long, b long"))
+        found = components(entries.groupBy("bucket").applyInPandas(meet, "x binary, y binary"))
         return found.select(F.col("node").alias("doc_id"), F.col("root").alias("region"))
 
+    described = store.cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, rare binary, bucket int, keys binary, ids binary"), "sets")
+    own_rows = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
+    classes = own_rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     coarse = met(described.where("bucket IS NOT NULL").select("bucket", "keys", "ids"))
     heads = described.where("rare IS NOT NULL").select("doc_id", "rare").join(coarse, "doc_id")
     members = met(heads.mapInArrow(again, "bucket int, keys binary, ids binary"))
-    members = cut(members.join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
-    release(spark)
-    large = cut(members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where((F.col("sets") > block_sets) | (F.col("total") > region_limit))
-                .select("region", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(2 * F.col("total") / region_limit)).cast("int").alias("blocks")), "large")
-    texts = cut(docs_of(docs).join(members.join(large, "region", "left"), "doc_id"), "texts")
-    dealt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.coalesce("blocks", F.lit(1))).cast("string")
-
-    def link(batches: Iterator) -> Iterator:
-        """Rows come sorted by (region, x, y); each run of equal keys is one traversal."""
-        import pandas as pd
-
-        key, ids, texts, block, roots = None, [], [], [], []
-
-        def done():
-            edges = forest([shingles(t, width) for t in texts], num, [int(x == key[2]) for x in block] if key[1] != key[2] else None, roots)
-            return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
-
-        out = []
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if (r.region, r.x, r.y) != key:
-                    if len(ids) > 1:
-                        out.append(done())
-                    key, ids, texts, block, roots = (r.region, r.x, r.y), [], [], [], []
-                ids.append(r.doc_id), texts.append(r.text), block.append(r.block), roots.append(r.root)
-            if out:
-                yield pd.concat(out)
-                out = []
-        if len(ids) > 1:
-            yield done()
-
-    def linked(work: DataFrame, what: str) -> DataFrame:
-        """The links within the tasks (region, x, y); rows: doc_id, text, region, x, y, block, root."""
-        rows = work.select("doc_id", "text", "region", "x", "y", "block", "root").repartition(n_parts(spark), "region", "x", "y")
-        return cut(rows.sortWithinPartitions("region", "x", "y", "doc_id").mapInPandas(link, "a long, b long"), what)
-
-    links = linked(texts.select("*", dealt.alias("x"), dealt.alias("y"), dealt.alias("block"), F.col("doc_id").alias("root")), "links")
+    members = store.cut(members.join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
+    large = store.cut(members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where((F.col("sets") > block_sets) | (F.col("total") > region_limit))
+                      .select("region", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(2 * F.col("total") / region_limit)).cast("int").alias("blocks")), "large")
+    bloom = spark.sparkContext.broadcast(Bloom(members.select("doc_id")))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the documents that may be members, once for each batch of copies."""
+        for b in batches:
+            b = b.filter(pa.array(b.column("doc_id").is_valid()))
+            b = b.filter(pa.array(bloom.value.has(b.column("doc_id").to_numpy())))
+            sets = {(i, s.tobytes()) for i, s in zip(b.column("doc_id").to_pylist(), (shingles(t, width) for t in b.column("text").to_pylist()), strict=True) if len(s)}
+            ids, raw = zip(*sorted(sets), strict=True) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
+
+    folder = store.path("set-blocks")
+    SPEC = "a long, b long, region long, path string, at long, n long"
+    columns = [c.split()[0] for c in SPEC.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if c != "path"})
+
+    def link(pdfs: Iterator) -> Iterator:
+        """The links within each (region, block); the sets of blocks of large regions are stored."""
+        for (region, _), rows in runs(pdfs, "region", "block"):
+            sets, ids = [np.frombuffer(r.shingles, np.uint64) for r in rows], [r.doc_id for r in rows]
+            split = rows[0].blocks > 1
+            out = [(ids[i], ids[j], region if split else None, None, None, None) for i, j in forest(sets, num)]
+            if split:
+                out += [(i, None, region, path, at, n) for i, path, at, n in refs_of(f"{folder}/{uuid.uuid4().hex}", ids, sets)]
+            yield frame(out)
+
+    dealt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks"))
+    met_sets = docs_of(docs).mapInArrow(sets_of, "doc_id long, shingles binary").join(members.join(large, "region", "left").select("doc_id", "region", F.coalesce("blocks", F.lit(1)).alias("blocks")), "doc_id")
+    grouped = met_sets.withColumn("block", dealt).repartition(parts, "region", "block").sortWithinPartitions("region", "block", "doc_id")
+    linked = store.cut(grouped.mapInPandas(link, SPEC), "links")
+    links = linked.where("path IS NULL").select("a", "b")
     if large.head(1):
-        split = texts.where("blocks IS NOT NULL")
+        refs = linked.where("path IS NOT NULL").select(F.col("a").alias("doc_id"), "region", "path", "at", "n")
+        inner = linked.where("path IS NULL AND region IS NOT NULL").select("a", "b")
 
         def rooted(links: DataFrame) -> DataFrame:
-            c = components(links).select(F.col("node").alias("doc_id"), "root")
-            return split.join(c, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-
-        reps = rooted(links).where("root = doc_id")
-        n_reps = cut(reps.groupBy("region").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("now")), "reps")
-        dealt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("now")).cast("string")
-        links = links.unionByName(linked(reps.join(n_reps, "region").select("*", dealt.alias("x"), dealt.alias("y"), dealt.alias("block")), "links"))
-        now = cut(rooted(links).select("doc_id", "region", "n", "root"), "rooted")
+            c = components(packed_edges(links)).select(F.col("node").alias("doc_id"), "root")
+            return store.cut(refs.join(c, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+
+        def link_refs(pdfs: Iterator) -> Iterator:
+            for _, rows in runs(pdfs, "region", "block"):
+                yield pd.DataFrame([(rows[i].doc_id, rows[j].doc_id) for i, j in forest([read_set(r.path, r.at, r.n) for r in rows], num)], columns=["a", "b"], dtype="int64")
+
+        reps = rooted(inner).where("root = doc_id")
+        per = reps.groupBy("region").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("now"))
+        reps = reps.join(per, "region").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("now")))
+        more = store.cut(reps.repartition(parts, "region", "block").sortWithinPartitions("region", "block", "doc_id").mapInPandas(link_refs, "a long, b long"), "links")
+        links, inner = links.unionByName(more), inner.unionByName(more)
+        now = rooted(inner)
         per = now.groupBy("region", "root").agg(F.count("*").alias("sets"))
-        several = cut(per.groupBy("region").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("region", "main"), "several")
+        several = store.cut(per.groupBy("region").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("region", "main"), "several")
         # Sizes of linked sets lie in one band or in neighbouring ones, as a band is a little wider than the ratio 100 / num.
         band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / num) if num < 100 else 1.0)).cast("int")
-        name = lambda k: F.concat_ws("|", *(c.cast("string") for c in (F.col("inner"), F.col("band"), k)))
-        rest = now.join(several, "region").select("doc_id", "region", "root", (F.col("root") == F.col("main")).alias("inner"), band.alias("band"))
-        groups = cut(rest.groupBy("region", "inner", "band").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks")), "bands")
-        rest = rest.join(groups, ["region", "inner", "band"]).withColumn("block", name(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("blocks"))))
-        each = groups.select("region", "inner", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("region", "inner", "band", name(F.col("k")).alias("x"))
-        other = each.select("region", F.col("inner").alias("inner_y"), F.col("band").alias("band_y"), F.col("x").alias("y"))
-        tasks = each.join(other, "region").where((F.col("x") <= F.col("y")) & ~(F.col("inner") & F.col("inner_y")) & (F.abs(F.col("band") - F.col("band_y")) <= 1))
-        ends = F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("block")
-        work = rest.join(tasks.select("region", "x", "y", ends), ["region", "block"]).select("doc_id", "root", "x", "y", "block")
-        links = links.unionByName(linked(split.select("doc_id", "text", "region").join(work, "doc_id"), "links"))
-    found = components(links)
+        rest = now.join(several, "region").withColumn("inner", F.col("root") == F.col("main")).withColumn("band", band)
+        groups = rest.groupBy("region", "inner", "band").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks"))
+        rest = rest.join(groups, ["region", "inner", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("blocks")))
+        rest = rest.repartition(parts, "region", "inner", "band", "block").sortWithinPartitions("region", "inner", "band", "block", "n", "doc_id")
+
+        def leaf_blocks(pdfs: Iterator) -> Iterator:
+            """Stores each block as a leaf of its region's tree: path, sizes and OR-bitmap."""
+            for (region, outer, _, _), rows in runs(pdfs, "region", "inner", "band", "block"):
+                sets, path = [read_set(r.path, r.at, r.n) for r in rows], f"{folder}/{uuid.uuid4().hex}"
+                put_bytes(path, pickle.dumps(([r.doc_id for r in rows], [r.root for r in rows], sets)))
+                bits = np.maximum.reduce([bitmap(s) for s in sets])
+                yield pd.DataFrame({"region": [region], "inner": [outer], "path": [path], "low": [len(sets[0])], "high": [len(sets[-1])], "bits": [pack_ints(bits)]})
+
+        leaves = store.cut(rest.mapInPandas(leaf_blocks, "region long, inner boolean, path string, low long, high long, bits binary"), "leaves")
+
+        def plant(key, pdf):
+            """Stores the leaves of a region for its tree."""
+            path = f"{folder}/{uuid.uuid4().hex}"
+            rows = sorted(zip(pdf["low"].tolist(), pdf["high"].tolist(), pdf["path"].tolist(), pdf["inner"].tolist(), pdf["bits"].tolist(), strict=True))
+            put_bytes(path, pickle.dumps(rows))
+            return pd.DataFrame({"region": [key[0]], "tree": [path]})
+
+        trees = store.cut(leaves.groupBy("region").applyInPandas(plant, "region long, tree string"), "trees")
+
+        def climb(pdfs: Iterator) -> Iterator:
+            """Each block outside the main class walks the region's tree and meets the blocks that it cannot exclude."""
+            for (tree,), rows in runs(pdfs, "tree"):
+                kept = pickle.loads(get_bytes(tree))
+                place = {x[2]: k for k, x in enumerate(kept)}
+                root = grown([Node(unpack_ints(bits, np.int32), low, high, [k], None) for k, (low, high, _, _, bits) in enumerate(kept)])
+                for r in rows:
+                    mine, (ids, roots, sets) = place[r.path], pickle.loads(get_bytes(r.path))
+                    out = [(ids[i], ids[j]) for i, j in forest(sets, num, None, roots)]
+                    low, high, bits, todo = r.low, r.high, unpack_ints(r.bits, np.int32), [root]
+                    while todo:
+                        node = todo.pop()
+                        if not may_link(num, low, high, node.low, node.high, bits, node.bits):
+                            continue
+                        if node.children is not None:
+                            todo += node.children
+                        elif kept[k := node.members[0]][3] or k > mine:  # two blocks outside the main class meet once
+                            ids_b, roots_b, sets_b = pickle.loads(get_bytes(kept[k][2]))
+                            both = [*ids, *ids_b]
+                            out += [(both[i], both[j]) for i, j in forest([*sets, *sets_b], num, [0] * len(ids) + [1] * len(ids_b), [*roots, *roots_b])]
+                    yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        walkers = leaves.where("NOT inner").join(trees, "region").repartition(parts, "path").sortWithinPartitions("tree")
+        links = links.unionByName(store.cut(walkers.mapInPandas(climb, "a long, b long"), "links"))
+    found = components(packed_edges(links))
     own = classes.select("h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
-    out = sets.join(own, ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # An empty set gets a digest of its own, so that empty texts are not one key.
+    keyed = own_rows.withColumn("h1", F.when(F.col("n") == 0, F.xxhash64("doc_id")).otherwise(F.col("h1"))).withColumn("h2", F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("h2")))
+    joined = keyed.join(own, ["h1", "h2"], "left")
+    own_id = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    out = cut(joined.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id")), "classes")
+    store.drop()
+    return out

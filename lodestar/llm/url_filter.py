@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, components
+from .common import LOWER, UPPER, named_components
 
 
 class UrlRule(NamedTuple):
@@ -95,7 +95,7 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Seq
     url = F.col("url")
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_key", F.concat("host", "path"))
-    root = components(edges)
+    root = named_components(edges)
     # A class is blocked if a rule blocks any of its urls, whether or not they are pages here.
     verdict = rule_of(F.substring_index(F.col("node"), "/", 1), F.expr("substring(node, CASE WHEN locate('/', node) = 0 THEN length(node) + 1 ELSE locate('/', node) END)"), rules)["verdict"]
     blocked = root.withColumn("_v", verdict).groupBy("root").agg(F.max((F.col("_v") == "block").cast("int")).alias("_blocked")).where("_blocked = 1")

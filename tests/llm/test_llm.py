@@ -205,7 +205,7 @@ def test_urls(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)], "a long, b long")
-    got = {r.node: r.root for r in common.components(e).collect()}
+    got = {r.node: r.root for r in common.named_components(e).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
