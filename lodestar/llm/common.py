@@ -140,14 +140,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     """At most ``bound`` labelled training rows, those with the smallest id hashes: (doc_id, text, y).
 
     The label side is bounded, so broadcasting it is safe and the texts stay where they are.
-    Of several labels of one id the largest holds; rows of a null id or label are left out."""
+    Of several labels of one id the largest holds, of several texts of one id the first in order; rows of a null id
+    or label are left out."""
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .where(fold(mod) != held)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return docs_of(docs).join(F.broadcast(picked), "doc_id")
+    return docs_of(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 EDGES_HELD = 1_000_000  # edges that a task joins at once
@@ -312,6 +313,29 @@ class Store:
         self.paths = []
 
 
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id is surely not among ``ids``, all others): a Bloom filter tells, so only the second part need be shuffled.
+
+    Rows of a null doc_id are in the first part."""
+    import pandas as pd
+
+    ship(docs.sparkSession)
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom(ids.select(F.col("doc_id").cast("long"))))
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        return pd.Series(bloom.value.has(x.to_numpy(np.int64)))
+
+    flagged = docs.withColumn("_among", among(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))) & F.col("doc_id").isNotNull())
+    return flagged.where(~F.col("_among")).select(docs.columns), flagged.where("_among").select(docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ``ids``; those of a null doc_id stay."""
+    clear, rest = parted(docs, ids)
+    return clear.unionByName(rest.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns))
+
+
 def sizes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text, which set the number of buckets and partitions."""
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()

@@ -33,8 +33,8 @@ the OR of bitmaps is the maximum of counters and the number of common bits, a su
 the overlap of any two members.
 
 Defined results: null or empty texts, and texts without a word, have an empty set, link with nothing
-and are their own component; equal rows link; rows of one doc_id with different texts are one node, which has the links
-of each; rows of a null doc_id are returned with a null component
+and are their own component; equal rows link; rows of one doc_id with different texts have each the class of
+their own text, and classes named by one doc_id are one; rows of a null doc_id are returned with a null component
 and link with nothing; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -51,9 +51,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Store, components, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, packed_edges, parts_of, put_bytes, ship, sizes, stars, unpack_ints, unpack_keys
+from .common import Bloom, Store, components, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, packed_edges, parted, parts_of, put_bytes, ship, sizes, stars, unpack_ints, unpack_keys
 
 BUCKETS, LEAF, FAN = 512, 32, 6
+BATCH = 4000  # documents described at once
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -332,7 +333,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit
         """A row for each document, and for each batch and bucket one row of packed keys with their documents."""
         names = ["doc_id", "n", "h1", "h2", "rare", "bucket", "keys", "ids"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        for b in batches:
+        for b in (b.slice(lo, BATCH) for b in batches for lo in range(0, b.num_rows, BATCH)):
             n, h1, h2, rare, heads = [], [], [], [], {}
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t, width)
@@ -494,3 +495,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit
     out = cut(joined.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id")), "classes")
     store.drop()
     return out
+
+
+def keep_one(docs: DataFrame, width: int, num: int) -> DataFrame:
+    """One document of each class of near copies: the one whose doc_id names the class.
+
+    Rows of a null doc_id stay; of several rows of one doc_id that stays the first by text does.  Only rows that may go are shuffled."""
+    found = near_duplicates(docs, width, num).where("doc_id IS NOT NULL")
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays"))
+    doubtful = cut(rows.where("n > 1 OR stays = 0"), "doubtful")
+    gone = doubtful.where("stays = 0").select("doc_id")
+    clear, rest = parted(docs, doubtful)
+    rest = cut(rest.join(gone, "doc_id", "left_anti").select(docs.columns), "rest")
+    first = rest.groupBy("doc_id").agg(F.min("text").alias("_t"))
+    chosen = rest.join(first, "doc_id").where(F.col("text").eqNullSafe(F.col("_t"))).drop("_t").dropDuplicates(["doc_id"])
+    return clear.unionByName(chosen.select(docs.columns))
