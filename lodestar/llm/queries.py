@@ -10,7 +10,7 @@ from .common import table, tokenizer_path
 
 def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_frames.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return token_frames.read(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_frames.read(manifest, with_ids=False)
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.secret_key(spark))
 
 
 QUERIES = {f.__name__: f for f in (
