@@ -4,7 +4,8 @@ A pre-tokenizer that never joins characters across certain white space lets a te
 each piece be encoded on its own; equal pieces are encoded once per worker by the tokenizers
 library.  Two cuts are known: ``drop`` (white space is no token: cut at ASCII white space and drop
 it) and ``lead`` (a space leads the next token: keep it at the piece's front).  Texts with white
-space beyond ASCII are encoded whole in the second mode.
+space beyond ASCII are encoded whole in the second mode.  The added tokens of the tokenizer file hold as the library has it:
+a text with the content of one, in whatever case, is encoded whole.  ``literal`` makes them ordinary text.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ _BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted(set(r
 class PieceEncoder(dict):
     """Maps a piece (bytes) to its ids as little-endian bytes of ``width``."""
 
-    def __init__(self, path: str, mode: str, width: int = 2, limit: int = 900_000):
+    def __init__(self, path: str, mode: str, width: int = 2, limit: int = 900_000, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = literal
+        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.mode, self.limit, self.spaced = mode, limit, Spaced(self)
         self.width = width if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 8 * width else 4
         # Where the tokenizer folds case itself, folding A-Z beforehand changes nothing and halves the table.
@@ -98,6 +101,8 @@ class PieceEncoder(dict):
         return self.spaced[piece[1:]] if piece[:1] == b" " and len(piece) > 1 else self[piece]
 
     def encode(self, text: bytes) -> bytes:
+        if self.added and self.added.search(text):
+            return self.whole(text)
         if self.folds:
             text = text.lower()
         if self.mode == "drop":

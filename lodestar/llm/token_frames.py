@@ -7,18 +7,19 @@ width), and the seek table of the public zstandard seekable format: a skippable
 frame's compressed size, size and checksum (low 32 bits of XXH64), then the footer.  A reader takes
 the footer, the table and the index, and decompresses only the documents asked for.
 
-Files are ordered: shards by doc_id range, documents by doc_id within.  A shard is written under a
+Files are ordered: shards by doc_id range, documents by doc_id within; a task begins a new file beyond ``file_bytes``,
+which bounds what it holds.  A file is written under a
 name of its own attempt and counts only once its manifest row is stored, so lost executors and
 speculative attempts do no harm.
 
 Defined results: a null text is empty (its only id is the end id); null doc_ids come first; equal
-doc_ids are all written, in the order of their texts; other columns are ignored; an empty table
+doc_ids are all written, in the order of a hash of their texts (so that one id with very many rows is dealt to several
+shards); other columns are ignored; an empty table
 gives an empty manifest.
 """
 
 from __future__ import annotations
 
-import io
 import struct
 import uuid
 import zlib
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, get_bytes, n_parts, new_path, open_store, put_bytes, ship
+from .common import cut, docs_of, n_parts, new_path, open_store, parts_of, put_bytes, ship, sizes
 from .pieces import encoder
 
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "shard long, file long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
 class ShardWriter:
@@ -41,13 +42,14 @@ class ShardWriter:
         import zstandard
 
         self.width, self.z = width, zstandard.ZstdCompressor(level=level, write_checksum=True)
-        self.out, self.table, self.ids, self.counts = io.BytesIO(), [], [], []
+        self.out, self.table, self.ids, self.counts, self.size = [], [], [], [], 0
 
     def add(self, doc_id: int | None, data: bytes) -> None:
         import xxhash
 
         frame = self.z.compress(data)
-        self.out.write(frame)
+        self.out.append(frame)
+        self.size += len(frame)
         self.table.append((len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
         self.ids.append(doc_id)
         self.counts.append(len(data) // self.width)
@@ -60,8 +62,7 @@ class ShardWriter:
         index = sink.getvalue().to_pybytes()
         body = b"".join(struct.pack("<III", *t) for t in self.table)
         footer = struct.pack("<IBI", len(self.table), 0x80, FOOTER_MAGIC)
-        return b"".join((self.out.getvalue(), struct.pack("<II", SKIPPABLE_INDEX, len(index)), index,
-                         struct.pack("<II", SKIPPABLE_TABLE, len(body) + len(footer)), body, footer))
+        return b"".join((*self.out, struct.pack("<II", SKIPPABLE_INDEX, len(index)), index, struct.pack("<II", SKIPPABLE_TABLE, len(body) + len(footer)), body, footer))
 
 
 class ShardReader:
@@ -83,49 +84,68 @@ class ShardReader:
         self.width = int(index.schema.metadata[b"width"])
         self.doc_ids, self.counts = index["doc_id"].to_pylist(), index["n_tokens"].to_pylist()
 
-    def ids(self, i: int) -> np.ndarray:
+    def ids(self, i: int, frame: bytes | None = None) -> np.ndarray:
         import xxhash
         import zstandard
 
-        data = zstandard.ZstdDecompressor().decompress(self.read(int(self.starts[i]), int(self.sizes[i])), max_output_size=int(self.lengths[i]))
+        frame = self.read(int(self.starts[i]), int(self.sizes[i])) if frame is None else frame
+        data = zstandard.ZstdDecompressor().decompress(frame, max_output_size=int(self.lengths[i]))
         if xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != self.sums[i]:
             raise ValueError(f"checksum of document {self.doc_ids[i]}")
         return np.frombuffer(data, "<u2" if self.width == 2 else "<u4")
 
+    def every(self, chunk: int = 8 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """All documents in order, read in pieces of about ``chunk`` bytes."""
+        i = 0
+        while i < len(self.sizes):
+            end = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + chunk, "right")) - 1)
+            data, base = self.read(int(self.starts[i]), int(self.starts[end] - self.starts[i])), int(self.starts[i])
+            for k in range(i, end):
+                yield k, self.ids(k, data[int(self.starts[k]) - base : int(self.starts[k + 1]) - base])
+            i = end
+
     @classmethod
     def from_bytes(cls, data: bytes) -> ShardReader:
         return cls(lambda at, n: data[at : at + n], len(data))
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None = None, path: str | None = None) -> DataFrame:
-    """Encode, sort and write all documents; returns the stored manifest with each shard's ``base``, the ids before it."""
+def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None = None, path: str | None = None, file_bytes: int = 64 << 20) -> DataFrame:
+    """Encode, sort and write all documents; returns the stored manifest with each file's ``base``, the ids before it."""
     spark = docs.sparkSession
     ship(spark)
     path = path or new_path(spark, "tokens")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    schema = pa.schema([(c.split()[0], k) for c, k in zip(MANIFEST.split(", "), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer, "drop")
+        enc, shard, file = encoder(tokenizer, "drop"), TaskContext.get().partitionId(), 0
         end, w = np.array([end_id], enc.dtype).tobytes(), ShardWriter(enc.width)
+
+        def stored() -> pa.RecordBatch:
+            data = w.finish()
+            put_bytes(to := f"{path}/shard-{shard:06d}-{file:04d}-{uuid.uuid4().hex}.zst", data)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((shard, file, to, len(w.ids), sum(w.counts), len(data)), kinds, strict=True)], schema=schema)
+
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w.add(doc_id, enc.encode(text) + end)
+                if w.size >= file_bytes:
+                    yield stored()
+                    file, w = file + 1, ShardWriter(enc.width)
         if w.ids:
-            shard, data = TaskContext.get().partitionId(), w.finish()
-            put_bytes(to := f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst", data)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": to, "n_docs": len(w.ids), "n_tokens": sum(w.counts), "n_bytes": len(data)}],
-                                             schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
-
-    rows = docs_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange(shards or n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = cut(ordered.mapInArrow(run, MANIFEST), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+            yield stored()
+
+    rows = docs_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(shards or parts_of(spark, sizes(docs)[1]), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
+    manifest = cut(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST), "manifest")
+    before = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and the ids of all documents, or of those asked for, read back from the files."""
+def read(manifest: DataFrame, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, unless left out, the ids of all documents, or of those asked for, read back from the files."""
     spark: SparkSession = manifest.sparkSession
     wanted = None if doc_ids is None else set(doc_ids)
 
@@ -134,22 +154,21 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
 
         for b in batches:
             for r in b.itertuples():
-                if wanted is None:
-                    shard = ShardReader.from_bytes(get_bytes(r.path))
-                    pick = range(len(shard.doc_ids))
-                else:
-                    store, p = open_store(r.path)
-                    f = store.open_input_file(p)
+                store, p = open_store(r.path)
+                with store.open_input_file(p) as f:
                     shard = ShardReader(lambda at, n, f=f: f.read_at(n, at), f.size())
-                    pick = [i for i, d in enumerate(shard.doc_ids) if d in wanted]
-                starts = np.concatenate(([0], np.cumsum(shard.counts))) + int(r.base)
-                for lo in range(0, len(pick), 2000):
+                    starts = np.concatenate(([0], np.cumsum(shard.counts))) + int(r.base)
+                    found = shard.every() if wanted is None else ((i, shard.ids(i)) for i, d in enumerate(shard.doc_ids) if d in wanted)
                     rows = []
-                    for i in pick[lo : lo + 2000]:
-                        ids = shard.ids(i).astype("<u4").tobytes()
-                        rows.append((shard.doc_ids[i], int(starts[i]), len(ids) // 4, zlib.crc32(ids), ids))
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
+                    for i, ids in found:
+                        raw = ids.astype("<u4").tobytes()
+                        rows.append((shard.doc_ids[i], int(starts[i]), len(ids), zlib.crc32(raw), *([raw] if with_ids else [])))
+                        if len(rows) == 2000:
+                            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                            rows = []
+                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     ship(spark)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     spread = manifest.repartition(max(n_parts(spark), 1))
-    return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
