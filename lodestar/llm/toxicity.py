@@ -1,8 +1,9 @@
 """Toxicity: Levenshtein automata over a lexicon trie, and context windows round each hit.
 
 The lexicon is learned from a bounded sample of labelled training rows (``max_train``, those with
-the smallest id hashes): whole words and word stems (trie nodes) whose share of toxic documents is
-high by a smoothed log-odds.  A word is looked up by intersecting its Levenshtein automaton
+the smallest id hashes): whole words of any length and word stems (trie nodes, of ``STEM_FROM`` to ``STEM_TO`` letters)
+whose share of toxic documents is high by a smoothed log-odds.  It is broadcast, so it keeps the ``bound`` most telling terms
+and the 5 ``bound`` most frequent clean words of the sample.  A word is looked up by intersecting its Levenshtein automaton
 (distance 1, from ``FUZZY_FROM`` letters on) with the trie; words known from clean training text never match
 by approximation.  Each hit is weighed by its context window: quotation marks, reporting verbs and
 negated or described uses point to quotation, address in the second person and further hits to
@@ -35,7 +36,7 @@ _QUOTES = frozenset("\"“”„«»‘’")
 REPORTING = frozenset("said says say called calls wrote writes quoted quote reported claims claimed word term dit appelé écrit dijo llamó escribió sagte schrieb nannte".split())
 ADDRESS = frozenset("you your youre tu toi vous ton votre du dich dein ihr tú usted vos".split())
 _LEET = str.maketrans("@$!013457", "asioieast")
-WINDOW, FUZZY_FROM, STEM_FROM = 6, 5, 4
+WINDOW, FUZZY_FROM, STEM_FROM, STEM_TO = 6, 5, 4, 8
 
 
 def fold_word(w: str) -> str:
@@ -184,8 +185,8 @@ def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 2.5, bound: i
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 words = {fold_word(t) for t in _TOKEN.findall(text.decode("utf-8", "replace")) if len(t) > 2}
-                counts.update((w, 0, y) for w in words if len(w) <= 40)
-                counts.update((s, 1, y) for s in {w[:k] for w in words for k in range(STEM_FROM, min(len(w), 9))})
+                counts.update((w, 0, y) for w in words)
+                counts.update((s, 1, y) for s in {w[:k] for w in words for k in range(STEM_FROM, min(len(w), STEM_TO + 1))})
                 counts["", 2, y] += 1
                 if len(counts) > 400_000:
                     yield pack(counts)
@@ -207,7 +208,12 @@ def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 2.5, bound: i
     sums.unpersist()
     # A stem stands only if it says more than its best word: several words share it and it is as telling as they are.
     words = {r.term: r.odds for r in terms if r.kind == 0}
-    stems = {r.term: r.odds for r in terms if r.kind == 1 and r.pos >= 2 * least and r.pos > 1.5 * max((q.pos for q in terms if q.kind == 0 and q.term.startswith(r.term)), default=0)}
+    best: dict[str, int] = {}
+    for r in terms:
+        if r.kind == 0:
+            for k in range(STEM_FROM, min(len(r.term), STEM_TO) + 1):
+                best[r.term[:k]] = max(best.get(r.term[:k], 0), r.pos)
+    stems = {r.term: r.odds for r in terms if r.kind == 1 and r.pos >= 2 * least and r.pos > 1.5 * best.get(r.term, 0)}
     short = {s for s in stems if not any(s[:k] in stems for k in range(STEM_FROM, len(s)))}
     return Lexicon(words, {s: stems[s] for s in short}, frozenset(r.term for r in clean) - set(words))
 
