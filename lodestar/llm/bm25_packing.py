@@ -1,17 +1,20 @@
-"""Packing: lexical retrieval packing by a BM25 inverted index over all documents.
-
-Documents are encoded once.  A document's full windows are sequences of their own; what is left
-(its tail, shorter than a window) is packed, by the likeness of the whole texts.  The index is kept in blocks of ``shard_docs`` documents in
-the shared store, with the idf and the mean length of all documents; every seed asks every block, with all its terms.
-The longest unused tails seed the sequences, ``seeds`` of them a round: a round scores its seeds
-against the unused documents of all blocks, merges for each seed the best that fill its
-window (and ``SPARE`` windows more, as earlier seeds may take some), and the driver fills the windows in
-the seeds' order.  A seed whose list runs out goes on with its window in the next round; only
-where no scored document is left do the longest unused tails follow.  The last piece of a window is
-cut and its rest stays unused, with its own turn later.
-
-The driver holds, and each round broadcasts, the unused length of each tail (4 bytes a document);
-the scores cost seeds times documents, so time grows with the square of the input.
+"""Packing: lexical retrieval packing by sharded BM25 inverted indexes.
+
+1. Documents are encoded once.  A document's full windows are sequences of their own; what is left (its tail, shorter
+   than a window) is packed, by the likeness of the whole texts.  Document frequencies cover all documents.
+2. Documents are dealt to shards of ``shard_docs`` so that lexical neighbours meet.  A document enters the lists of
+   its ``RARE`` rarest shared terms; each list is ordered by a min-hash that is salted by its term, so that like documents lie side by side.
+   The document that stands beside it in most lists, in ``AGREE`` at least, is its partner; partners and theirs (connected
+   components) get consecutive places, and shards are ranges of places.  Each list gives two pairs a document, however long it is;
+   lists beyond ``LIST`` documents are split by the same min-hash.  A group larger than a shard goes on in the next one.
+3. A shard has an inverted index of all terms of its documents, weighted by BM25 with the idf and mean length of all
+   documents.  The longest unused tail is the seed; with all its terms it asks the index, and the unused documents fill its
+   window, best first, down to the last one that shares a term; only then do the longest unused tails follow.  The last
+   piece of a window is cut and its rest stays unused, with its own turn later.
+
+A shard's work is bounded by ``shard_docs`` whatever the input's size, so time grows with the input; the price is that
+neighbours beyond the shard are not offered.  Step 2 is there for that; tests hold its recall of the best neighbour
+against a brute-force search over all documents.
 
 Defined results: a null text is empty and has only the end id; equal rows are packed each on its
 own; null doc_ids are packed like others; other columns are ignored; an empty table gives an empty
@@ -29,23 +32,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, new_path, ship
+from .common import Store, components, cut, docs_of, mix, pack_ints, parts_of, ship, sizes, unpack_ints
 from .pieces import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-BLOCKS = "block long, doc_id array<long>, doc_tokens array<long>, crcs array<array<long>>, tail array<binary>, terms array<binary>, lens binary, term binary, first binary, doc binary, weight binary"
+ROW = "rid long, doc_id long, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"
 K1, B = 1.2, 0.75
-SPARE, COMMON, CHUNK = 2, 1 / 32, 512
+RARE, AGREE, LIST = 16, 3, 4096
+COMMON, SEEDS = 1 / 10, 32  # terms in more of a shard's documents are scored as a dense product; seeds scored at once
 
 
-def encode(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
-    """doc_id, doc_tokens, the crc32 of each full window, the ids of the tail (2 or 4 bytes each), and terms with counts, stored."""
+def encode(docs: DataFrame, tokenizer: str, window: int, end_id: int, store: Store) -> DataFrame:
+    """A number of each row, doc_id, doc_tokens, the crc32 of each full window, the ids of the tail (2 or 4 bytes each), and terms with counts, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, "lead")
+        enc, rid = encoder(tokenizer, "lead"), TaskContext.get().partitionId() << 40
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            out: dict[str, list] = {"doc_id": b.column("doc_id"), "doc_tokens": [], "crcs": [], "tail": [], "terms": [], "counts": []}
+            out: dict[str, list] = {"doc_tokens": [], "crcs": [], "tail": [], "terms": [], "counts": []}
             for text in b.column("text").to_pylist():
                 ids = np.frombuffer(enc.encode(text) + end, enc.dtype).astype("<u4")
                 full = len(ids) // window * window
@@ -54,10 +58,13 @@ def encode(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
                 out["tail"].append(ids[full:].astype("<u2" if enc.width == 2 else "<u4").tobytes())
                 terms, counts = np.unique(ids[:-1], return_counts=True)
                 out["terms"].append(terms.astype("<u4").tobytes()), out["counts"].append(counts.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([out["doc_id"].cast(pa.int64()), pa.array(out["doc_tokens"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), *(pa.array(out[c], pa.binary()) for c in ("tail", "terms", "counts"))], names=list(out))
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + n)), b.column("doc_id").cast(pa.int64()), pa.array(out["doc_tokens"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())),
+                                              *(pa.array(out[c], pa.binary()) for c in ("tail", "terms", "counts"))], names=["rid", "doc_id", *out])
+            rid += n
 
     rows = docs_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return cut(rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"), "encoded")
+    return store.cut(rows.mapInArrow(run, ROW), "encoded")
 
 
 def document_frequencies(encoded: DataFrame, vocab: int) -> np.ndarray:
@@ -85,241 +92,228 @@ def document_frequencies(encoded: DataFrame, vocab: int) -> np.ndarray:
     return out
 
 
-def index_blocks(encoded: DataFrame, idf: np.ndarray, mean: float, width: str, shard_docs: int) -> DataFrame:
-    """The documents in blocks, each a row with its inverted index: postings in order of term, with BM25 weights."""
-    shared = encoded.sparkSession.sparkContext.broadcast(idf)
-
-    def block(key: int, rows: list[dict]) -> dict:
-        idf = shared.value
-        terms, counts = [np.frombuffer(r["terms"], "<u4") for r in rows], np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
-        doc = np.repeat(np.arange(len(rows)), [len(t) for t in terms])
-        term = np.concatenate(terms)
-        length = np.bincount(doc, counts, len(rows))
-        weight = idf[term] * counts * (K1 + 1) / (counts + (K1 * (1 - B + B * length / mean))[doc])
-        order = np.argsort(term, kind="stable")
-        u, first = np.unique(term[order], return_index=True)
-        lens = np.array([len(r["tail"]) // np.dtype(width).itemsize for r in rows], "<u4")
-        return {"block": key, **{c: [r[c] for r in rows] for c in ("doc_id", "doc_tokens", "crcs", "tail", "terms")}, "lens": lens.tobytes(), "term": u.astype("<u4").tobytes(),
-                "first": np.append(first, len(term)).astype("<u4").tobytes(), "doc": doc[order].astype("<u4").tobytes(), "weight": weight[order].astype("<f4").tobytes()}
+def places(encoded: DataFrame, df: np.ndarray, n: int, parts: int) -> DataFrame:
+    """(rid, root) of the rows that have a partner: rows of one root are lexical neighbours."""
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(df)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints, raw = pa.list_(pa.int64()), pa.binary()
-        schema = pa.schema([("block", pa.int64()), ("doc_id", ints), ("doc_tokens", ints), ("crcs", pa.list_(ints)), ("tail", pa.list_(raw)), ("terms", pa.list_(raw)), *((c, raw) for c in ("lens", "term", "first", "doc", "weight"))])
-        held, key = [], TaskContext.get().partitionId() << 32
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(list, min-hash, rid) of each document and rare term, packed by bucket."""
+        df = shared.value
         for b in batches:
-            held += b.to_pylist()
-            while len(held) >= shard_docs:
-                yield pa.RecordBatch.from_pylist([block(key, held[:shard_docs])], schema=schema)
-                held, key = held[shard_docs:], key + 1
-        if held:
-            yield pa.RecordBatch.from_pylist([block(key, held)], schema=schema)
-
-    return cut(encoded.mapInArrow(run, BLOCKS), "blocks")
-
-
-def filling(seed: np.ndarray, rid: np.ndarray, score: np.ndarray, room: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Positions of each seed's best documents, best first, as many as have ``limit`` of its seed's ids together."""
-    order = np.lexsort((rid, -score, seed))
-    s, r = seed[order], room[order].astype(np.int64)
-    before = np.cumsum(r) - r
-    start = np.flatnonzero(np.diff(s, prepend=-1))
-    before -= np.repeat(before[start], np.diff(np.append(start, len(s))))
-    return order[before < limit[s]]
-
-
-class Query:
-    """The seeds of one round: their terms, own numbers and limits, and the unused lengths of all tails."""
-
-    def __init__(self, terms: list[np.ndarray], own: np.ndarray, limit: np.ndarray, left: np.ndarray, common: np.ndarray):
-        self.own, self.limit, self.left, self.common = own, limit, left, common
-        seed, term = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64)
-        rare = common[term] < 0
-        self.seed_c, self.col_c = seed[~rare], common[term[~rare]]
-        order = np.argsort(term[rare], kind="stable")
-        self.seed_r, (self.term_r, first) = seed[rare][order], np.unique(term[rare][order], return_index=True)
-        self.first_r = np.append(first, len(order))
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "dense"}
-
-    def best(self, base: int, n: int, term: np.ndarray, first: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(seed, number, score) of the unused documents of a block that fill the limits of each seed."""
-        if not hasattr(self, "dense"):
-            self.dense = np.zeros((len(self.own), int(self.common.max(initial=-1)) + 1), np.float32)
-            self.dense[self.seed_c, self.col_c] = 1
-        room = self.left[base : base + n]
-        live = np.flatnonzero(room)
-        to = np.full(n, -1)
-        to[live] = np.arange(len(live))
-        at, col = to[doc], np.repeat(self.common[term], np.diff(first))
-        use = (at >= 0) & (col >= 0)
-        index = np.zeros((self.dense.shape[1], len(live)), np.float32)
-        index[col[use], at[use]] = weight[use]
-        score = self.dense @ index
-        _, i, j = np.intersect1d(self.term_r, term, assume_unique=True, return_indices=True)
-        for lo, hi, a, z in zip(self.first_r[i].tolist(), self.first_r[i + 1].tolist(), first[j].tolist(), first[j + 1].tolist(), strict=True):
-            d, w = at[a:z], weight[a:z]
-            d, w = d[d >= 0], w[d >= 0]
-            score[self.seed_r[lo:hi, None], d] += w
-        mine = np.flatnonzero((self.own >= base) & (self.own < base + n))
-        score[mine, to[self.own[mine] - base]] = 0
-        out, room = [], room[live]
-        for lo in range(0, len(score), CHUNK):
-            s, k = score[lo : lo + CHUNK], min(len(live), 32)
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(live) else np.tile(np.arange(k), (len(s), 1))
-            got = np.take_along_axis(s, near, 1)
-            short = np.flatnonzero((room[near].sum(1) < self.limit[lo : lo + CHUNK]) & (got.min(1) > 0)) if k < len(live) else []
-            got[short] = 0  # these need more than k documents and are read whole
-            r, c = np.nonzero(got > 0)
-            out.append((r + lo, near[r, c], got[r, c]))
-            for x in short:
-                d = np.flatnonzero(s[x] > 0)
-                out.append((np.full(len(d), x + lo), d, s[x, d]))
-        seed, d, got = (np.concatenate(x) for x in zip(*out, strict=True))
-        keep = filling(seed, live[d], got, room[d], self.limit)
-        return seed[keep], live[d[keep]] + base, got[keep]
-
-
-def search(blocks: DataFrame, bases: dict[int, int], query: Query) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each seed the numbers of its best unused documents over all blocks, best first, with whether they are all."""
-    shared = blocks.sparkSession.sparkContext.broadcast((query, bases))
-    kind = "g long, seed binary, rid binary, score binary"
-
-    def merged(parts: list[tuple[np.ndarray, ...]], q: Query) -> tuple[np.ndarray, ...]:
-        seed, rid, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep = filling(seed, rid, score, q.left[rid], q.limit)
-        return seed[keep], rid[keep], score[keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (q, bases), held = shared.value, None
-        for b in batches:
-            for key, lens, *rest in zip(*(b.column(c).to_pylist() for c in ("block", "lens", "term", "first", "doc", "weight")), strict=True):
-                n, arrays = len(lens) // 4, [np.frombuffer(x, t) for x, t in zip(rest, ("<u4", "<u4", "<u4", "<f4"), strict=True)]
-                if q.left[bases[key] : bases[key] + n].any():
-                    held = merged([*([held] if held else []), q.best(bases[key], n, *arrays)], q)
-        if held:
-            at = np.searchsorted(held[0], np.arange(0, len(q.own) + CHUNK, CHUNK))
-            rows = [[int(k), *(x[a:z].astype(t).tobytes() for x, t in zip(held, ("<i8", "<i8", "<f4"), strict=True))] for k, (a, z) in enumerate(zip(at, at[1:], strict=False)) if z > a]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["g", "seed", "rid", "score"])
-
-    def merge(key, pdf):
+            keys, marks, rids = [], [], []
+            for rid, raw in zip(b.column("rid").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                t = np.frombuffer(raw, "<u4").astype(np.uint64)
+                d = df[t.astype(np.int64)]
+                t, d = t[d > 1], d[d > 1]
+                if not len(t):
+                    continue
+                if len(t) > RARE:
+                    near = np.lexsort((t, d))
+                    some, rest = t[near[:RARE]], t[near[: max(RARE, len(t) // 2)]]
+                else:
+                    some = rest = t
+                with np.errstate(over="ignore"):
+                    mark = mix(rest * np.uint64(0x9E3779B97F4A7C15) + mix(some)[:, None]).min(1)
+                    split = np.maximum(1, df[some.astype(np.int64)] // LIST).astype(np.uint64)
+                    keys.append(mix(some + mark % split * np.uint64(0xD1B54A32D192ED03)))
+                marks.append(mark), rids.append(np.full(len(some), rid))
+            if keys:
+                key, mark, rid = np.concatenate(keys), np.concatenate(marks), np.concatenate(rids)
+                part = (key % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                at = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                rows = [(k, *(pack_ints(x[order[lo:hi]]) for x in (key, mark >> np.uint64(32) << np.uint64(32), rid))) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "key", "mark", "rid"])
+
+    def beside(key, pdf):
+        """Pairs of rows side by side in a list, in both directions, dealt by the first one."""
         import pandas as pd
 
-        q = shared.value[0]
-        seed, rid, score = merged([tuple(np.frombuffer(x, t) for x, t in zip(r, ("<i8", "<i8", "<f4"), strict=True)) for r in zip(pdf.seed, pdf.rid, pdf.score, strict=True)], q)
-        return pd.DataFrame({"g": [key[0]], "seed": [seed.tobytes()], "rid": [rid.tobytes()], "score": [score.tobytes()]})
-
-    out = [np.zeros(0, np.int64)] * len(query.own)
-    for r in blocks.select("block", "lens", "term", "first", "doc", "weight").mapInArrow(run, kind).groupBy("g").applyInPandas(merge, kind).collect():
-        seed, rid = np.frombuffer(r.seed, "<i8"), np.frombuffer(r.rid, "<i8")
-        start = np.flatnonzero(np.diff(seed, prepend=-1))
-        for s, x in zip(seed[start].tolist(), np.split(rid, start[1:]), strict=True):
-            out[s] = x
-    shared.destroy()
-    return [(x, bool(query.left[x].sum() < limit)) for x, limit in zip(out, query.limit, strict=True)]
-
-
-def terms_of(blocks: DataFrame, bases: dict[int, int], wanted: np.ndarray) -> list[np.ndarray]:
-    """All terms of the documents of these numbers."""
-    shared = blocks.sparkSession.sparkContext.broadcast((np.unique(wanted), bases))
+        key, mark, rid = (np.concatenate([unpack_ints(x, t) for x in pdf[c]]) for c, t in (("key", np.uint64), ("mark", np.uint64), ("rid", np.int64)))
+        order = np.lexsort((rid, mark, key))
+        key, rid = key[order], rid[order]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        a, b = np.concatenate([rid[same], rid[same + 1]]), np.concatenate([rid[same + 1], rid[same]])
+        with np.errstate(over="ignore"):
+            part = (mix(a.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((a, part))
+        at = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+        rows = [(k, pack_ints(a[order[lo:hi]]), pack_ints(b[order[lo:hi]])) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+        return pd.DataFrame(rows, columns=["part", "a", "b"])
+
+    def partner(key, pdf):
+        """The neighbour of each row that stands beside it in most lists."""
+        import pandas as pd
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bases = shared.value
-        for b in batches:
-            for key, terms in zip(b.column("block").to_pylist(), b.column("terms").to_pylist(), strict=True):
-                mine = ids[(ids >= bases[key]) & (ids < bases[key] + len(terms))]
-                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array([terms[int(i - bases[key])] for i in mine], pa.binary())], names=["rid", "terms"])
+        a, b = (np.concatenate([unpack_ints(x, np.int64) for x in pdf[c]]) for c in ("a", "b"))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        a, b, count = a[first], b[first], np.diff(np.append(first, len(order)))
+        order = np.lexsort((b, -count, a))
+        best = order[np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1])))]
+        best = best[count[best] >= AGREE]
+        return pd.DataFrame({"x": [pack_ints(a[best])], "y": [pack_ints(b[best])]})
+
+    pairs = encoded.select("rid", "terms").mapInArrow(lists, "bucket int, key binary, mark binary, rid binary").groupBy("bucket").applyInPandas(beside, "part int, a binary, b binary")
+    return components(pairs.groupBy("part").applyInPandas(partner, "x binary, y binary")).select(F.col("node").alias("rid"), "root")
+
+
+def in_shards(encoded: DataFrame, df: np.ndarray, n: int, shard_docs: int, parts: int) -> DataFrame:
+    """The rows in ranges of places, neighbours side by side; a task's rows are cut into shards."""
+    near = places(encoded, df, n, parts)
+    # A group lies in one place, one beyond a shard in several; rows without a partner lie by themselves.
+    large = near.groupBy("root").agg(F.count("*").alias("_n")).where(F.col("_n") > shard_docs)
+    near = near.join(large, "root", "left").select("rid", F.xxhash64("root", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("rid"), F.ceil(F.col("_n") / shard_docs)))).alias("place"))
+    placed = encoded.join(near, "rid", "left").withColumn("place", F.coalesce("place", F.xxhash64("rid")))
+    return placed.repartitionByRange(max(1, -(-n // shard_docs)), "place").sortWithinPartitions("place", "rid")
+
+
+class Shard:
+    """The inverted index of a shard: postings in order of term, with BM25 weights; frequent terms as a dense matrix."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.n = n = len(terms)
+        doc = np.repeat(np.arange(n), [len(t) for t in terms])
+        term, count = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
+        length = np.bincount(doc, count, n)
+        weight = (idf[term] * count * (K1 + 1) / (count + (K1 * (1 - B + B * length / mean))[doc])).astype(np.float32)
+        names, code = np.unique(term, return_inverse=True)
+        held = np.bincount(code, minlength=len(names))
+        frequent = held > max(64, n * COMMON)
+        column = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.matrix = np.zeros((int(frequent.sum()), n), np.float32)
+        use = frequent[code]
+        self.matrix[column[code[use]], doc[use]] = weight[use]
+        order = np.argsort(code[~use], kind="stable")
+        self.doc, self.weight = doc[~use][order], weight[~use][order]
+        self.first = np.concatenate(([0], np.cumsum(np.where(frequent, 0, held))))
+        at = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+        self.codes, self.column = [code[a:z] for a, z in zip(at[:-1], at[1:], strict=True)], column
+
+    def scores(self, seeds: list[int]) -> np.ndarray:
+        """BM25 of every document for each seed's terms; a seed's own is 0."""
+        q = np.zeros((len(seeds), len(self.matrix)), np.float32)
+        rows, lo, hi = [], [], []
+        for k, s in enumerate(seeds):
+            c = self.codes[s]
+            col = self.column[c]
+            q[k, col[col >= 0]] = 1
+            c = c[col < 0]
+            rows.append(np.full(len(c), k)), lo.append(self.first[c]), hi.append(self.first[c + 1])
+        rows, lo, hi = np.concatenate(rows), np.concatenate(lo), np.concatenate(hi)
+        size = hi - lo
+        if size.sum():
+            at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+            out = np.bincount(np.repeat(rows, size) * self.n + self.doc[at], self.weight[at], len(seeds) * self.n).reshape(len(seeds), self.n).astype(np.float32)
+        else:
+            out = np.zeros((len(seeds), self.n), np.float32)
+        if len(self.matrix):
+            out += q @ self.matrix
+        out[np.arange(len(seeds)), seeds] = 0
+        return out
+
+
+def fill(shard: Shard, length: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
+    """(document, first id, length, sequence, offset) of the pieces of all tails."""
+    left, out, n = length.astype(np.int64).copy(), [], len(length)
+    order = np.lexsort((np.arange(n), -left))
+    sequence = at = 0
+
+    def put(i: int, offset: int) -> int:
+        take = min(int(left[i]), window - offset)
+        out.append((i, int(length[i] - left[i]), take, sequence, offset))
+        left[i] -= take
+        return offset + take
 
-    got = {r.rid: np.frombuffer(r.terms, "<u4") for r in blocks.select("block", "terms").mapInArrow(run, "rid long, terms binary").collect()}
-    return [got[i] for i in wanted.tolist()]
+    while True:
+        while at < n and not left[order[at]]:
+            at += 1
+        live = order[at:][left[order[at:]] > 0]
+        if not len(live):
+            return out
+        seeds = live[:SEEDS].tolist()
+        score = shard.scores(seeds)
+        for k, s in enumerate(seeds):
+            if not left[s]:
+                continue  # an earlier seed took it
+            offset, mine = put(s, 0), score[k]
+            mine[left == 0] = 0
+            take = 16
+            while offset < window:
+                some = np.flatnonzero(mine > 0)
+                if not len(some):
+                    break
+                if len(some) > take:  # the best of them; more if they do not fill the window
+                    some = some[np.argpartition(-mine[some], take - 1)[:take]]
+                for d in some[np.lexsort((some, -mine[some]))].tolist():
+                    if offset == window:
+                        break
+                    offset = put(d, offset)
+                    mine[d] = 0
+                take *= 4
+            rest = at
+            while offset < window and rest < n:
+                if left[order[rest]]:
+                    offset = put(int(order[rest]), offset)
+                else:
+                    rest += 1
+            sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_docs: int = 4096, seeds: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_docs: int = 4096) -> DataFrame:
     """One row per piece; each id of each document lies in exactly one piece."""
-    import pandas as pd
-
     spark = docs.sparkSession
     ship(spark)
+    store = Store(spark)
     enc = encoder(tokenizer, "lead")
     dtype, vocab = str(enc.dtype.str), enc.tok.get_vocab_size(with_added_tokens=True)
-    encoded = encode(docs, tokenizer, window, end_id)
-    n, total = encoded.agg(F.count("*"), F.coalesce(F.sum(F.col("doc_tokens") - 1), F.lit(0))).first()
+    encoded = encode(docs, tokenizer, window, end_id, store)
+    n, total, size = encoded.agg(F.count("*"), F.coalesce(F.sum(F.col("doc_tokens") - 1), F.lit(0)), F.coalesce(F.sum(F.octet_length("terms").cast("long")), F.lit(0))).first()
     if not n:
+        store.drop()
         return spark.createDataFrame([], PIECES)
     df = document_frequencies(encoded, vocab)
     idf = np.log1p((n - df + 0.5).clip(0.5) / (df + 0.5))
-    common = np.where(df > n * COMMON, np.cumsum(df > n * COMMON) - 1, -1)  # these are scored as a dense product
-    blocks = index_blocks(encoded, idf, max(total / n, 1), dtype, shard_docs)
-    sizes = sorted((r.block, np.frombuffer(r.lens, "<u4")) for r in blocks.select("block", "lens").collect())
-    starts = np.cumsum([0, *(len(x) for _, x in sizes)])
-    keys, bases = [k for k, _ in sizes], {k: int(s) for (k, _), s in zip(sizes, starts, strict=False)}
-    length = np.concatenate([x for _, x in sizes])
-    left, order = length.copy(), np.argsort(-length.astype(np.int64), kind="stable")
-    path, kind = new_path(spark, "pieces"), "block long, at long, first long, n long, sequence long, offset long"
-    spark.createDataFrame([], kind).write.parquet(path)
-    out: list[tuple[int, int, int, int, int]] = []
-    sequence = at = fallback = 0
-
-    def put(i: int, number: int, offset: int) -> int:
-        take = min(int(left[i]), window - offset)
-        out.append((i, int(length[i] - left[i]), take, number, offset))
-        left[i] -= take
-        return offset + take
+    shared, mean = spark.sparkContext.broadcast(idf), max(total / n, 1)
+    item = np.dtype(dtype).itemsize
 
-    waiting: list[tuple[int, int, int]] = []  # seed, sequence and offset of windows begun
-    while True:
-        while at < n and not left[order[at]]:
-            at += 1
-        # Never more windows than half of what is unused could fill, so that windows begun do not go without.
-        most = min(seeds, max(1, int(left.sum(dtype=np.int64)) // (2 * window))) - len(waiting)
-        fresh = order[at:][left[order[at:]] > 0][: max(0, most)]
-        if not waiting and not len(fresh):
-            break
-        own = np.array([*(w[0] for w in waiting), *fresh], np.int64)
-        need = window - np.array([*(w[2] for w in waiting), *left[fresh]], np.int64)
-        found = search(blocks, bases, Query(terms_of(blocks, bases, own), own, need + SPARE * window, left.copy(), common))
-        again = []
-        for k, (i, (near, whole)) in enumerate(zip(own.tolist(), found, strict=True)):
-            if k < len(waiting):
-                _, number, offset = waiting[k]
-            elif left[i]:
-                number, offset, sequence = sequence, put(i, sequence, 0), sequence + 1
-            else:
-                continue  # an earlier seed took it
-            for d in near.tolist():
-                if offset == window:
-                    break
-                if left[d]:
-                    offset = put(d, number, offset)
-            if offset < window and not whole:
-                again.append((i, number, offset))
-                continue
-            fallback = max(fallback, at)
-            while offset < window and fallback < n:
-                if left[order[fallback]]:
-                    offset = put(int(order[fallback]), number, offset)
-                else:
-                    fallback += 1
-        waiting = again
-        if out:
-            p = np.array(out, np.int64)
-            b = np.searchsorted(starts, p[:, 0], "right") - 1
-            spark.createDataFrame(pd.DataFrame({"block": np.array(keys, np.int64)[b], "at": p[:, 0] - starts[b], "first": p[:, 1], "n": p[:, 2], "sequence": p[:, 3], "offset": p[:, 4]}), kind).coalesce(1).write.mode("append").parquet(path)
-            out.clear()
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, base = [], TaskContext.get().partitionId() << 36
         names = [c.split()[0] for c in PIECES.split(", ")]
+
+        def packed(rows: list[dict]) -> pa.RecordBatch:
+            nonlocal base
+            shard = Shard([np.frombuffer(r["terms"], "<u4") for r in rows], [np.frombuffer(r["counts"], "<u4") for r in rows], shared.value, mean)
+            out = []
+            for r in rows:
+                for k, crc in enumerate(r["crcs"]):
+                    out.append((r["doc_id"], k * window, window, crc, r["doc_tokens"], base, 0))
+                    base += 1
+            pieces = fill(shard, np.array([len(r["tail"]) // item for r in rows]), window)
+            for i, first, size, sequence, offset in pieces:
+                r = rows[i]
+                ids = np.frombuffer(r["tail"], dtype)
+                out.append((r["doc_id"], r["doc_tokens"] - len(ids) + first, size, zlib.crc32(ids[first : first + size].astype("<u4").tobytes()), r["doc_tokens"], base + sequence, offset))
+            base += 1 + max((p[3] for p in pieces), default=-1)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
+
+        def whole_groups() -> int:
+            """Where a shard ends: behind its last document, or the next one that ends a group."""
+            ends = (k for k in range(shard_docs, 2 * shard_docs) if held[k]["place"] != held[k - 1]["place"])
+            return next(ends, shard_docs)
+
         for b in batches:
-            for r in b.to_pylist():
-                rows, base = [], bases[r["block"]]
-                for i, crcs in enumerate(r["crcs"]):  # full windows are numbered by their document, above all packed sequences
-                    rows += [(r["doc_id"][i], k * window, window, crc, r["doc_tokens"][i], (base + i + 1 << 32) + k, 0) for k, crc in enumerate(crcs)]
-                for p in r["p"] or []:
-                    i = p["at"]
-                    ids = np.frombuffer(r["tail"][i], dtype)
-                    rows.append((r["doc_id"][i], r["doc_tokens"][i] - len(ids) + p["first"], p["n"], zlib.crc32(ids[p["first"] : p["first"] + p["n"]].astype("<u4").tobytes()), r["doc_tokens"][i], p["sequence"], p["offset"]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
-
-    pieces = spark.read.schema(kind).parquet(path).groupBy("block").agg(F.collect_list(F.struct("at", "first", "n", "sequence", "offset")).alias("p"))
-    return blocks.select("block", "doc_id", "doc_tokens", "crcs", "tail").join(pieces, "block", "left").mapInArrow(emit, PIECES)
+            held += b.to_pylist()
+            while len(held) >= 2 * shard_docs:
+                at = whole_groups()
+                yield packed(held[:at])
+                held = held[at:]
+        if held:
+            yield packed(held)
+
+    placed = in_shards(encoded, df, n, shard_docs, parts_of(spark, size, 16 << 20))
+    out = cut(placed.select("place", "doc_id", "doc_tokens", "crcs", "tail", "terms", "counts").mapInArrow(run, PIECES), "pieces")
+    store.drop()
+    return out
