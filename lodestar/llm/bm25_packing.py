@@ -3,7 +3,8 @@
 1. Documents are encoded once.  A document's full windows are sequences of their own; what is left (its tail, shorter
    than a window) is packed, by the likeness of the whole texts.  Document frequencies cover all documents.
 2. Documents are dealt to shards of ``shard_docs`` so that lexical neighbours meet.  A document enters the lists of
-   its ``RARE`` rarest shared terms; each list is ordered by a min-hash that is salted by its term, so that like documents lie side by side.
+   its ``RARE`` rarest shared terms; each list is ordered by two min-hashes of the rarer ``SHARE`` of the terms, salted by its own
+   term, so that like documents lie side by side.
    The document that stands beside it in most lists, in ``AGREE`` at least, is its partner; partners and theirs (connected
    components) get consecutive places, and shards are ranges of places.  Each list gives two pairs a document, however long it is;
    lists beyond ``LIST`` documents are split by the same min-hash.  A group larger than a shard goes on in the next one.
@@ -38,7 +39,7 @@ from .pieces import encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ROW = "rid long, doc_id long, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"
 K1, B = 1.2, 0.75
-RARE, AGREE, LIST = 16, 3, 4096
+RARE, SHARE, AGREE, LIST = 32, 0.4, 3, 4096
 COMMON, SEEDS = 1 / 10, 32  # terms in more of a shard's documents are scored as a dense product; seeds scored at once
 
 
@@ -110,20 +111,22 @@ def places(encoded: DataFrame, df: np.ndarray, n: int, parts: int) -> DataFrame:
                     continue
                 if len(t) > RARE:
                     near = np.lexsort((t, d))
-                    some, rest = t[near[:RARE]], t[near[: max(RARE, len(t) // 2)]]
+                    some, rest = t[near[:RARE]], t[near[: max(RARE, int(len(t) * SHARE))]]
                 else:
                     some = rest = t
                 with np.errstate(over="ignore"):
-                    mark = mix(rest * np.uint64(0x9E3779B97F4A7C15) + mix(some)[:, None]).min(1)
+                    rest = rest * np.uint64(0x9E3779B97F4A7C15)
+                    one, two = (mix(rest + mix(some + np.uint64(h))[:, None]).min(1) for h in (0, 1 << 40))
+                    mark = one & ~np.uint64(0xFFFFFFFF) | two >> np.uint64(32)
                     split = np.maximum(1, df[some.astype(np.int64)] // LIST).astype(np.uint64)
-                    keys.append(mix(some + mark % split * np.uint64(0xD1B54A32D192ED03)))
+                    keys.append(mix(some + (one >> np.uint64(40)) % split * np.uint64(0xD1B54A32D192ED03)))
                 marks.append(mark), rids.append(np.full(len(some), rid))
             if keys:
                 key, mark, rid = np.concatenate(keys), np.concatenate(marks), np.concatenate(rids)
                 part = (key % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 at = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-                rows = [(k, *(pack_ints(x[order[lo:hi]]) for x in (key, mark >> np.uint64(32) << np.uint64(32), rid))) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+                rows = [(k, *(pack_ints(x[order[lo:hi]]) for x in (key, mark, rid))) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "key", "mark", "rid"])
 
     def beside(key, pdf):
