@@ -16,8 +16,8 @@ under estimates from the others.  Scores use the counts of all training document
    quantised probability ratios, bounded in size whatever the corpus, on which EM runs; then every
    document is scored.
 
-Words and n-grams are told apart by 62 bits of a hash at every size, so among 10^9 distinct words one in some 10^9
-shares its count with another.  A document is never split, so one very long document is a block by itself.
+Words are told apart by 62 bits of a hash and longer n-grams by 54, at every size: among 10^9 distinct words one in
+some 10^9 shares its count with another, and among 10^12 distinct n-grams one in some 18,000.  A document is never split, so one very long document is a block by itself.
 
 Defined results: a null or empty text is its end token only; rows of a null doc_id are scored,
 never learned from and not held out; repeated rows count each; an empty table gives an empty
@@ -64,8 +64,7 @@ class Block:
             two = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * mix(prev + np.uint64(2)))
             three = mix(two + np.uint64(0xD1B54A32D192ED03) * mix(prev2 + np.uint64(3)))
         # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.
-        rest = ~np.uint64(3)
-        one, two, three = mix(hashes) & rest | (~lead).astype(np.uint64), two & rest | np.uint64(2), three & rest | np.uint64(3)
+        one, two, three = mix(hashes) & ~np.uint64(3) | (~lead).astype(np.uint64), two & ~np.uint64(1023) | np.uint64(2), three & ~np.uint64(1023) | np.uint64(3)
         every = np.concatenate([one, two, three])
         order = np.argsort(every)
         ranked = every[order]
@@ -88,9 +87,12 @@ class Block:
 
     @staticmethod
     def dump(hashes: np.ndarray, lengths: np.ndarray, roles: np.ndarray, ids: list) -> bytes:
-        vocab, local = np.unique(hashes, return_inverse=True)
+        vocab, local, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")  # frequent words get small numbers, which pack better
+        number = np.empty(len(vocab), np.uint32)
+        number[order] = np.arange(len(vocab), dtype=np.uint32)
         known = np.array([i is not None for i in ids], np.uint8)
-        parts = [pack_keys(vocab), pack_ints(local.astype(np.uint32)), pack_ints(lengths.astype(np.int64)), pack_ints(roles.astype(np.uint8)),
+        parts = [pack_keys(vocab), pack_ints(number), pack_ints(number[local]), pack_ints(lengths.astype(np.int64)), pack_ints(roles.astype(np.uint8)),
                  pack_ints(np.array([i or 0 for i in ids], np.int64)), pack_ints(known)]
         return b"".join(struct.pack("<I", len(p)) + p for p in parts)
 
@@ -101,9 +103,12 @@ class Block:
             n = struct.unpack_from("<I", data, at)[0]
             parts.append(data[at + 4 : at + 4 + n])
             at += 4 + n
-        hashes = unpack_keys(parts[0])[unpack_ints(parts[1], np.uint32)]
-        ids, known = unpack_ints(parts[4], np.int64), unpack_ints(parts[5], np.uint8)
-        return Block(hashes, unpack_ints(parts[2], np.int64), unpack_ints(parts[3], np.uint8)), [int(i) if k else None for i, k in zip(ids, known, strict=True)]
+        vocab, number = unpack_keys(parts[0]), unpack_ints(parts[1], np.uint32)
+        ordered = np.empty_like(vocab)
+        ordered[number] = vocab
+        hashes = ordered[unpack_ints(parts[2], np.uint32)]
+        ids, known = unpack_ints(parts[5], np.int64), unpack_ints(parts[6], np.uint8)
+        return Block(hashes, unpack_ints(parts[3], np.int64), unpack_ints(parts[4], np.uint8)), [int(i) if k else None for i, k in zip(ids, known, strict=True)]
 
 
 def role_of(doc_id, mod: int = 5, held: int = 1, deleted: int = 10) -> int:
@@ -158,7 +163,7 @@ def learn_weights(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np
     return w / w.sum(1, keepdims=True)
 
 
-def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 600_000) -> DataFrame:
+def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     import pandas as pd
 
