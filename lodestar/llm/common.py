@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,7 +209,6 @@ def components(edges: DataFrame) -> DataFrame:
     the centres that met there are the edges of the next round.  So a node has a row for each task at most, however many
     edges it has, a round keeps a fixed share of the nodes at most, and ``EDGES_HELD`` edges or fewer are one task's work
     and end the search.  Nodes without an edge to another are not returned."""
-    import pandas as pd
     import pyarrow as pa
 
     spark = edges.sparkSession
@@ -317,8 +317,6 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose doc_id is surely not among ``ids``, all others): a Bloom filter tells, so only the second part need be shuffled.
 
     Rows of a null doc_id are in the first part."""
-    import pandas as pd
-
     ship(docs.sparkSession)
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom(ids.select(F.col("doc_id").cast("long"))))
 
@@ -353,7 +351,6 @@ class Bloom:
     It only saves work: beyond its size it lets more rows through, which a join then drops."""
 
     def __init__(self, ids: DataFrame, most_bits: int = 1 << 27):
-        import pandas as pd
         import pyarrow as pa
 
         spark, n = ids.sparkSession, ids.count()
