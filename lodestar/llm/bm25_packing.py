@@ -24,16 +24,18 @@ result.  The end id is no term.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, components, cut, docs_of, mix, pack_ints, parts_of, ship, sizes, unpack_ints
+from .common import Store, components, cut, docs_of, get_bytes, mix, pack_ints, parts_of, put_bytes, ship, unpack_ints
 from .pieces import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -82,8 +84,6 @@ def document_frequencies(encoded: DataFrame, vocab: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([df[s : s + slice_].tobytes() for s in starts], pa.binary())], names=["s", "v"])
 
     def add(key, pdf):
-        import pandas as pd
-
         return pd.DataFrame({"s": [key[0]], "v": [np.sum([np.frombuffer(v, np.int64) for v in pdf.v], axis=0).tobytes()]})
 
     got = encoded.select("terms").mapInArrow(run, "s long, v binary").groupBy("s").applyInPandas(add, "s long, v binary").collect()
@@ -115,11 +115,11 @@ def places(encoded: DataFrame, df: np.ndarray, n: int, parts: int) -> DataFrame:
                 else:
                     some = rest = t
                 with np.errstate(over="ignore"):
-                    rest = rest * np.uint64(0x9E3779B97F4A7C15)
-                    one, two = (mix(rest + mix(some + np.uint64(h))[:, None]).min(1) for h in (0, 1 << 40))
+                    h = mix(rest * np.uint64(0x9E3779B97F4A7C15) + mix(some)[:, None])
+                    one, two = h.min(1), (h * np.uint64(0xD1B54A32D192ED03)).min(1)
                     mark = one & ~np.uint64(0xFFFFFFFF) | two >> np.uint64(32)
                     split = np.maximum(1, df[some.astype(np.int64)] // LIST).astype(np.uint64)
-                    keys.append(mix(some + (one >> np.uint64(40)) % split * np.uint64(0xD1B54A32D192ED03)))
+                    keys.append(mix(some + mix(one) % split * np.uint64(0xD1B54A32D192ED03)))
                 marks.append(mark), rids.append(np.full(len(some), rid))
             if keys:
                 key, mark, rid = np.concatenate(keys), np.concatenate(marks), np.concatenate(rids)
@@ -131,8 +131,6 @@ def places(encoded: DataFrame, df: np.ndarray, n: int, parts: int) -> DataFrame:
 
     def beside(key, pdf):
         """Pairs of rows side by side in a list, in both directions, dealt by the first one."""
-        import pandas as pd
-
         key, mark, rid = (np.concatenate([unpack_ints(x, t) for x in pdf[c]]) for c, t in (("key", np.uint64), ("mark", np.uint64), ("rid", np.int64)))
         order = np.lexsort((rid, mark, key))
         key, rid = key[order], rid[order]
@@ -147,8 +145,6 @@ def places(encoded: DataFrame, df: np.ndarray, n: int, parts: int) -> DataFrame:
 
     def partner(key, pdf):
         """The neighbour of each row that stands beside it in most lists."""
-        import pandas as pd
-
         a, b = (np.concatenate([unpack_ints(x, np.int64) for x in pdf[c]]) for c in ("a", "b"))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -163,14 +159,44 @@ def places(encoded: DataFrame, df: np.ndarray, n: int, parts: int) -> DataFrame:
     return components(pairs.groupBy("part").applyInPandas(partner, "x binary, y binary")).select(F.col("node").alias("rid"), "root")
 
 
-def in_shards(encoded: DataFrame, df: np.ndarray, n: int, shard_docs: int, parts: int) -> DataFrame:
-    """The rows in ranges of places, neighbours side by side; a task's rows are cut into shards."""
+def in_shards(encoded: DataFrame, df: np.ndarray, n: int, shard_docs: int, parts: int, store: Store) -> DataFrame:
+    """The rows in ranges of places, neighbours side by side; a task's rows are cut into shards.
+
+    Places are uniform numbers of 62 bits.  Those of grouped rows are kept in a file for each task that encoded, so that the
+    encoded rows are shuffled once and need no join."""
+    spark, folder = encoded.sparkSession, store.path("places")
     near = places(encoded, df, n, parts)
     # A group lies in one place, one beyond a shard in several; rows without a partner lie by themselves.
     large = near.groupBy("root").agg(F.count("*").alias("_n")).where(F.col("_n") > shard_docs)
-    near = near.join(large, "root", "left").select("rid", F.xxhash64("root", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("rid"), F.ceil(F.col("_n") / shard_docs)))).alias("place"))
-    placed = encoded.join(near, "rid", "left").withColumn("place", F.coalesce("place", F.xxhash64("rid")))
-    return placed.repartitionByRange(max(1, -(-n // shard_docs)), "place").sortWithinPartitions("place", "rid")
+    place = F.shiftrightunsigned(F.xxhash64("root", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("rid"), F.ceil(F.col("_n") / shard_docs)))), 2)
+    near = near.join(large, "root", "left").select("rid", place.alias("place"), F.shiftright("rid", 40).alias("task"))
+
+    def keep(key, pdf):
+        pdf = pdf.sort_values("rid")
+        put_bytes(path := f"{folder}/{uuid.uuid4().hex}", pdf["rid"].to_numpy(np.int64).tobytes() + pdf["place"].to_numpy(np.int64).tobytes())
+        return pd.DataFrame({"task": [key[0]], "path": [path]})
+
+    files = spark.sparkContext.broadcast({r.task: r.path for r in near.groupBy("task").applyInPandas(keep, "task long, path string").collect()})  # a row for each task
+    held: dict[int, np.ndarray] = {}
+
+    @F.pandas_udf("long")
+    def place_of(rid: pd.Series) -> pd.Series:
+        x = rid.to_numpy(np.int64)
+        out = (mix(x.view(np.uint64)) >> np.uint64(2)).astype(np.int64)
+        for task in np.unique(x >> 40).tolist():
+            if task in files.value:
+                if task not in held:
+                    if len(held) > 3:
+                        held.clear()
+                    held[task] = np.frombuffer(get_bytes(files.value[task]), np.int64).reshape(2, -1)
+                known, at = held[task], np.minimum(np.searchsorted(held[task][0], x), held[task].shape[1] - 1)
+                out = np.where(known[0][at] == x, known[1][at], out)
+        return pd.Series(out)
+
+    ranges = max(1, -(-n // shard_docs))
+    placed = encoded.withColumn("place", place_of("rid"))
+    part = F.shiftright(F.shiftright("place", 31) * ranges, 31).cast("int")
+    return placed.repartitionById(ranges, part).sortWithinPartitions("place", "rid")
 
 
 class Shard:
@@ -316,7 +342,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
         if held:
             yield packed(held)
 
-    placed = in_shards(encoded, df, n, shard_docs, parts_of(spark, size, 16 << 20))
+    placed = in_shards(encoded, df, n, shard_docs, parts_of(spark, size, 16 << 20), store)
     out = cut(placed.select("place", "doc_id", "doc_tokens", "crcs", "tail", "terms", "counts").mapInArrow(run, PIECES), "pieces")
     store.drop()
     return out

@@ -336,7 +336,7 @@ def test_packing_recall(spark):
     store = common.Store(spark)
     encoded = bm25_packing.encode(d.repartition(8), BYTE, 1024, 0, store)
     df = bm25_packing.document_frequencies(encoded, 50257)
-    placed = bm25_packing.in_shards(encoded, df, 900, 100, 8).withColumn("shard", F.spark_partition_id()).collect()
+    placed = bm25_packing.in_shards(encoded, df, 900, 100, 8, store).withColumn("shard", F.spark_partition_id()).collect()
     terms, counts = [np.frombuffer(r.terms, "<u4") for r in placed], [np.frombuffer(r.counts, "<u4") for r in placed]
     whole = bm25_packing.Shard(terms, counts, np.log1p((900 - df + 0.5).clip(0.5) / (df + 0.5)), np.mean([c.sum() for c in counts]))
     score = np.vstack([whole.scores(list(range(a, min(900, a + 100)))) for a in range(0, 900, 100)])
