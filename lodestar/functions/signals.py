@@ -28,6 +28,11 @@ ROUTE_PY = rf"(?i)@[A-Za-z_][A-Za-z0-9_\.]*?\s*({_VERBS})\s*\(\s*['\"]([^'\"]+)[
 ROUTE_GENERIC = rf"(?i)\b({_VERBS})\b"
 
 
+def let(value: Column, body) -> Column:
+    """Binds a value once: what ``body`` makes of it refers to it without evaluating it again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strings(values) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -54,13 +59,21 @@ def symbol_resource(symbol: Column) -> Column:
 def route_signal(text: Column, symbol: Column) -> Column:
     """struct(method, intent, resource, path, structural_terms), null without any verb."""
     at = lambda p, i: nonempty(F.regexp_extract(text, p, i))
-    method = F.coalesce(at(ROUTE_JS, 1), at(ROUTE_PY, 1), at(ROUTE_GENERIC, 1))
-    path = F.when(at(ROUTE_JS, 1).isNotNull(), at(ROUTE_JS, 2)).when(at(ROUTE_PY, 1).isNotNull(), at(ROUTE_PY, 2))
-    intent = verb_intent(method)
-    resource = F.when(path.isNotNull(), first_resource(path)).otherwise(symbol_resource(symbol))
-    segments = F.flatten(F.transform(path_segments(F.coalesce(path, F.lit(""))), normalize_terms))
-    terms = sorted_set(F.array(F.lower(method)), F.array(intent), segments, F.array_compact(F.array(resource)), normalize_terms(symbol))
-    return F.when(method.isNotNull(), F.struct(F.upper(method).alias("method"), intent.alias("intent"), resource.alias("resource"), path.alias("path"), terms.alias("structural_terms")))
+    found = F.struct(at(ROUTE_JS, 1).alias("js"), at(ROUTE_JS, 2).alias("js_path"), at(ROUTE_PY, 1).alias("py"), at(ROUTE_PY, 2).alias("py_path"),
+                     at(ROUTE_GENERIC, 1).alias("word"), normalize_terms(symbol).alias("symbol"), symbol_resource(symbol).alias("thing"))
+
+    def named(v: Column) -> Column:
+        path = F.when(v["js"].isNotNull(), v["js_path"]).when(v["py"].isNotNull(), v["py_path"])
+        return let(F.struct(F.coalesce(v["js"], v["py"], v["word"]).alias("method"), path.alias("path"), v["symbol"].alias("symbol"), v["thing"].alias("thing")), whole)
+
+    def whole(v: Column) -> Column:
+        method, path, intent = v["method"], v["path"], verb_intent(v["method"])
+        resource = F.when(path.isNotNull(), first_resource(path)).otherwise(v["thing"])
+        segments = F.flatten(F.transform(path_segments(F.coalesce(path, F.lit(""))), normalize_terms))
+        terms = sorted_set(F.array(F.lower(method)), F.array(intent), segments, F.array_compact(F.array(resource)), v["symbol"])
+        return F.when(method.isNotNull(), F.struct(F.upper(method).alias("method"), intent.alias("intent"), resource.alias("resource"), path.alias("path"), terms.alias("structural_terms")))
+
+    return let(found, named)
 
 
 def query_signal(query: Column) -> Column:
@@ -84,10 +97,13 @@ def noise_tags(path: Column) -> Column:
 
 def intent_metadata(path: Column, kind: Column, symbol: Column, text: Column) -> Column:
     """struct(tags, route, structural_terms) of a chunk."""
-    terms = normalize_terms(F.concat_ws("\n", path, F.coalesce(symbol, F.lit("")), F.left(text, F.lit(8000))))
-    route = route_signal(text, symbol)
-    hints = [F.when(F.arrays_overlap(terms, strings(words)) | (route["intent"] == intent), F.lit(f"{intent}_resource")) for intent, words in INDEX_HINTS.items()]
-    other = [F.when(F.arrays_overlap(terms, strings(LOGGING)), F.lit("logging")), F.when(F.arrays_overlap(terms, strings(ANALYTICS)), F.lit("analytics")),
-             F.when(route.isNotNull(), F.lit("route_handler"))]
-    return F.struct(sorted_set(F.array_compact(F.array(*hints, *other)), noise_tags(path)).alias("tags"), route.alias("route"),
-                    sorted_set(terms, route["structural_terms"]).alias("structural_terms"))
+    found = F.struct(normalize_terms(F.concat_ws("\n", path, F.coalesce(symbol, F.lit("")), F.left(text, F.lit(8000)))).alias("terms"), route_signal(text, symbol).alias("route"), noise_tags(path).alias("noise"))
+
+    def whole(v: Column) -> Column:
+        terms, route = v["terms"], v["route"]
+        hints = [F.when(F.arrays_overlap(terms, strings(words)) | (route["intent"] == intent), F.lit(f"{intent}_resource")) for intent, words in INDEX_HINTS.items()]
+        other = [F.when(F.arrays_overlap(terms, strings(LOGGING)), F.lit("logging")), F.when(F.arrays_overlap(terms, strings(ANALYTICS)), F.lit("analytics")),
+                 F.when(route.isNotNull(), F.lit("route_handler"))]
+        return F.struct(sorted_set(F.array_compact(F.array(*hints, *other)), v["noise"]).alias("tags"), route.alias("route"), sorted_set(terms, route["structural_terms"]).alias("structural_terms"))
+
+    return let(found, whole)

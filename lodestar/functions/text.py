@@ -99,17 +99,25 @@ def rewrite_parse(text: Column) -> Column:
     return F.coalesce(nonempty(strip(value)), first)
 
 
-def embed_prefix(text: Column, model: str, query: bool) -> Column:
-    """Prefixes of the e5 and bge model families, put on once."""
+def prefix_of(model: str, query: bool) -> str:
+    """Prefixes of the e5 and bge model families."""
     m = model.lower()
-    prefix = ""
     if query and "bge" in m:
-        prefix = "Represent this sentence for searching relevant passages: "
-    elif "e5" in m:
-        prefix = "query: " if query else "passage: "
+        return "Represent this sentence for searching relevant passages: "
+    return ("query: " if query else "passage: ") if "e5" in m else ""
+
+
+def embed_prefix(text: Column, model: str, query: bool) -> Column:
+    """The text with its model's prefix, put on once."""
+    prefix = prefix_of(model, query)
     return F.when(text.startswith(prefix), text).otherwise(F.concat(F.lit(prefix), text)) if prefix else text
 
 
+def round6(x: Column) -> Column:
+    """Six decimals, halves to even."""
+    return F.bround(x, 6)
+
+
 def chunk_id(path: Column, start: Column, end: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("|", path, start.cast("string"), end.cast("string"), text), 256)
 
@@ -132,11 +140,6 @@ def overlap_score(query: Column, terms: Column) -> Column:
     return F.when((F.size(q) == 0) | (F.size(terms) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(q, terms)) / F.size(q))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def register(spark) -> None:
     """The scalar functions that callers can use in SQL, inlined by the optimizer."""
     spark.sql(rf"CREATE OR REPLACE TEMPORARY FUNCTION estimate_tokens(t STRING) RETURNS INT RETURN size(regexp_extract_all(t, r'({TOKEN})', 1))")

@@ -67,8 +67,8 @@ def split_text(text: str, first: int, low: int, target: int, high: int) -> list[
     return out
 
 
-def drafts_of(content: str, symbols: list[Draft], low: int, target: int, high: int) -> list[Draft]:
-    """The symbols' lines, or the whole file in parts; large drafts are split."""
+def slices_of(content: str, symbols: list[Draft]) -> list[Draft]:
+    """The stripped lines of each symbol, in order of lines; empty ones go."""
     lines, out = content.splitlines(), []
     for s in sorted(symbols, key=lambda s: (s["start_line"], s["end_line"])):
         start = max(1, s["start_line"])
@@ -76,17 +76,20 @@ def drafts_of(content: str, symbols: list[Draft], low: int, target: int, high: i
         text = "\n".join(lines[start - 1 : end]).strip()
         if text:
             out.append({"symbol": s["name"], "kind": s["kind"], "text": text, "start": start, "end": end})
-    if not out and lines:
-        whole = "\n".join(lines)
-        parts = [(whole, 1, len(lines))] if tokens_of(whole) <= high else split_text(whole, 1, low, target, high)
-        out = [{"symbol": None, "kind": "major_block", "text": t, "start": s, "end": e} for t, s, e in parts]
-    done = []
-    for d in out:
-        if tokens_of(d["text"]) <= high:
-            done.append(d)
-        else:
-            done += [d | {"text": t, "start": s, "end": e} for t, s, e in split_text(d["text"], d["start"], low, target, high)]
-    return done
+    return out
+
+
+def fallback_of(content: str, low: int, target: int, high: int) -> list[Draft]:
+    """The whole file, in parts if it is large."""
+    lines = content.splitlines()
+    whole = "\n".join(lines)
+    parts = [] if not lines else [(whole, 1, len(lines))] if tokens_of(whole) <= high else split_text(whole, 1, low, target, high)
+    return [{"symbol": None, "kind": "major_block", "text": t, "start": s, "end": e} for t, s, e in parts]
+
+
+def split_large(drafts: list[Draft], low: int, target: int, high: int) -> list[Draft]:
+    """Drafts of over ``high`` tokens in parts that keep symbol and kind."""
+    return [p for d in drafts for p in ([d] if tokens_of(d["text"]) <= high else [d | {"text": t, "start": s, "end": e} for t, s, e in split_text(d["text"], d["start"], low, target, high)])]
 
 
 def merge_small(drafts: list[Draft], low: int, high: int, gap: int = MAX_GAP) -> list[Draft]:
@@ -114,18 +117,34 @@ def merge_small(drafts: list[Draft], low: int, high: int, gap: int = MAX_GAP) ->
             release()
         held.append(d)
     release()
-    if len(out) > 1 and tokens_of(out[-1]["text"]) < low:
-        both = out[-2]["text"] + "\n\n" + out[-1]["text"]
-        if tokens_of(both) <= high:
-            out[-2:] = [out[-2] | {"text": both, "end": out[-1]["end"]}]
     return out
 
 
-def chunk_files(files: DataFrame, low: int = MIN_TOKENS, high: int = MAX_TOKENS, target: int = TARGET_TOKENS) -> DataFrame:
-    """files(repo_path, file_path, language, text, content_hash, symbols) to chunk rows with all metadata.
+def merge_tail(drafts: list[Draft], low: int, high: int) -> list[Draft]:
+    """A last draft under ``low`` tokens joins the one before it if both fit; that one's symbol and kind hold, and the last one's end."""
+    if len(drafts) > 1 and tokens_of(drafts[-1]["text"]) < low:
+        both = drafts[-2]["text"] + "\n\n" + drafts[-1]["text"]
+        if tokens_of(both) <= high:
+            return [*drafts[:-2], drafts[-2] | {"text": both, "end": drafts[-1]["end"]}]
+    return drafts
+
+
+STEPS = ("slices", "fallback", "split", "small", "tail")
+
+
+def draft_files(files: DataFrame, low: int = MIN_TOKENS, high: int = MAX_TOKENS, target: int = TARGET_TOKENS, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """files(repo_path, file_path, language, text, content_hash, symbols) to drafts by the named steps.
 
     The folds are sequential within one file, so each file is one row of an Arrow batch."""
 
+    def drafts(text: str, symbols: list[Draft]) -> list[Draft]:
+        out = slices_of(text, symbols) if "slices" in steps else []
+        if not out and "fallback" in steps:
+            out = fallback_of(text, low, target, high)
+        out = split_large(out, low, target, high) if "split" in steps else out
+        out = merge_small(out, low, high) if "small" in steps else out
+        return merge_tail(out, low, high) if "tail" in steps else out
+
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
@@ -133,13 +152,17 @@ def chunk_files(files: DataFrame, low: int = MIN_TOKENS, high: int = MAX_TOKENS,
             rows = []
             for f in pdf.itertuples(index=False):
                 symbols = [{"kind": s["kind"], "name": s["name"], "start_line": s["start_line"], "end_line": s["end_line"]} for s in (f.symbols if f.symbols is not None else [])]
-                for d in merge_small(drafts_of(f.text, symbols, low, target, high), low, high):
+                for d in drafts(f.text, symbols):
                     rows.append((f.repo_path, f.file_path, f.language, f.content_hash, d["start"], d["end"], d["symbol"], d["kind"], d["text"]))
             yield pd.DataFrame(rows, columns=["repo_path", "file_path", "language", "content_hash", "start_line", "end_line", "symbol", "symbol_kind", "text"])
 
-    drafts = files.select("repo_path", "file_path", "language", "text", "content_hash", "symbols").mapInPandas(
+    return files.select("repo_path", "file_path", "language", "text", "content_hash", "symbols").mapInPandas(
         run, "repo_path string, file_path string, language string, content_hash string, start_line int, end_line int, symbol string, symbol_kind string, text string")
-    return enrich(drafts)
+
+
+def chunk_files(files: DataFrame, low: int = MIN_TOKENS, high: int = MAX_TOKENS, target: int = TARGET_TOKENS) -> DataFrame:
+    """files(repo_path, file_path, language, text, content_hash, symbols) to chunk rows with all metadata."""
+    return enrich(draft_files(files, low, high, target))
 
 
 def describe() -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..functions.text import embed_prefix
+from ..functions.text import embed_prefix, prefix_of
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -29,6 +29,12 @@ class HashingEmbedder:
         return out
 
 
+def embed_query(text: str, embedder: Embedder) -> list[float]:
+    """The vector of one query, with the model's query prefix."""
+    prefix = prefix_of(getattr(embedder, "model", ""), True)
+    return [float(x) for x in embedder([text if text.startswith(prefix) else prefix + text])[0]]
+
+
 def embed(df: DataFrame, text: str, out: str, embedder: Embedder, batch: int = 256, query: bool = False) -> DataFrame:
     """Adds the vectors of a text column; the embedder works once a batch in each worker."""
     from pyspark.sql import functions as F

@@ -66,3 +66,29 @@ def latency_percentiles(runs: DataFrame, by: list[str], value: str) -> DataFrame
     r = runs.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     at = lambda p: F.max(F.when(F.col("_i") == F.greatest(F.lit(1), F.floor(F.col("_n") * p)), F.col(value)))
     return r.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
+def ensure_dimension(vectors: DataFrame, size: int, recreate: bool = False) -> tuple[DataFrame, bool]:
+    """(vectors, whether the collection was made anew): one of another size, or one to recreate, is emptied."""
+    other = vectors.where(F.size("vector") != size).limit(1).count() > 0
+    return (vectors.limit(0), True) if recreate or other else (vectors, False)
+
+
+def zipped(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Chunks with their vectors, strictly: one without the other is an error when the rows are read."""
+    c, v = chunks.withColumn("_c", F.lit(True)), vectors.withColumn("_v", F.lit(True))
+    both = c.join(v, key, "full")
+    fit = F.when(F.col("_c") & F.col("_v"), True).otherwise(F.raise_error(F.concat(F.lit("chunks and vectors differ at "), F.col(key).cast("string"))))
+    return both.where(fit).drop("_c", "_v")
+
+
+def upsert_vectors(index: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The index (chunk_id, vector and payload) with the chunks' rows put in or replaced; a chunk's last row holds."""
+    new = zipped(chunks, vectors).select(*index.columns)
+    return upsert(index, new, ["chunk_id"])
+
+
+def delete_vectors(index: DataFrame, ids: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """The index without the given chunks, or without those of the given (repo_path, file_path)."""
+    out = index if ids is None else delete(index, ids, ["chunk_id"])
+    return out if paths is None else delete(out, paths, ["repo_path", "file_path"])

@@ -2,43 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import query_signal, strings, verb_intent
-from ..functions.text import cosine, normalize_terms, overlap_score, sigmoid, strip, truncate_code, vector_norm
+from ..functions.text import normalize_terms, overlap_score, sigmoid, strip, truncate_code, vector_norm
+from ..plans.session import ship
 
 WEIGHTS = {"vector": 0.50, "keyword": 0.18, "symbol": 0.12, "intent": 0.12, "structural": 0.08}
 ROUTE_HINTS = "create post api endpoint route".split()
 NOISE = "seed_data migration_script test_script script".split()
 FACTORS = {"intent": 1.2, "route": 1.3, "noise": 0.7}
 OVER_FETCH = 12
-#: Queries are sent to all executors only up to this number at once; larger batches go in blocks.
-QUERY_BLOCK = 1000
+#: Bytes of query vectors that are sent to all executors at once; larger batches go in blocks.
+QUERY_BYTES = 32 << 20
+#: Pairs scored at once in a task.
+SCORED = 1 << 22
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str] | None = None) -> DataFrame:
+def _blocks(queries: DataFrame, dimension: int) -> Iterator[DataFrame]:
+    blocks = max(1, -(-queries.count() * dimension * 8 // QUERY_BYTES))
+    for b in range(blocks):
+        yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """The k vectors of the highest raw cosine for each query: (query_id, chunk_id, raw_score, hit_rank).
 
-    queries: query_id, query_vector; vectors: chunk_id, vector.  Vectors of another size are an
-    error of the caller, see ``check_dimension``.  Each partition keeps k rows for each query
-    before anything is shuffled (WindowGroupLimit)."""
-    scored = vectors.join(F.broadcast(queries.select("query_id", "query_vector", *(scope or []))), scope or [], "inner") if scope else vectors.crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
-    scored = scored.select("query_id", "chunk_id", cosine(F.col("query_vector"), F.col("vector")).alias("raw_score"))
+    queries: query_id, query_vector; vectors: chunk_id, vector; ``scope`` names a column of both that must be equal.
+    Vectors of another size are an error of the caller, see ``check_dimension``; null and zero vectors match nothing.
+    A task normalises its vectors once, multiplies them with the matrix of queries and keeps k for each query, so k rows for each
+    query and task are shuffled; scores are rounded to 12 digits, so that equal vectors tie whatever their place in a block."""
+    spark = queries.sparkSession
+    ship(spark)
+    first = queries.select(F.size("query_vector").alias("n")).first()
+    id_type, chunk_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    kind = f"query_id {id_type}, chunk_id {chunk_type}, raw_score double"
+    out = spark.createDataFrame([], kind)
+    for part in _blocks(queries, first.n) if first else ():
+        rows = part.select("query_id", "query_vector", *([scope] if scope else [])).where("query_vector IS NOT NULL").collect()  # at most QUERY_BYTES
+        matrix = np.array([r.query_vector for r in rows], np.float64).reshape(len(rows), -1)
+        norms = np.linalg.norm(matrix, axis=1)
+        keep = np.flatnonzero(norms > 0)
+        shared = spark.sparkContext.broadcast((matrix[keep] / norms[keep, None], [rows[i].query_id for i in keep], np.array([rows[i][scope] for i in keep], object) if scope else None))
+
+        def run(batches: Iterator, shared=shared) -> Iterator:
+            import pandas as pd
+
+            q, ids, scopes = shared.value
+            best = np.full((len(ids), 0), -np.inf)
+            names = np.empty((len(ids), 0), object)
+            for pdf in batches:
+                pdf = pdf[pdf["vector"].notna()]
+                step = max(16, SCORED // max(1, len(ids)))
+                for lo in range(0, len(pdf) if ids else 0, step):
+                    some = pdf.iloc[lo : lo + step]
+                    x = np.array(some["vector"].tolist(), np.float64)
+                    size = np.linalg.norm(x, axis=1)
+                    x = x[size > 0] / size[size > 0, None]
+                    chunk = some["chunk_id"].to_numpy(object)[size > 0]
+                    score = np.round(q @ x.T, 12)
+                    if scopes is not None:
+                        score[scopes[:, None] != some[scope].to_numpy(object)[size > 0]] = -np.inf
+                    best, names = np.hstack([best, score]), np.hstack([names, np.tile(chunk, (len(ids), 1))])
+                    if best.shape[1] > k:
+                        at = _first(best, names, k)
+                        best, names = np.take_along_axis(best, at, 1), np.take_along_axis(names, at, 1)
+            i, j = np.nonzero(best > -np.inf)
+            yield pd.DataFrame({"query_id": [ids[x] for x in i], "chunk_id": names[i, j], "raw_score": best[i, j]})
+
+        out = out.unionByName(vectors.select("chunk_id", "vector", *([scope] if scope else [])).mapInPandas(run, kind))
     w = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "chunk_id")
-    return scored.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
+    return out.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
 
 
-def vector_topk_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """As vector_topk, for query batches of any size: blocks of at most about QUERY_BLOCK queries."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = vector_topk(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), vectors, k)
-        out = part if out is None else out.unionByName(part)
+def _first(best: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row, ties by name."""
+    edge = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(best), k), np.int64)
+    for r in range(len(best)):
+        at = np.flatnonzero(best[r] >= edge[r])  # k and what ties with the last of them
+        out[r] = at if len(at) == k else at[np.lexsort((names[r, at], -best[r, at]))[:k]]
     return out
 
 
@@ -64,14 +111,25 @@ def hybrid_score(df: DataFrame) -> DataFrame:
     return out.withColumn("total", total)
 
 
+def is_route(method: Column, tags: Column, kind: Column) -> Column:
+    return (F.coalesce(method, F.lit("")) != "") | F.array_contains(tags, "route_handler") | F.coalesce(kind == "route", F.lit(False))
+
+
+def route_boost(terms: Column, method: Column, tags: Column, kind: Column) -> Column:
+    """Whether a query of route words meets a route."""
+    return F.arrays_overlap(terms, strings(ROUTE_HINTS)) & is_route(method, tags, kind)
+
+
+def noise_penalty(tags: Column) -> Column:
+    return F.arrays_overlap(tags, strings(NOISE))
+
+
 def heuristics(df: DataFrame, factors: dict[str, float] = FACTORS) -> DataFrame:
     """Adds matched_intents, matched_keywords, reasons, multiplier and score; needs the columns of hybrid_score."""
     f = {k: max(0.1, v) for k, v in factors.items()}
     intents = F.array_sort(F.array_intersect(F.transform("_s.intents", lambda i: F.concat(i, F.lit("_resource"))), F.col("intent_tags")))
     own = F.concat(F.col("keywords"), F.col("symbol_terms"), F.col("structural_terms"), F.array_compact(F.array(F.lower("route_method"))), normalize_terms(F.col("route_resource")))
-    is_route = (F.coalesce(F.col("route_method"), F.lit("")) != "") | F.array_contains("intent_tags", "route_handler") | F.coalesce(F.col("symbol_kind") == "route", F.lit(False))
-    route = F.arrays_overlap("_q", strings(ROUTE_HINTS)) & is_route
-    noise = F.arrays_overlap("intent_tags", strings(NOISE))
+    route, noise = route_boost(F.col("_q"), F.col("route_method"), F.col("intent_tags"), F.col("symbol_kind")), noise_penalty(F.col("intent_tags"))
     df = df.withColumn("matched_intents", intents).withColumn("matched_keywords", F.slice(F.array_sort(F.array_intersect("_q", own)), 1, 8))
     hit = F.size("matched_intents") > 0
     reasons = F.array_compact(F.array(F.when(hit, F.concat(F.lit("intent match: "), F.array_join("matched_intents", ", "))), F.when(route, F.lit("route handler boost")), F.when(noise, F.lit("noise/script penalty"))))
@@ -89,7 +147,7 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, top_k: int
     """Candidates, scores, heuristics, rank.  The candidate cut comes before scoring, as the normalised score is not monotone."""
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must lie between 1 and 50")
-    hits = vector_topk_blocks(queries, vectors, OVER_FETCH * top_k)
+    hits = vector_topk(queries, vectors, OVER_FETCH * top_k)
     rows = hits.join(queries.select("query_id", "query"), "query_id").join(chunks, "chunk_id")
     return rank(heuristics(hybrid_score(rows)), top_k)
 

@@ -14,20 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "array<struct<kind:string,name:string,start_line:int,end_line:int,text:string>>"
+# The patterns of route calls, path arguments, handler names and route names.
 ROUTE_CALL = re.compile(r"\.(get|post|put|delete|patch|route|use)\s*\(", re.I)
 PATH_ARG = re.compile(r"""\(\s*['"]/[^'")]*['"]""")
 HANDLER = re.compile(r"handler|callback", re.I)
+ROUTE_VERB = r"\.([A-Za-z_][A-Za-z0-9_]*)\s*\("
+ROUTE_PATH = r"""\(\s*['"](/[^'"]*)['"]"""
 MAJOR_LINES = 15
 
 
 def route_name_of(text: str) -> str | None:
-    verb, path = re.search(r"\.([A-Za-z_]+)\s*\(", text), re.search(r"""\(\s*['"](/[^'")]*)['"]""", text)
-    return f"{verb[1].upper()} {path[1]}" if verb and path else None
+    """The first called member, in capitals, and the first path argument, if there is one."""
+    verb, path = re.search(ROUTE_VERB, text), re.search(ROUTE_PATH, text)
+    return " ".join(x for x in (verb[1].upper(), path[1].rstrip() if path else "") if x) if verb else None
 
 
 def route_name(text: Column) -> Column:
-    verb, path = F.regexp_extract(text, r"\.([A-Za-z_]+)\s*\(", 1), F.regexp_extract(text, r"""\(\s*['"](/[^'")]*)['"]""", 1)
-    return F.when((verb != "") & (path != ""), F.concat(F.upper(verb), F.lit(" "), path))
+    verb, path = F.regexp_extract(text, ROUTE_VERB, 1), F.regexp_extract(text, ROUTE_PATH, 1)
+    return F.when(verb != "", F.rtrim(F.concat(F.upper(verb), F.lit(" "), path)))
 
 
 def route_call(text: Column) -> Column:
@@ -59,8 +63,10 @@ def python_symbols(content: str) -> list[tuple]:
             call = ast.get_source_segment(content, node) or ""
             if ROUTE_CALL.search(call) and PATH_ARG.search(call):
                 out.append(("route", None, node.lineno, node.end_lineno, call))
-    plain = (ast.Import, ast.ImportFrom, ast.Expr, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-    return out + _major([(n.lineno, n.end_lineno) for n in tree.body if not isinstance(n, plain)], out, lines)
+    plain = (ast.Import, ast.ImportFrom, ast.Expr, ast.Assign, ast.AnnAssign, ast.AugAssign)
+    # A decorated definition begins at its first decorator, so that no symbol contains it unless it is a route.
+    spans = [(min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]), n.end_lineno) for n in tree.body if not isinstance(n, plain)]
+    return out + _major(spans, out, lines)
 
 
 def _python_by_indent(content: str) -> list[tuple]:

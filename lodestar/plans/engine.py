@@ -32,33 +32,43 @@ class EngineError(Exception):
 
 
 class Tables:
-    """Versioned tables: a write makes a new folder, then moves the pointer; nothing that is read is overwritten."""
+    """Versioned tables in any Hadoop file system: a write makes the folder of the next version, which counts once its
+    commit mark is there; nothing that is read is overwritten.  ``KEPT`` versions stay for readers that began before."""
+
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._at(self.root))
+
+    def _at(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
 
-    def _pointer(self, name: str) -> str:
-        return os.path.join(self.root, f"{name}.current")
+    def _versions(self, name: str) -> list[str]:
+        folder = f"{self.root}/{name}"
+        if not self._fs.exists(self._at(folder)):
+            return []
+        found = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder)))
+        return [f"{folder}/{v}" for v in found if self._fs.exists(self._at(f"{folder}/{v}/_SUCCESS"))]
 
     def read(self, name: str) -> DataFrame:
-        p = self._pointer(name)
-        if not os.path.exists(p):
+        versions = self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        with open(p) as f:
-            df = self.spark.read.parquet(os.path.join(self.root, f.read()))
+        df = self.spark.read.parquet(versions[-1])
         for f in self.spark.createDataFrame([], SCHEMAS[name]).schema:  # additive migration
             df = indexing.add_column(df, f.name, f.dataType.simpleString(), None)
         return df
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = f"{name}-{uuid.uuid4().hex}"
+        versions = self._versions(name)
+        number = int(versions[-1].rpartition("/v")[2].partition("-")[0]) + 1 if versions else 0
         cols = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
-        df.select(*cols).write.parquet(os.path.join(self.root, version))
-        tmp = self._pointer(name) + ".new"
-        with open(tmp, "w") as f:
-            f.write(version)
-        os.replace(tmp, self._pointer(name))
+        df.select(*cols).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/{name}/v{number:012d}-{uuid.uuid4().hex}")
+        for old in versions[: 1 - self.KEPT]:
+            self._fs.delete(self._at(old), True)
 
 
 class Engine:
@@ -70,6 +80,7 @@ class Engine:
         self.spark, self.settings = spark, settings or Settings()
         self.tables, self.embedder = Tables(spark, root), embedder or embedding.HashingEmbedder(self.settings.dimension)
         self.rewriter, self.reranker, self.selector, self.summarizer = rewriter, reranker, selector, summarizer
+        self.errors: list[str] = []
 
     @staticmethod
     def _repo(path: str) -> str:
@@ -90,20 +101,25 @@ class Engine:
         new = chunking.chunk_files(symbols.with_symbols(changed), s.min_tokens, s.max_tokens, s.target_tokens)
         new = self._summarized(indexing.last_of(new, ["repo_path", "chunk_id"], "start_line")).cache()
         chunks = self.tables.read("chunks")
-        stale = indexing.lookup(chunks.withColumn("_k", F.concat_ws("\n", "repo_path", "file_path")), touched.withColumn("_k", F.concat_ws("\n", "repo_path", "file_path")), "_k").select("repo_path", "chunk_id")
+        stale = chunks.join(touched.distinct(), ["repo_path", "file_path"], "left_semi").select("repo_path", "chunk_id")
         if rebuild:
             stale = chunks.where(F.col("repo_path") == repo).select("repo_path", "chunk_id")
         fresh = self._embedded(new)
         keys = ["repo_path", "chunk_id"]
         stats = indexing.index_stats(files, changed, gone, new).first().asDict()
-        self.tables.write("vectors", indexing.upsert(indexing.delete(self.tables.read("vectors"), stale, keys), fresh, keys))
+        old = self.tables.read("vectors")
+        kept, anew = indexing.ensure_dimension(old.where(F.col("repo_path") == repo), self.dimension(), rebuild)
+        if anew and not rebuild and old.where(F.col("repo_path") == repo).limit(1).count():
+            return self.index(path, rebuild=True)  # vectors of another model: all are made anew
+        vectors = old.where(F.col("repo_path") != repo).unionByName(indexing.delete(kept, stale, keys))
+        self.tables.write("vectors", indexing.upsert(vectors, fresh, keys))
         self.tables.write("chunks", indexing.upsert(indexing.delete(chunks, stale, keys), new, keys))
         now = F.current_timestamp()
         stamped = changed.select("repo_path", "file_path", "content_hash", now.alias("last_indexed_at"))
         self.tables.write("files", indexing.upsert(indexing.delete(known, gone, ["repo_path", "file_path"]), stamped, ["repo_path", "file_path"]))
         self.tables.write("meta", indexing.upsert(self.tables.read("meta"), self.spark.range(1).select(F.lit(repo).alias("repo_path"), now.alias("last_indexed_at")), ["repo_path"]))
         files.unpersist(), new.unpersist()
-        return stats | {"repo_path": repo, "duration_ms": int(1000 * (time.perf_counter() - began))}
+        return stats | {"repo_path": repo, "errors": self.errors, "duration_ms": int(1000 * (time.perf_counter() - began))}
 
     def _summarized(self, chunks: DataFrame) -> DataFrame:
         """Index-time summaries by an injected callable, kept by (model, chunk, text); a failure leaves the chunk without one."""
@@ -119,13 +135,15 @@ class Engine:
             for pdf in pdfs:
                 def one(t):
                     try:
-                        return call(t)
-                    except Exception:
-                        return None
-                pdf["summary"] = [one(t) for t in pdf["text"]]
+                        return call(t), None
+                    except Exception as e:  # the chunk goes without a summary; index() returns the first errors
+                        return None, f"summarizer: {e}"
+                pdf["summary"], pdf["error"] = zip(*map(one, pdf["text"]), strict=True) if len(pdf) else ([], [])
                 yield pdf
 
-        made = missing.mapInPandas(run, "chunk_id string, summary_key string, text string, summary string").withColumn("summary", clean_summary(F.col("summary"), limit)).where("summary IS NOT NULL").cache()
+        tried = missing.mapInPandas(run, "chunk_id string, summary_key string, text string, summary string, error string").withColumn("summary", clean_summary(F.col("summary"), limit)).cache()
+        self.errors = [r.error for r in tried.where("error IS NOT NULL").select("error").limit(10).collect()]
+        made = tried.where("summary IS NOT NULL")
         self.tables.write("summaries", indexing.upsert(self.tables.read("summaries"), made.select("summary_key", F.lit("model").alias("model"), "summary").dropDuplicates(["summary_key"]), ["summary_key"]))
         return indexing.apply_summaries(chunks, found.select("chunk_id", "summary").unionByName(made.select("chunk_id", "summary")))
 
@@ -139,6 +157,9 @@ class Engine:
         self.tables.write("embeddings", indexing.upsert(cache, made, ["content_hash", "model"]))
         return texts.join(self.tables.read("embeddings"), ["content_hash", "model"]).select("repo_path", "chunk_id", "vector")
 
+    def dimension(self) -> int:
+        return len(embedding.embed_query("x", self.embedder))
+
     def check_dimension(self, vectors: DataFrame, size: int) -> None:
         other = search.dimensions(vectors).where(F.col("dimension") != size).take(1)
         if other:
@@ -151,7 +172,7 @@ class Engine:
         began, repo, s = time.perf_counter(), self._repo(path), self.settings
         k = s.top_k if top_k is None else top_k
         asked, changed, _ = self.rewriter(text) if self.rewriter else (text, False, None)
-        vector = [float(x) for x in self.embedder([asked])[0]]
+        vector, errors = embedding.embed_query(asked, self.embedder), []
         queries = self.spark.createDataFrame([(0, asked, vector)], "query_id long, query string, query_vector array<float>")
         chunks, vectors = (self.tables.read(t).where(F.col("repo_path") == repo) for t in ("chunks", "vectors"))
         self.check_dimension(vectors, len(vector))
@@ -167,15 +188,15 @@ class Engine:
                 by = {r["chunk_id"]: r for r in rows}
                 rows = [by[r.chunk_id] | {"rank": r["rank"], "score": r.score} for r in order.orderBy("rank").collect()]
                 reranked = True
-            except Exception:
-                reranked = False
+            except Exception as e:  # the order of the scores holds; the error goes with the result
+                errors.append(f"reranker: {e}")
         selection = {"file": rows[0]["file_path"], "line": rows[0]["start_line"], "reason": "Top semantic match", "source": "vector"} if rows else None
         if self.selector and s.selector_enabled and rows and rows[0]["vector_score"] < s.threshold:
             try:
                 selection = self._selected(self.selector(asked, str([(r["file_path"], r["start_line"], r["end_line"]) for r in rows[:10]])), rows[:10]) or selection
-            except Exception:
-                pass
-        return {"query": text, "rewritten_query": asked if changed else None, "results": rows, "selection": selection, "reranked": reranked, "duration_ms": int(1000 * (time.perf_counter() - began))}
+            except Exception as e:  # the first match holds; the error goes with the result
+                errors.append(f"selector: {e}")
+        return {"query": text, "rewritten_query": asked if changed else None, "results": rows, "selection": selection, "reranked": reranked, "errors": errors, "duration_ms": int(1000 * (time.perf_counter() - began))}
 
     def _selected(self, answer: dict, rows: list[dict]) -> dict | None:
         answers = self.spark.createDataFrame([(0, answer["file"], answer["line"], answer["reason"])], "query_id long, file string, line int, reason string")

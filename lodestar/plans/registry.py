@@ -268,7 +268,7 @@ _HITS = lambda k: f"""hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTI
 
 @query(f"WITH {_HITS(96)} SELECT query_id, chunk_id, hit_rank::INT AS hit_rank, round(raw, 6) AS raw_score FROM hits")
 def vector_topk(spark, sf):
-    return search.vector_topk_blocks(_queries(spark, sf), _vectors(spark, sf), 96).withColumn("raw_score", F.round("raw_score", 6))
+    return search.vector_topk(_queries(spark, sf), _vectors(spark, sf), 96).withColumn("raw_score", F.round("raw_score", 6))
 
 
 @query("SELECT vec_id, round(CASE WHEN s BETWEEN 0 AND 1 THEN s ELSE greatest(0, least(1, (s + 1) / 2)) END, 6) AS s FROM (SELECT vec_id, embedding[1]::DOUBLE * 5 AS s FROM embeddings)")
@@ -277,9 +277,16 @@ def vector_norm(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", F.round(T.vector_norm(s), 6).alias("s"))
 
 
-@query("SELECT len(embedding) AS dimension, count(*) AS n FROM embeddings GROUP BY 1")
+@query("""SELECT 'same size' AS c, false AS recreated, (SELECT count(*) FROM embeddings) AS n UNION ALL SELECT 'other size', true, 0 UNION ALL SELECT 'asked for', true, 0
+UNION ALL SELECT 'found ' || len(embedding)::VARCHAR, false, count(*) FROM embeddings GROUP BY len(embedding)""")
 def vector_dim_guard(spark, sf):
-    return search.dimensions(_vectors(spark, sf)).select(F.col("dimension").cast("long").alias("dimension"), "n")
+    """What the guard makes of a collection: kept, or emptied where the size is another or it is asked for; and the sizes found."""
+    v, rows = _vectors(spark, sf), None
+    for name, size, anew in (("same size", 64, False), ("other size", 32, False), ("asked for", 64, True)):
+        kept, recreated = indexing.ensure_dimension(v, size, anew)
+        row = kept.agg(F.count("*").alias("n")).select(F.lit(name).alias("c"), F.lit(recreated).alias("recreated"), "n")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows.unionByName(search.dimensions(v).select(F.concat(F.lit("found "), F.col("dimension").cast("string")).alias("c"), F.lit(False).alias("recreated"), "n"))
 
 
 @query("SELECT count(*) AS n FROM embeddings")
@@ -287,11 +294,11 @@ def vector_count(spark, sf):
     return _vectors(spark, sf).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH a AS (SELECT d.doc_id, list_distinct({TERMS('b.text')}) AS q, list_distinct({TERMS('d.text')}) AS w FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+@query(f"""WITH a AS (SELECT d.doc_id, list_distinct({TERMS('b.text')}) AS q, list_distinct({TERMS('d.text')}) AS w FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, round(CASE WHEN len(q) = 0 OR len(w) = 0 THEN 0 ELSE len(list_intersect(q, w)) / len(q) END, 9) AS s FROM a""")
 def overlap_score(spark, sf):
     d, b = t(spark, sf, "documents"), t(spark, sf, "benchmark").withColumnRenamed("text", "q")
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", F.round(T.overlap_score(T.normalize_terms(F.col("q")), T.normalize_terms(F.col("text"))), 9).alias("s"))
+    return d.join(b, F.col("item_id") == F.col("doc_id") % b.count()).select("doc_id", F.round(T.overlap_score(T.normalize_terms(F.col("q")), T.normalize_terms(F.col("text"))), 9).alias("s"))
 
 
 _INTENT_SQL = f"""a AS (SELECT conv_id, turn, {TERMS(_QTEXT)} AS q, (['GET','POST','PUT','DELETE','PATCH'])[(conv_id % 5 + 1)::INT] AS m FROM conversations),
@@ -347,7 +354,7 @@ QUERIES["search"], ORACLE_SQL["search"] = QUERIES.pop("search_"), ORACLE_SQL.pop
 
 @query(f"{_SEARCH} SELECT query_id, chunk_id, round(vector_score, 6) AS v, round(keyword_score, 6) AS k, round(symbol_score, 6) AS s, round(intent_score, 6) AS i, round(structural_score, 6) AS t, round(total, 6) AS total FROM r WHERE rank <= 50")
 def hybrid_score(spark, sf):
-    hits = search.vector_topk_blocks(_queries(spark, sf), _vectors(spark, sf), 96)
+    hits = search.vector_topk(_queries(spark, sf), _vectors(spark, sf), 96)
     q = _queries(spark, sf).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, " create the post").otherwise("")))
     rows = search.heuristics(search.hybrid_score(hits.join(q.select("query_id", "query"), "query_id").join(_chunk_rows(spark, sf), "chunk_id")))
     names = {"v": "vector_score", "k": "keyword_score", "s": "symbol_score", "i": "intent_score", "t": "structural_score", "total": "total"}
@@ -377,7 +384,7 @@ def heuristics(spark, sf):
 @query(f"{_SEARCH} SELECT query_id, rank::INT AS rank, chunk_id FROM r WHERE rank <= 20")
 def hybrid_topk(spark, sf):
     # The candidates are those of eight results; of these the first twenty.
-    hits = search.vector_topk_blocks(_queries(spark, sf), _vectors(spark, sf), 96)
+    hits = search.vector_topk(_queries(spark, sf), _vectors(spark, sf), 96)
     q = _queries(spark, sf).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, " create the post").otherwise("")))
     rows = search.heuristics(search.hybrid_score(hits.join(q.select("query_id", "query"), "query_id").join(_chunk_rows(spark, sf), "chunk_id")))
     return search.rank(rows, 20).select("query_id", "rank", "chunk_id")
@@ -412,20 +419,36 @@ def llm_candidates(spark, sf):
     return _searched(spark, sf).where("rank <= 10").groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
 
 
-@query()
+@query(f"{_SEARCH} SELECT r.query_id, r.rank::INT AS rank, r.file_path, (r.chunk_id % 50 + 1)::INT AS end_line, CASE WHEN r.chunk_id % 2 = 0 THEN 'fn' END AS symbol, round(total * multiplier, 6) AS score, CASE WHEN length(text) <= 1800 THEN text ELSE left(text, 1800) || chr(10) || '... [truncated]' END AS snippet FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 8")
 def candidates_json(spark, sf):
-    return search.candidates_json(_searched(spark, sf).withColumn("score", F.round("score", 6)))
+    """The JSON text of each query's candidates, read back."""
+    j = search.candidates_json(_searched(spark, sf).withColumn("score", F.round("score", 6)))
+    item = "array<struct<rank:int,file_path:string,end_line:int,symbol:string,score:double,snippet:string>>"
+    return j.select("query_id", F.explode(F.from_json("candidates", item)).alias("c")).select("query_id", "c.*")
 
 
-@query()
+@query(f"""{_SEARCH} SELECT query_id, rank::INT AS rank, concat_ws('; ', format('semantic={{:.3f}}', vector_score::DOUBLE), format('keyword={{:.3f}}', keyword_score::DOUBLE), format('symbol={{:.3f}}', symbol_score::DOUBLE),
+  format('intent={{:.3f}}', intent_score::DOUBLE), format('structural={{:.3f}}', structural_score::DOUBLE), 'heuristics=' || nullif(concat_ws(', ', CASE WHEN list_contains(i, 'create') AND chunk_id % 3 = 1 THEN 'intent match: create_resource' END,
+  CASE WHEN list_has_any(q, {LIST(search.ROUTE_HINTS)}) AND method IS NOT NULL THEN 'route handler boost' END, CASE WHEN chunk_id % 5 = 0 THEN 'noise/script penalty' END), '')) AS explanation FROM r WHERE rank <= 8""")
 def explanation(spark, sf):
     return search.explain(_searched(spark, sf)).select("query_id", "rank", "explanation")
 
 
-@query(f"{_SEARCH} SELECT query_id, chunk_id, rank::INT AS rank, concat_ws(chr(10), 'File: ' || file_path, CASE WHEN chunk_id % 2 = 0 THEN 'Symbol: fn' END) AS head FROM r WHERE rank <= 8")
+@query(f"{_SEARCH} SELECT query_id, chunk_id, (list_has_any(q, {LIST(search.ROUTE_HINTS)}) AND method IS NOT NULL) AS boosted FROM r WHERE rank <= 8")
+def route_boost(spark, sf):
+    r = _searched(spark, sf)
+    return r.select("query_id", "chunk_id", search.route_boost(F.col("_q"), F.col("route_method"), F.col("intent_tags"), F.col("symbol_kind")).alias("boosted"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, (contains(p, 'seed') OR contains(p, 'migration') OR contains(lower(p), 'test') OR contains(lower(p), 'spec') OR contains(lower(p), 'script')) AS noisy FROM (SELECT doc_id, {_PATHS} AS p FROM chunks)")
+def noise_penalty(spark, sf):
+    return doc_chunks(spark, sf).select("doc_id", search.noise_penalty(S.noise_tags(_paths())).alias("noisy"))
+
+
+@query(f"{_SEARCH} SELECT query_id, r.chunk_id, rank::INT AS rank, concat_ws(chr(10), 'File: ' || file_path, CASE WHEN chunk_id % 2 = 0 THEN 'Symbol: fn' END, 'd', left(text, 1200)) AS t FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 8")
 def rerank_text(spark, sf):
     r = _searched(spark, sf).withColumn("description", F.lit("d"))
-    return r.select("query_id", "chunk_id", "rank", F.substring_index(search.rerank_text(), "\nd\n", 1).alias("head"))
+    return r.select("query_id", "chunk_id", "rank", search.rerank_text().alias("t"))
 
 
 @query(f"{_SEARCH} SELECT query_id, rank::INT AS rank, file_path, round(total * multiplier, 6) AS score FROM r WHERE rank <= 8")
@@ -435,7 +458,7 @@ def result_projection(spark, sf):
 
 @query(f"{_SEARCH} SELECT query_id, count(*) AS n FROM r GROUP BY query_id")
 def hits_join_chunks(spark, sf):
-    return search.vector_topk_blocks(_queries(spark, sf), _vectors(spark, sf), 96).join(_chunk_rows(spark, sf), "chunk_id").groupBy("query_id").agg(F.count("*").alias("n"))
+    return search.vector_topk(_queries(spark, sf), _vectors(spark, sf), 96).join(_chunk_rows(spark, sf), "chunk_id").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 # Chunking.
@@ -455,33 +478,118 @@ def line_packer(spark, sf):
     return d.select("doc_id", "p.start_line", "p.end_line", F.sha2("p.text", 256).alias("part"))
 
 
-def _files(spark, sf):
+def _files(spark, sf, each: int | None = None):
+    """Documents as files with symbols: two halves, or one for ``each`` lines."""
     ship(spark)
-    d = doc_chunks(spark, sf).where("text IS NOT NULL")
-    half = F.greatest(F.lit(1), F.floor(F.size(F.split("text", "\n")) / 2)).cast("int")
-    sym = F.array(*[F.struct(F.lit("function").alias("kind"), F.lit(n).alias("name"), s.alias("start_line"), e.alias("end_line"), F.lit("").alias("text")) for n, s, e in (("a", F.lit(1), half), ("b", half + 1, F.size(F.split("text", "\n"))))])
+    d = doc_chunks(spark, sf).where("text IS NOT NULL").withColumn("_k", F.size(F.split("text", "\n", -1)))
+    step = F.greatest(F.lit(1), F.floor(F.col("_k") / 2)).cast("int") if each is None else F.lit(each)
+    count = F.lit(2) if each is None else F.ceil(F.col("_k") / each).cast("int")
+    last = lambda i: F.when(i == count, F.col("_k")).otherwise(i * step)
+    sym = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.lit("function").alias("kind"), F.concat(F.lit("s"), i.cast("string")).alias("name"), ((i - 1) * step + 1).cast("int").alias("start_line"), last(i).cast("int").alias("end_line"), F.lit("").alias("text")))
     return d.select("repo_path", "file_path", F.lit("python").alias("language"), "text", T.content_hash(F.col("text")).alias("content_hash"), sym.alias("symbols"))
 
 
-_CHUNK_KEYS = ["file_path", "start_line", "end_line"]
+# The folds in SQL.  Every step is a relation (id: file and draft, f: file, symbol, kind, s, e, t: text).
+_TEXTS = f"""{CHUNKS}, src AS (SELECT file_path AS f, len(string_split(text, chr(10))) AS k, CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) END AS lines FROM chunks WHERE text IS NOT NULL)"""
+_STRIPPED = r"regexp_replace(regexp_replace({}, '^[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+', ''), '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+$', '')"
 
 
-@query()
-def build_chunks(spark, sf):
-    return chunking.chunk_files(_files(spark, sf)).drop("text", "repo_path")
+def _slices_sql(each: int | None = None) -> str:
+    step, count = ("greatest(1, k // 2)", "2") if each is None else (str(each), f"ceil(k / {each})::INT")
+    return f"""sym AS (SELECT f, lines, i, ((i - 1) * {step} + 1) AS s, CASE WHEN i = {count} THEN k ELSE i * {step} END AS e0 FROM (SELECT *, unnest(range(1, {count} + 1)) AS i FROM src)),
+slices AS (SELECT f || '|' || i AS id, f, 's' || i AS symbol, 'function' AS kind, s, e, t FROM (SELECT *, {_STRIPPED.format("array_to_string(lines[s:e], chr(10))")} AS t FROM (SELECT *, greatest(s, e0) AS e FROM sym)) WHERE t <> '')"""
 
 
-@query()
-def merge_small(spark, sf):
-    return chunking.chunk_files(_files(spark, sf), 60, 200, 120).select(*_CHUNK_KEYS, "symbol", "symbol_kind", "tokens")
+def _split_sql(src: str, name: str, low: int, target: int, high: int) -> str:
+    """Drafts of ``src`` over ``high`` tokens in parts."""
+    return f"""{name}_z AS (SELECT *, list_transform(l, lambda x: {TOKENS('x')}) AS n FROM (SELECT *, string_split(t, chr(10)) AS l, {TOKENS('t')} AS tokens FROM {src}) WHERE tokens > {high}),
+{name}_f(id, i, s, cur, part) AS (
+  SELECT id, 0, 0, 0::BIGINT, NULL::INT[] FROM {name}_z
+  UNION ALL
+  SELECT id, i + 1, CASE WHEN c2 >= {high} THEN i + 1 ELSE s2 END, CASE WHEN c2 >= {high} THEN 0 ELSE c2 END, CASE WHEN cut THEN [s, i] ELSE [] END || CASE WHEN c2 >= {high} THEN [s2, i + 1] ELSE [] END
+  FROM (SELECT *, CASE WHEN cut THEN x ELSE cur + x END AS c2, CASE WHEN cut THEN i ELSE s END AS s2 FROM (
+    SELECT a.id, i, a.s, cur, n[i + 1] AS x, (i > a.s AND cur + n[i + 1] > {target} AND cur >= {low}) AS cut FROM {name}_f a JOIN {name}_z z USING (id) WHERE i < len(n)))),
+{name}_p AS (SELECT id, part[1] AS p, part[2] AS q FROM {name}_f WHERE len(part) >= 2 UNION ALL SELECT id, part[3], part[4] FROM {name}_f WHERE len(part) = 4
+  UNION ALL SELECT a.id, a.s, i FROM {name}_f a JOIN {name}_z z USING (id) WHERE i = len(n) AND i > a.s),
+{name} AS (SELECT id || '|' || p AS id, f, symbol, kind, s + p AS s, s + q - 1 AS e, array_to_string(l[p + 1 : q], chr(10)) AS t FROM {name}_p JOIN {name}_z USING (id)
+  UNION ALL SELECT id, f, symbol, kind, s, e, t FROM {src} WHERE {TOKENS('t')} <= {high})"""
+
+
+def _small_sql(src: str, name: str, low: int, high: int, gap: int = 40) -> str:
+    """Neighbouring drafts under ``low`` tokens joined while they fit."""
+    return f"""{name}_z AS (SELECT f, list(t ORDER BY s, e) AS t, list({TOKENS('t')} ORDER BY s, e) AS n, list(s ORDER BY s, e) AS s, list(e ORDER BY s, e) AS e, list(symbol ORDER BY s, e) AS y, list(kind ORDER BY s, e) AS k FROM {src} GROUP BY f),
+{name}_f(f, i, h, cur, part) AS (
+  SELECT f, 0, 0, 0::BIGINT, NULL::INT[] FROM {name}_z
+  UNION ALL
+  SELECT f, i + 1, CASE WHEN x >= {low} THEN i + 1 WHEN flush THEN i ELSE h END, CASE WHEN x >= {low} THEN 0 WHEN flush THEN x ELSE cur + x END,
+    CASE WHEN flush THEN [h, i] ELSE [] END || CASE WHEN x >= {low} THEN [i, i + 1] ELSE [] END
+  FROM (SELECT *, i > h AND (x >= {low} OR cur + x > {high} OR d > {gap}) AS flush FROM (
+    SELECT a.f, i, h, cur, n[i + 1] AS x, CASE WHEN i > 0 THEN z.s[i + 1] - z.e[i] ELSE 0 END AS d FROM {name}_f a JOIN {name}_z z USING (f) WHERE i < len(n)))),
+{name}_p AS (SELECT f, part[1] AS p, part[2] AS q FROM {name}_f WHERE len(part) >= 2 UNION ALL SELECT f, part[3], part[4] FROM {name}_f WHERE len(part) = 4
+  UNION ALL SELECT a.f, h, i FROM {name}_f a JOIN {name}_z z USING (f) WHERE i = len(n) AND i > h),
+{name} AS (SELECT f, p, CASE WHEN q = p + 1 THEN y[q] END AS symbol, CASE WHEN q = p + 1 THEN k[q] ELSE 'major_block' END AS kind, s[p + 1] AS s, e[q] AS e, array_to_string(t[p + 1 : q], chr(10) || chr(10)) AS t FROM {name}_p JOIN {name}_z USING (f))"""
 
 
-@query()
+def _tail_sql(src: str, name: str, low: int, high: int) -> str:
+    """A small last draft joined to the one before it."""
+    return f"""{name}_z AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p DESC) AS back, lead(t) OVER (PARTITION BY f ORDER BY p) AS t2, lead(e) OVER (PARTITION BY f ORDER BY p) AS e2 FROM {src}),
+{name}_y AS (SELECT f FROM {name}_z WHERE back = 2 AND {TOKENS('t2')} < {low} AND {TOKENS('t')} + {TOKENS('t2')} <= {high}),
+{name} AS (SELECT f, p, symbol, kind, s, CASE WHEN back = 2 AND y.f IS NOT NULL THEN e2 ELSE e END AS e, CASE WHEN back = 2 AND y.f IS NOT NULL THEN t || chr(10) || chr(10) || t2 ELSE t END AS t
+  FROM {name}_z z LEFT JOIN {name}_y y USING (f) WHERE NOT (back = 1 AND y.f IS NOT NULL))"""
+
+
+_DRAFT_COLUMNS = f"f AS file_path, s::INT AS start_line, e::INT AS end_line, symbol, kind AS symbol_kind, {TOKENS('t')}::INT AS tokens, sha256(t) AS part"
+
+
+def _draft_rows(drafts: DataFrame) -> DataFrame:
+    return drafts.select("file_path", "start_line", "end_line", "symbol", "symbol_kind", T.estimate_tokens(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("part"))
+
+
+@query(f"WITH {_TEXTS}, {_slices_sql()} SELECT {_DRAFT_COLUMNS} FROM slices")
+def symbol_slices(spark, sf):
+    return _draft_rows(chunking.draft_files(_files(spark, sf), steps=("slices",)))
+
+
+_FALLBACK = "whole AS (SELECT f AS id, f, NULL::VARCHAR AS symbol, 'major_block' AS kind, 1 AS s, len(lines) AS e, array_to_string(lines, chr(10)) AS t FROM src WHERE len(lines) > 0)"
+
+
+@query(f"WITH RECURSIVE {_TEXTS}, {_FALLBACK}, {_split_sql('whole', 'parts', 40, 80, 120)} SELECT {_DRAFT_COLUMNS} FROM parts")
 def file_fallback(spark, sf):
-    return chunking.chunk_files(_files(spark, sf).withColumn("symbols", F.slice("symbols", 1, 0))).select(*_CHUNK_KEYS, "symbol_kind", "tokens")
+    return _draft_rows(chunking.draft_files(_files(spark, sf).withColumn("symbols", F.slice("symbols", 1, 0)), 40, 120, 80, steps=("slices", "fallback")))
+
+
+@query(f"WITH RECURSIVE {_TEXTS}, {_slices_sql()}, {_split_sql('slices', 'parts', 40, 80, 120)} SELECT {_DRAFT_COLUMNS} FROM parts")
+def split_large(spark, sf):
+    return _draft_rows(chunking.draft_files(_files(spark, sf), 40, 120, 80, steps=("slices", "split")))
+
+
+@query(f"WITH RECURSIVE {_TEXTS}, {_slices_sql(1)}, {_small_sql('slices', 'joined', 60, 200)} SELECT {_DRAFT_COLUMNS} FROM joined")
+def merge_small(spark, sf):
+    return _draft_rows(chunking.draft_files(_files(spark, sf, 1), 60, 200, 120, steps=("slices", "small")))
 
 
-QUERIES["merge_tail"] = QUERIES["split_large"] = QUERIES["symbol_slices"] = lambda spark, sf: chunking.chunk_files(_files(spark, sf), 40, 120, 80).select(*_CHUNK_KEYS, "symbol", "tokens")
+@query(f"WITH RECURSIVE {_TEXTS}, {_slices_sql(1)}, {_small_sql('slices', 'joined', 60, 200)}, {_tail_sql('joined', 'done', 60, 200)} SELECT {_DRAFT_COLUMNS} FROM done")
+def merge_tail(spark, sf):
+    return _draft_rows(chunking.draft_files(_files(spark, sf, 1), 60, 200, 120, steps=("slices", "small", "tail")))
+
+
+_ENRICHED = f"""g AS (SELECT *, {TERMS("concat_ws(chr(10), f, coalesce(symbol, ''), left(t, 8000))")} AS w, {TERMS("coalesce(symbol, '')")} AS own, {TERMS('f')} AS pt,
+  nullif(lower(regexp_extract(t, '(?i)\\b(get|post|put|delete|patch)\\b', 1)), '') AS v FROM done),
+h AS (SELECT *, CASE v WHEN 'post' THEN 'create' WHEN 'get' THEN 'read' WHEN 'delete' THEN 'delete' WHEN 'put' THEN 'update' WHEN 'patch' THEN 'update' END AS i, CASE WHEN v IS NOT NULL THEN {SING(f'(list_filter(own, lambda x: NOT list_contains({LIST(S.SYMBOL_SKIP)}, x)))[1]')} END AS r FROM g),
+j AS (SELECT *, {SETS(f"[{_TAGS}, CASE WHEN list_has_any(w, {LIST(S.LOGGING)}) THEN 'logging' END, CASE WHEN list_has_any(w, {LIST(S.ANALYTICS)}) THEN 'analytics' END, CASE WHEN v IS NOT NULL THEN 'route_handler' END]")} AS tags,
+  {SETS('w', "CASE WHEN v IS NOT NULL THEN [v, i, r] || own ELSE []::VARCHAR[] END", 'pt')} AS st FROM h),
+l AS (SELECT *, {_STRIPPED.format("left(" + _STRIPPED.format("string_split(" + _STRIPPED.format('t') + ", chr(10))[1]") + ", 120)")} AS head,
+  coalesce(' Intent: ' || i || ' resource. HTTP method: ' || upper(v) || '.' || coalesce(' Resource: ' || r || '.', ''), '') || CASE WHEN len(tags) > 0 THEN ' Tags: ' || array_to_string(tags, ', ') || '.' ELSE '' END AS more FROM j),
+m AS (SELECT *, {_STRIPPED.format("CASE WHEN symbol IS NOT NULL AND kind = 'function' THEN 'Function ' || symbol || ' in ' || f || '. Starts with: ' || head || more ELSE 'Major code block in ' || f || ' (lines ' || s::VARCHAR || '-' || e::VARCHAR || '). Starts with: ' || head || more END")} AS description FROM l)"""
+
+
+@query(f"""WITH RECURSIVE {_TEXTS}, {_slices_sql()}, {_split_sql('slices', 'parts', 200, 500, 800)}, {_small_sql('parts', 'joined', 200, 800)}, {_tail_sql('joined', 'done', 200, 800)}, {_ENRICHED}
+SELECT f AS file_path, 'python' AS language, s::INT AS start_line, e::INT AS end_line, symbol, kind AS symbol_kind, sha256(f || '|' || s::VARCHAR || '|' || e::VARCHAR || '|' || t) AS chunk_id, {TOKENS('t')}::INT AS tokens, description,
+  array_to_string({TERMS("concat_ws(chr(10), description, left(t, 4000), 'Intent: ' || i, 'HTTP method: ' || upper(v), 'Resource: ' || r)")}, ' ') AS keywords, array_to_string({SETS('own', 'st')}, ' ') AS symbol_terms, array_to_string(st, ' ') AS structural_terms,
+  array_to_string(tags, ' ') AS intent_tags, upper(v) AS route_method, i AS route_intent, r AS route_resource, NULL::VARCHAR AS route_path FROM m""")
+def build_chunks(spark, sf):
+    c = chunking.chunk_files(_files(spark, sf)).drop("text", "repo_path", "content_hash", "llm_summary")
+    return c.select(*[F.array_join(x, " ").alias(x) if kind.startswith("array") else x for x, kind in c.dtypes])
 
 
 def _drafts(spark, sf):
@@ -551,7 +659,11 @@ def known_hashes(spark, sf):
     return known_files(spark, sf).where("repo_path = 'corpus'").select("file_path", "content_hash")
 
 
-QUERIES["repo_filter"], ORACLE_SQL["repo_filter"] = QUERIES["known_hashes"], ORACLE_SQL["known_hashes"]
+@query("SELECT 'r/' || lang AS repo_path, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1")
+def repo_filter(spark, sf):
+    """The rows of two repositories out of all."""
+    files = t(spark, sf, "documents").select(F.concat(F.lit("r/"), "lang").alias("repo_path"), "doc_id")
+    return files.where(F.col("repo_path").isin("r/en", "r/fr")).groupBy("repo_path").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CURRENT} SELECT file_path, content_hash FROM files UNION ALL SELECT file_path, content_hash FROM known WHERE file_path NOT IN (SELECT file_path FROM files)")
@@ -590,17 +702,21 @@ def chunk_ids_for_file(spark, sf):
     return doc_chunks(spark, sf).where(F.col("file_path").startswith("src1/")).select("doc_id", T.content_hash(F.col("text")).alias("chunk_id"))
 
 
-_CACHE_SQL = "SELECT doc_id, sha256(text) AS k, v IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT DISTINCT sha256(text) AS k2, 1 AS v FROM documents WHERE doc_id % 2 = 0) ON k2 = sha256(text)"
-
-
-def _cache(spark, sf):
+@query("SELECT doc_id, sha256(text) AS k, v IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT DISTINCT sha256(text) AS k2, 1 AS v FROM documents WHERE doc_id % 2 = 0) ON k2 = sha256(text)")
+def embedding_cache(spark, sf):
+    """Which texts are in the cache and which are still to embed."""
     d = t(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("k"))
     found, missing = indexing.cache_split(d, d.where("doc_id % 2 = 0").select("k").distinct(), ["k"])
     return found.withColumn("hit", F.lit(True)).unionByName(missing.withColumn("hit", F.lit(False)))
 
 
-for _n in ("embedding_cache", "summary_cache"):
-    QUERIES[_n], ORACLE_SQL[_n] = _cache, _CACHE_SQL
+@query("SELECT sha256('m|' || doc_id::VARCHAR || '|' || text) AS summary_key, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE 'made' END AS summary FROM documents")
+def summary_cache(spark, sf):
+    """The cache after the missing summaries are made and stored."""
+    keyed = t(spark, sf, "documents").select("doc_id", T.summary_key(F.lit("m"), F.col("doc_id").cast("string"), F.col("text")).alias("summary_key"))
+    cache = keyed.where("doc_id % 3 = 0").select("summary_key", F.lit("kept").alias("summary"))
+    _, missing = indexing.cache_split(keyed, cache, ["summary_key"])
+    return indexing.upsert(cache, missing.select("summary_key", F.lit("made").alias("summary")), ["summary_key"])
 
 
 @query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'none' ELSE 'label ' || quality::VARCHAR END AS llm_summary FROM documents LEFT JOIN labels USING (doc_id)")
@@ -623,10 +739,14 @@ def index_stats(spark, sf):
     return indexing.index_stats(f, indexing.changed_files(f, k), indexing.deleted_files(f, k), doc_chunks(spark, sf))
 
 
-@query("SELECT c_mktsegment AS repo_path, max(c_custkey) AS last FROM customer GROUP BY 1")
+@query("""WITH o AS (SELECT c_nationkey AS repo_path, max(c_custkey) AS last FROM customer WHERE c_nationkey < 15 GROUP BY 1), n AS (SELECT c_nationkey AS repo_path, -max(c_custkey) AS last FROM customer WHERE c_nationkey >= 10 GROUP BY 1)
+SELECT repo_path, coalesce(n.last, o.last) AS last FROM o FULL JOIN n USING (repo_path)""")
 def repo_meta(spark, sf):
-    c = t(spark, sf, "customer").select(F.col("c_mktsegment").alias("repo_path"), F.col("c_custkey").alias("last"))
-    return indexing.upsert(c.where("last < 0"), c.withColumn("at", F.col("last")), ["repo_path"], "at")
+    """Old rows, some replaced by the last of several new ones."""
+    c = t(spark, sf, "customer").select(F.col("c_nationkey").alias("repo_path"), F.col("c_custkey").alias("last"))
+    old = c.where("repo_path < 15").groupBy("repo_path").agg(F.max("last").alias("last"))
+    new = c.where("repo_path >= 10").select("repo_path", (-F.col("last")).alias("last"), F.col("last").alias("at"))
+    return indexing.upsert(old, new, ["repo_path"], "at")
 
 
 @query("SELECT n_name, 'x' AS route_method FROM nation")
@@ -634,16 +754,28 @@ def schema_evolution(spark, sf):
     return indexing.add_column(t(spark, sf, "nation").select("n_name"), "route_method", "string", "x")
 
 
-@query("SELECT d.doc_id AS chunk_id, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id")
+def _vector_index(spark, sf):
+    v = t(spark, sf, "embeddings")
+    return v.select(F.col("vec_id").alias("chunk_id"), F.lit("corpus").alias("repo_path"), F.concat(F.lit("f/"), (F.col("vec_id") % 20).cast("string")).alias("file_path"), F.col("embedding").alias("vector"))
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 'new/' || vec_id::VARCHAR ELSE 'f/' || (vec_id % 20)::VARCHAR END AS file_path, round(CASE WHEN vec_id % 2 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
 def vector_upsert(spark, sf):
-    v = t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id")).join(v, "chunk_id")
+    """A third of the vectors is there; every second one is put in or replaced, with its payload."""
+    all_ = _vector_index(spark, sf)
+    new = all_.where("chunk_id % 2 = 0")
+    chunks = new.select("chunk_id", "repo_path", F.concat(F.lit("new/"), F.col("chunk_id").cast("string")).alias("file_path"))
+    vectors = new.select("chunk_id", F.transform("vector", lambda x: -x).alias("vector"))
+    out = indexing.upsert_vectors(all_.where("chunk_id % 3 = 0"), chunks, vectors)
+    return out.select("chunk_id", "file_path", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
 
 
-@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id % 20 NOT IN (3, 7) AND vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
 def vector_delete(spark, sf):
+    """Vectors go by chunk and by the file of their payload."""
     gone = t(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id"))
-    return indexing.delete(_vectors(spark, sf).select("chunk_id"), gone, ["chunk_id"])
+    paths = spark.createDataFrame([("corpus", "f/3"), ("corpus", "f/7"), ("other", "f/1")], "repo_path string, file_path string")
+    return indexing.delete_vectors(_vector_index(spark, sf), gone, paths).select("chunk_id")
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, median(value) AS p50, max(value) FILTER (i = greatest(1, floor(n * 0.95))) AS p95, max(value) FILTER (i = greatest(1, floor(n * 0.99))) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
@@ -689,3 +821,84 @@ def extract_symbols(spark, sf):
     return found.select("file_path", F.explode("symbols").alias("s")).select("file_path", "s.kind", "s.name", "s.start_line", "s.end_line")
 
 
+_IGNORE = "*.log\n!keep.log\n/src1/\nsub/**/deep\n"
+
+
+@query("""SELECT p FROM (SELECT source || '/' || (['a.py', 'x.log', 'keep.log', 'sub/q/deep/a.py', 'sub/deep/b.py', 'z/sub/q/deep/a.py'])[(doc_id % 6 + 1)::INT] || CASE WHEN doc_id % 6 = 0 THEN doc_id::VARCHAR ELSE '' END AS p FROM documents)
+WHERE NOT starts_with(p, 'src1/') AND NOT (ends_with(p, '.log') AND NOT ends_with(p, '/keep.log')) AND NOT regexp_matches(p, '^sub/(.*/)?deep(/|$)')""")
+def repo_scan_gitignore(spark, sf):
+    """Paths that the root's ignore file leaves."""
+    tail = F.get(S.strings(["a.py", "x.log", "keep.log", "sub/q/deep/a.py", "sub/deep/b.py", "z/sub/q/deep/a.py"]), (F.col("doc_id") % 6).cast("int"))
+    p = F.concat("source", F.lit("/"), tail, F.when(F.col("doc_id") % 6 == 0, F.col("doc_id").cast("string")).otherwise(""))
+    return t(spark, sf, "documents").select(p.alias("p")).where(~repo.IgnoreRules(_IGNORE).ignored(F.col("p")))
+
+
+@query("SELECT doc_id, sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) || 'end' || chr(10)) AS content_hash FROM documents")
+def file_read(spark, sf):
+    """File contents with bad bytes and foreign line ends as text."""
+    ship(spark)
+    raw = F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.unhex(F.lit("0D0AFF")), F.lit("end").cast("binary"), F.unhex(F.lit("C30D")))
+    return t(spark, sf, "documents").select("doc_id", T.content_hash(repo.file_text(raw)).alias("content_hash"))
+
+
+def _parsed(spark, sf, language: str, code: Column) -> DataFrame:
+    ship(spark)
+    files = route_code(spark, sf).select("page_id", F.lit(language).alias("language"), code.alias("text"))
+    found = symbols.with_symbols(files).select("page_id", F.explode("symbols").alias("s"))
+    return found.select("page_id", "s.kind", "s.name", "s.start_line", "s.end_line")
+
+
+@query(f"""WITH {ROUTES}, r AS (SELECT page_id, page_id::VARCHAR AS p FROM routes)
+SELECT page_id, 'route' AS kind, 'view_' || p AS name, 1 AS start_line, 3 AS end_line FROM r UNION ALL SELECT page_id, 'route', NULL, 1, 1 FROM r UNION ALL SELECT page_id, 'function', 'view_' || p, 2, 3 FROM r
+UNION ALL SELECT page_id, 'class', 'Model' || p, 5, 7 FROM r UNION ALL SELECT page_id, 'handler', 'on_handler', 6, 7 FROM r UNION ALL SELECT page_id, 'major_block', NULL, 8, 24 FROM r
+UNION ALL SELECT page_id, 'major_block', NULL, 25, 41 FROM r UNION ALL SELECT page_id, 'function', 'cached', 26, 41 FROM r""")
+def symbols_python(spark, sf):
+    i = F.col("page_id").cast("string")
+    body = "".join(f"\n    x{k} = {k}" for k in range(15))
+    code = F.concat(F.lit("@app."), F.lower("verb"), F.lit("('"), "path", F.lit("')\ndef view_"), i, F.lit("():\n    return 1\n\nclass Model"), i, F.lit(":\n    def on_handler(self):\n        pass\n"),
+                    F.lit("if True:\n    a = 1" + body + "\n"), F.lit("@cache\ndef cached():" + body + "\n"), F.lit("TABLE = [" + "\n 1," * 20 + "\n]\n"))
+    return _parsed(spark, sf, "python", code)
+
+
+@query(f"""WITH {ROUTES}, r AS (SELECT page_id, page_id::VARCHAR AS p, upper(v) || ' ' || path AS n FROM routes)
+SELECT page_id, 'route' AS kind, n AS name, 1 AS start_line, 3 AS end_line FROM r UNION ALL SELECT page_id, 'class', 'A' || p, 5, 7 FROM r UNION ALL SELECT page_id, 'function', 'm', 6, 6 FROM r
+UNION ALL SELECT page_id, 'function', 'f' || p, 8, 10 FROM r UNION ALL SELECT page_id, 'handler', 'onCallback', 11, 11 FROM r""")
+def symbols_js(spark, sf):
+    i = F.col("page_id").cast("string")
+    code = F.concat(F.lit("router."), F.lower("verb"), F.lit("('"), "path", F.lit("', (q) => {\n  done();\n});\n\nclass A"), i, F.lit(" {\n  m() { return 1; }\n}\nfunction f"), i, F.lit("() {\n  return `}`; // }\n}\nconst onCallback = (x) => x + 1;\n"))
+    return _parsed(spark, sf, "javascript", code)
+
+
+@query("SELECT event_id, round_even(value / 7, 6) AS v FROM events")
+def round6(spark, sf):
+    return t(spark, sf, "events").select("event_id", T.round6(F.col("value") / 7).alias("v"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10) || 'last' AS t FROM conversations")
+def strip_fence(spark, sf):
+    fenced = F.concat(F.lit("\n```json\n"), T.collapse(F.col("text")), F.lit("  \nlast \n```\n"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", T.strip_fence(fenced).alias("t"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 5 = 0 THEN text WHEN length(c) <= 220 THEN c ELSE rtrim(left(c, 217)) || '...' END AS rewritten, item_id % 5 <> 0 AND (CASE WHEN length(c) <= 220 THEN c ELSE rtrim(left(c, 217)) || '...' END) <> text AS changed FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' again' AS c FROM benchmark)")
+def rewrite(spark, sf):
+    """Queries through a rewriter whose model repeats them, and fails on every fifth: that one stays as it is."""
+    from .models import Rewriter, TextClient
+
+    ship(spark)
+
+    def run(pdfs):
+        def model(_: str, prompt: str) -> str:
+            number, _, text = prompt.partition("|")
+            if int(number) % 5 == 0:
+                raise ValueError("no model")
+            return f'  "{text} \n again"  '
+
+        ask = Rewriter(TextClient(model, "m", timeout=30), prompt="")
+        for pdf in pdfs:
+            got = [ask(f"{i}|{x}") for i, x in zip(pdf["item_id"], pdf["text"], strict=True)]
+            pdf["rewritten"] = [x if c else old for (x, c, _), old in zip(got, pdf["text"], strict=True)]
+            pdf["changed"] = [c and x != old for (x, c, _), old in zip(got, pdf["text"], strict=True)]
+            yield pdf[["item_id", "rewritten", "changed"]]
+
+    return t(spark, sf, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, rewritten string, changed boolean")

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -56,6 +57,19 @@ class IgnoreRules:
                 out, i = out + re.escape(glob[i]), i + 1
         return out
 
+    def ignored(self, path: Column) -> Column:
+        """Whether a path, or a folder above it, is ignored."""
+        parts = F.split(path, "/")
+        places = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
+
+        def verdict(p: Column) -> Column:
+            out = F.lit(False)
+            for rule, keep in self.rules:
+                out = F.when(p.rlike(rule.pattern), not keep).otherwise(out)
+            return out
+
+        return F.exists(places, verdict)
+
     def ignores(self, relative: str, is_dir: bool) -> bool:
         verdict = False
         for rule, keep in self.rules:
@@ -88,9 +102,22 @@ def read_text(path: str) -> str | None:
         data = Path(path).read_bytes()
     except OSError:
         return None
+    return decoded(data)
+
+
+def decoded(data: bytes) -> str:
     return data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
+def file_text(content: Column) -> Column:
+    """A column of file contents as text; no built-in function leaves bad bytes out."""
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else decoded(bytes(b)))
+
+    return text(content)
+
+
 class _Part(InputPartition):
     def __init__(self, paths: list[tuple[str, str]]):
         self.paths = paths
