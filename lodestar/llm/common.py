@@ -8,6 +8,8 @@ import struct
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -187,8 +189,6 @@ def ranks(nodes: np.ndarray, salt: int) -> np.ndarray:
 
 def packed_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """An edge list of longs as rows of packed arrays (x, y); edges with a null end and loops go."""
-    from collections.abc import Iterator
-
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
@@ -292,6 +292,18 @@ def named_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that Spark hands to Python at once within the block: bounds the memory of workers whose rows are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Store:
     """Tables and folders in the shared folder that one operator needs until its result is stored."""
 

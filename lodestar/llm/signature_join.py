@@ -51,10 +51,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Store, components, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, packed_edges, parted, parts_of, put_bytes, ship, sizes, stars, unpack_ints, unpack_keys
+from .common import Bloom, Store, batches_of, components, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, packed_edges, parted, parts_of, put_bytes, ship, sizes, stars, unpack_ints, unpack_keys
 
 BUCKETS, LEAF, FAN = 512, 32, 6
-BATCH = 4000  # documents described at once
+BATCH = 2000  # documents described at once
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -317,7 +317,12 @@ def runs(pdfs: Iterator, *by: str) -> Iterator:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit: int = 4_000_000, block_sets: int = 128, order_docs: int = 16_000) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, n_shingles and component_id of every document, stored."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, width, num, region_limit, block_sets, order_docs)
+
+
+def _near_duplicates(docs: DataFrame, width: int, num: int, region_limit: int, block_sets: int, order_docs: int) -> DataFrame:
     import pandas as pd
 
     spark = docs.sparkSession
@@ -333,7 +338,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, region_limit
         """A row for each document, and for each batch and bucket one row of packed keys with their documents."""
         names = ["doc_id", "n", "h1", "h2", "rare", "bucket", "keys", "ids"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        for b in (b.slice(lo, BATCH) for b in batches for lo in range(0, b.num_rows, BATCH)):
+        for b in batches:
             n, h1, h2, rare, heads = [], [], [], [], {}
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t, width)
