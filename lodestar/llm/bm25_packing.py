@@ -41,7 +41,7 @@ from .pieces import encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ROW = "rid long, doc_id long, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"
 K1, B = 1.2, 0.75
-RARE, SHARE, AGREE, LIST = 32, 0.4, 3, 4096
+RARE, SHARE, AGREE, LIST = 16, 0.4, 2, 4096
 COMMON, SEEDS = 1 / 10, 32  # terms in more of a shard's documents are scored as a dense product; seeds scored at once
 
 
@@ -309,32 +309,32 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     item = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, base = [], TaskContext.get().partitionId() << 36
+        held, base, fields = [], TaskContext.get().partitionId() << 36, ("place", "doc_id", "doc_tokens", "crcs", "tail", "terms", "counts")
         names = [c.split()[0] for c in PIECES.split(", ")]
 
-        def packed(rows: list[dict]) -> pa.RecordBatch:
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
             nonlocal base
-            shard = Shard([np.frombuffer(r["terms"], "<u4") for r in rows], [np.frombuffer(r["counts"], "<u4") for r in rows], shared.value, mean)
+            _, doc_ids, tokens, crcs, tails, terms, counts = zip(*rows, strict=True)
+            shard = Shard([np.frombuffer(x, "<u4") for x in terms], [np.frombuffer(x, "<u4") for x in counts], shared.value, mean)
             out = []
-            for r in rows:
-                for k, crc in enumerate(r["crcs"]):
-                    out.append((r["doc_id"], k * window, window, crc, r["doc_tokens"], base, 0))
+            for i, own in enumerate(crcs):
+                for k, crc in enumerate(own):
+                    out.append((doc_ids[i], k * window, window, crc, tokens[i], base, 0))
                     base += 1
-            pieces = fill(shard, np.array([len(r["tail"]) // item for r in rows]), window)
+            pieces = fill(shard, np.array([len(x) // item for x in tails]), window)
             for i, first, size, sequence, offset in pieces:
-                r = rows[i]
-                ids = np.frombuffer(r["tail"], dtype)
-                out.append((r["doc_id"], r["doc_tokens"] - len(ids) + first, size, zlib.crc32(ids[first : first + size].astype("<u4").tobytes()), r["doc_tokens"], base + sequence, offset))
+                ids = np.frombuffer(tails[i], dtype)
+                out.append((doc_ids[i], tokens[i] - len(ids) + first, size, zlib.crc32(ids[first : first + size].astype("<u4").tobytes()), tokens[i], base + sequence, offset))
             base += 1 + max((p[3] for p in pieces), default=-1)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
 
         def whole_groups() -> int:
             """Where a shard ends: behind its last document, or the next one that ends a group."""
-            ends = (k for k in range(shard_docs, 2 * shard_docs) if held[k]["place"] != held[k - 1]["place"])
+            ends = (k for k in range(shard_docs, 2 * shard_docs) if held[k][0] != held[k - 1][0])
             return next(ends, shard_docs)
 
         for b in batches:
-            held += b.to_pylist()
+            held += zip(*(b.column(c).to_pylist() for c in fields), strict=True)
             while len(held) >= 2 * shard_docs:
                 at = whole_groups()
                 yield packed(held[:at])

@@ -30,7 +30,7 @@ _BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted(set(r
 class PieceEncoder(dict):
     """Maps a piece (bytes) to its ids as little-endian bytes of ``width``."""
 
-    def __init__(self, path: str, mode: str, width: int = 2, limit: int = 900_000, literal: bool = False):
+    def __init__(self, path: str, mode: str, width: int = 2, limit: int = 450_000, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
