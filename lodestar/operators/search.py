@@ -98,9 +98,14 @@ def intent_score(intents: Column, route_intent: Column, route_method: Column) ->
     return F.when((F.size(intents) == 0) | (F.size(own) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(intents, own)) / F.size(intents))
 
 
+def with_signals(queries: DataFrame) -> DataFrame:
+    """Adds a query's signal and terms, once for each query and not for each candidate."""
+    return queries.withColumn("_s", query_signal(F.col("query"))).withColumn("_q", normalize_terms(F.col("query")))
+
+
 def hybrid_score(df: DataFrame) -> DataFrame:
     """Adds the five signals and ``total`` to rows of query, raw_score and a chunk's columns."""
-    signal = df.withColumn("_s", query_signal(F.col("query"))).withColumn("_q", normalize_terms(F.col("query")))
+    signal = df if "_q" in df.columns else with_signals(df)
     structural = F.concat(F.col("structural_terms"), F.array_compact(F.array(F.lower("route_method"), F.lower("route_intent"))), normalize_terms(F.col("route_resource")))
     out = (signal.withColumn("vector_score", vector_norm(F.col("raw_score")))
            .withColumn("keyword_score", overlap_score(F.col("_q"), F.col("keywords")))
@@ -148,7 +153,7 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, top_k: int
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must lie between 1 and 50")
     hits = vector_topk(queries, vectors, OVER_FETCH * top_k)
-    rows = hits.join(queries.select("query_id", "query"), "query_id").join(chunks, "chunk_id")
+    rows = hits.join(with_signals(queries).select("query_id", "query", "_s", "_q"), "query_id").join(chunks, "chunk_id")
     return rank(heuristics(hybrid_score(rows)), top_k)
 
 

@@ -356,7 +356,7 @@ QUERIES["search"], ORACLE_SQL["search"] = QUERIES.pop("search_"), ORACLE_SQL.pop
 def hybrid_score(spark, sf):
     hits = search.vector_topk(_queries(spark, sf), _vectors(spark, sf), 96)
     q = _queries(spark, sf).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, " create the post").otherwise("")))
-    rows = search.heuristics(search.hybrid_score(hits.join(q.select("query_id", "query"), "query_id").join(_chunk_rows(spark, sf), "chunk_id")))
+    rows = search.heuristics(search.hybrid_score(hits.join(search.with_signals(q).select("query_id", "query", "_s", "_q"), "query_id").join(_chunk_rows(spark, sf), "chunk_id")))
     names = {"v": "vector_score", "k": "keyword_score", "s": "symbol_score", "i": "intent_score", "t": "structural_score", "total": "total"}
     return search.rank(rows, 50).select("query_id", "chunk_id", *[F.round(c, 6).alias(a) for a, c in names.items()])
 
@@ -386,7 +386,7 @@ def hybrid_topk(spark, sf):
     # The candidates are those of eight results; of these the first twenty.
     hits = search.vector_topk(_queries(spark, sf), _vectors(spark, sf), 96)
     q = _queries(spark, sf).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, " create the post").otherwise("")))
-    rows = search.heuristics(search.hybrid_score(hits.join(q.select("query_id", "query"), "query_id").join(_chunk_rows(spark, sf), "chunk_id")))
+    rows = search.heuristics(search.hybrid_score(hits.join(search.with_signals(q).select("query_id", "query", "_s", "_q"), "query_id").join(_chunk_rows(spark, sf), "chunk_id")))
     return search.rank(rows, 20).select("query_id", "rank", "chunk_id")
 
 
