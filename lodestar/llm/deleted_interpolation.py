@@ -16,8 +16,8 @@ under estimates from the others.  Scores use the counts of all training document
    quantised probability ratios, bounded in size whatever the corpus, on which EM runs; then every
    document is scored.
 
-Words are told apart by 62 bits of a hash and longer n-grams by 50, at every size: among 10^9 distinct words one in
-some 10^9 shares its count with another, among 10^10 distinct n-grams one in some 110,000, among 10^12 one in some 1,100.  A document is never split, so one very long document is a block by itself.
+Words and n-grams are told apart by 62 bits of a hash at every size: among 10^9 distinct words one in some 10^9
+shares its count with another, among 10^12 distinct n-grams one in some 4,600,000.  A document is never split, so one very long document is a block by itself.
 
 Defined results: a null or empty text is its end token only; rows of a null doc_id are scored,
 never learned from and not held out; repeated rows count each; an empty table gives an empty
@@ -64,7 +64,7 @@ class Block:
             two = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * mix(prev + np.uint64(2)))
             three = mix(two + np.uint64(0xD1B54A32D192ED03) * mix(prev2 + np.uint64(3)))
         # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.
-        one, two, three = mix(hashes) & ~np.uint64(3) | (~lead).astype(np.uint64), two & ~np.uint64(16383) | np.uint64(2), three & ~np.uint64(16383) | np.uint64(3)
+        one, two, three = mix(hashes) & ~np.uint64(3) | (~lead).astype(np.uint64), two & ~np.uint64(3) | np.uint64(2), three & ~np.uint64(3) | np.uint64(3)
         every = np.concatenate([one, two, three])
         order = np.argsort(every)
         ranked = every[order]
