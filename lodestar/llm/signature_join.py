@@ -11,8 +11,10 @@ Exact links between documents whose word-shingle sets have a Jaccard similarity
 2. Documents of one digest are one class, named by its smallest doc_id.  Copies within a batch go on
    once, so a group of copies costs an entry for each batch.
 3. Sets that share a key are joined; connected components of this graph are regions within which
-   links lie.  In each of them the sets meet once more by the hashes of their prefixes, rare hashes first,
-   whose components are the final regions.  Which hashes are frequent is learnt from a sample of about
+   links lie.  In each of them the sets meet once more by the hashes of their prefixes, rare hashes first.  Sets
+   that share one are joined if their sizes and the parities of their hashes by bucket, of which linked sets differ in few, allow a
+   link; the components are the final regions.  Without that test sets that are merely a little alike chain up,
+   from some size of the corpus on, to one region of a large share of it.  Which hashes are frequent is learnt from a sample of about
    ``order_docs`` documents; any order is correct, this one parts sets that share a common passage only.
 4. The packed sets of the documents in regions of two or more meet by region, once each; the others are
    left out by a Bloom filter of bounded size.  Regions beyond ``block_sets`` sets or ``region_limit`` shingles
@@ -55,6 +57,7 @@ from .common import Bloom, Store, batches_of, components, cut, docs_of, get_byte
 
 BUCKETS, LEAF, FAN = 512, 32, 6
 BATCH = 2000  # documents described at once
+SMALL, LISTED, PIVOTS = 24, 400, 4096  # sets of a prefix hash whose pairs are listed with others', by themselves, and tested at all: more are joined untested
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -261,6 +264,89 @@ def prefix(s: np.ndarray, num: int, frequent: np.ndarray, counts: np.ndarray) ->
     return (s[:take] >> np.uint64(32)).astype("<u4")
 
 
+def parity_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity bitmaps of sets of n hashes: at 0.8 unlike sets differ in half of them, linked ones in fewer."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(1, 0.75 * n))).astype(np.int64), 64, 1 << 13)
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Whether each bucket holds an odd number of hashes.  Two sets differ in no more bits than in hashes."""
+    bits = int(parity_bits(np.array(len(s))))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Sets by size and parity bitmap, and which pairs of them could link."""
+
+    def __init__(self, n: np.ndarray, raw: list[bytes], num: int):
+        self.n, self.num, self.bits = n, num, np.array([len(r) * 8 for r in raw], np.int64)
+        self.row, self.tables = np.zeros((2, len(raw)), np.int64), {}  # a set's row in the table of its own bits and in that of half of them
+        for bits in np.unique(self.bits).tolist():
+            for half in (0, 1):
+                own = np.flatnonzero(self.bits == bits)
+                x = np.frombuffer(b"".join(raw[i] for i in own), "<u8").reshape(len(own), -1)
+                if half and bits == 64:
+                    continue
+                if half:  # the parity over two buckets is that of both bits
+                    x = x[:, : bits // 128] ^ x[:, bits // 128 :]
+                table = self.tables.setdefault(bits >> half, [])
+                self.row[half, own] = sum(map(len, table)) + np.arange(len(own))
+                table.append(x)
+        self.tables = {bits: np.concatenate(t) for bits, t in self.tables.items()}
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m = self.n[a], self.n[b]
+        out = 100 * np.minimum(n, m) >= self.num * np.maximum(n, m)
+        most = n + m - 2 * -(-self.num * (n + m) // (100 + self.num))  # hashes in which linked sets of these sizes differ
+        bits = np.minimum(self.bits[a], self.bits[b])
+        out &= np.maximum(self.bits[a], self.bits[b]) <= 2 * bits if self.num >= 50 else True
+        for k in np.unique(bits[out]).tolist():
+            some = np.flatnonzero(out & (bits == k))
+            for lo in range(0, len(some), step := max(1, (1 << 24) // k)):
+                at = some[lo : lo + step]
+                x, y = (self.tables[k][self.row[(self.bits[i] > k).astype(np.int64), i]] for i in (a[at], b[at]))
+                out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[at]
+        return out
+
+
+def candidates(keys: np.ndarray, sets: np.ndarray, test: Parities) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of an equal key that join the same components as all such pairs that could link, and maybe more."""
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(first, len(keys)))
+    small = np.repeat(size <= SMALL, size)
+    pairs = []
+    for d in range(1, min(SMALL, int(size.max(initial=0)))):
+        at = np.flatnonzero(small[:-d] & (keys[d:] == keys[:-d]))
+        pairs.append(np.unique(sets[at] * len(test.n) + sets[at + d]))
+    a, b = np.divmod(np.unique(np.concatenate(pairs)), len(test.n)) if pairs else (np.zeros(0, np.int64),) * 2
+    fit = np.concatenate([test.may_link(a[lo : lo + 500_000], b[lo : lo + 500_000]) for lo in range(0, len(a), 500_000)] or [np.zeros(0, bool)])
+    x, y = [a[fit]], [b[fit]]
+    done = set()
+    for lo, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        own = np.unique(sets[lo : lo + n])
+        if (mark := own.tobytes()) in done:
+            continue
+        done.add(mark)
+        if len(own) <= LISTED:
+            i, j = np.triu_indices(len(own), 1)
+            near = test.may_link(own[i], own[j])
+            x.append(own[i[near]]), y.append(own[j[near]])
+            continue
+        if len(own) > PIVOTS:
+            x.append(np.full(len(own), own[0])), y.append(own)
+            continue
+        label = np.arange(len(own))  # of the component of each, so that copies of one text are tested once
+        for i in range(len(own) - 1):
+            rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            near = rest[test.may_link(np.full(len(rest), own[i]), own[rest])] if len(rest) else rest
+            if len(near):
+                label[np.isin(label, label[near])] = label[i]
+                x.append(np.full(len(near), own[i])), y.append(own[near])
+    return np.concatenate(x), np.concatenate(y)
+
+
 def frequent_hashes(docs: DataFrame, width: int, order_docs: int, n: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that occur three times or more in a part of a sample of about ``order_docs`` documents, at most ``most`` a part, and their counts."""
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(n, 1))) < order_docs)
@@ -336,35 +422,51 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, region_limit: int, b
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and for each batch and bucket one row of packed keys with their documents."""
-        names = ["doc_id", "n", "h1", "h2", "rare", "bucket", "keys", "ids"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["doc_id", "n", "h1", "h2", "rare", "bits", "bucket", "keys", "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
-            n, h1, h2, rare, heads = [], [], [], [], {}
+            n, h1, h2, rare, bits, heads = [], [], [], [], [], {}
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t, width)
                 x, y = digest(s)
-                n.append(len(s)), h1.append(x), h2.append(y), rare.append(None)
+                n.append(len(s)), h1.append(x), h2.append(y), rare.append(None), bits.append(None)
                 if len(s) and i is not None and ((x, y) not in heads or i < heads[x, y][0]):  # copies in a batch go on once
                     heads[x, y] = (i, heads[x, y][1] if (x, y) in heads else part_keys(s, num))
-                    rare[-1] = prefix(s, num, *order.value).tobytes()
+                    rare[-1], bits[-1] = prefix(s, num, *order.value).tobytes(), parities(s)
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, kinds[1]), pa.array(h1, kinds[2]), pa.array(h2, kinds[3]), pa.array(rare, kinds[4]), *(pa.nulls(rows, k) for k in kinds[5:])], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, kinds[1]), pa.array(h1, kinds[2]), pa.array(h2, kinds[3]), pa.array(rare, kinds[4]), pa.array(bits, kinds[5]), *(pa.nulls(rows, k) for k in kinds[6:])], names=names)
             if heads:
                 some = packed(np.concatenate([k for _, k in heads.values()]), np.repeat(np.array([i for i, _ in heads.values()], np.int64), [len(k) for _, k in heads.values()]), buckets)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:5]), *(pa.array(list(c), k) for c, k in zip(zip(*some), kinds[5:]))], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:6]), *(pa.array(list(c), k) for c, k in zip(zip(*some), kinds[6:]))], names=names)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The prefixes of the sets of regions, packed by bucket, each hash mixed with its region."""
+        """The prefixes of the sets of regions, packed by bucket, each hash mixed with its region; and for each bucket the sets' sizes and parities."""
         for b in batches:
             sets = [np.frombuffer(x, "<u4").astype(np.uint64) for x in b.column("rare").to_pylist()]
             if not sets:
                 continue
-            lens = [len(x) for x in sets]
-            ids, region = np.repeat(b.column("doc_id").to_numpy(), lens), np.repeat(b.column("region").to_numpy().astype(np.uint64), lens)
+            lens, bits = [len(x) for x in sets], b.column("bits").to_pylist()
+            ids, n = b.column("doc_id").to_numpy(), b.column("n").to_numpy()
+            at, region = np.repeat(np.arange(len(sets)), lens), np.repeat(b.column("region").to_numpy().astype(np.uint64), lens)
             with np.errstate(over="ignore"):
                 keys = mix(mix(region + np.uint64(1)) + np.concatenate(sets)) & ~np.uint64(0xFFFF)
-            some = packed(keys, ids, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*some), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "ids"])
+            out = []
+            for k, x, y in packed(keys, at, buckets):
+                own, place = np.unique(unpack_ints(y, np.int64), return_inverse=True)
+                out.append((k, x, pack_ints(place.astype(np.uint32)), pack_ints(ids[own]), pack_ints(n[own]), b"".join(bits[i] for i in own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "keys", "at", "ids", "n", "bits"])
+
+    def meet_near(key, pdf):
+        """Documents of a prefix hash that could link are joined, a star for each component."""
+        ids, n = ([unpack_ints(x, np.int64) for x in pdf[c]] for c in ("ids", "n"))
+        base = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        sets = np.concatenate([unpack_ints(x, np.uint32).astype(np.int64) + lo for x, lo in zip(pdf["at"], base[:-1].tolist(), strict=True)])
+        ids, n = np.concatenate(ids), np.concatenate(n)
+        ends, whole = np.cumsum(parity_bits(n) // 8).tolist(), b"".join(pdf["bits"])
+        test = Parities(n, [whole[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)], num)
+        a, b = candidates(np.concatenate([unpack_keys(x) for x in pdf["keys"]]), sets, test)
+        low, high = stars(ids[a], ids[b])
+        return pd.DataFrame({"x": [pack_ints(low)], "y": [pack_ints(high)]})
 
     def meet(key, pdf):
         """Documents of a key are joined; what the keys of the bucket join is a star for each component."""
@@ -375,16 +477,16 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, region_limit: int, b
         low, high = stars(ids[first][np.cumsum(first) - 1], ids)
         return pd.DataFrame({"x": [pack_ints(low)], "y": [pack_ints(high)]})
 
-    def met(entries: DataFrame) -> DataFrame:
-        found = components(entries.groupBy("bucket").applyInPandas(meet, "x binary, y binary"))
+    def met(entries: DataFrame, how) -> DataFrame:
+        found = components(entries.groupBy("bucket").applyInPandas(how, "x binary, y binary"))
         return found.select(F.col("node").alias("doc_id"), F.col("root").alias("region"))
 
-    described = store.cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, rare binary, bucket int, keys binary, ids binary"), "sets")
+    described = store.cut(docs_of(docs).mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, rare binary, bits binary, bucket int, keys binary, ids binary"), "sets")
     own_rows = described.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
     classes = own_rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    coarse = met(described.where("bucket IS NOT NULL").select("bucket", "keys", "ids"))
-    heads = described.where("rare IS NOT NULL").select("doc_id", "rare").join(coarse, "doc_id")
-    members = met(heads.mapInArrow(again, "bucket int, keys binary, ids binary"))
+    coarse = met(described.where("bucket IS NOT NULL").select("bucket", "keys", "ids"), meet)
+    heads = described.where("rare IS NOT NULL").select("doc_id", "n", "rare", "bits").join(coarse, "doc_id")
+    members = met(heads.mapInArrow(again, "bucket int, keys binary, at binary, ids binary, n binary, bits binary"), meet_near)
     members = store.cut(members.join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id"), "regions")
     large = store.cut(members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where((F.col("sets") > block_sets) | (F.col("total") > region_limit))
                       .select("region", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(2 * F.col("total") / region_limit)).cast("int").alias("blocks")), "large")

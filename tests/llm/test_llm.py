@@ -561,3 +561,31 @@ def test_pipeline_run(spark):
         ids, mine = plain.encode(t or "", add_special_tokens=False).ids + [0], out[out.doc_id == i].sort_values("start")
         assert mine.length.sum() == len(ids) and all(zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in mine.itertuples())
     assert (out.groupby("sequence_id").length.sum() <= 1024).all()
+
+
+def test_prefix_pairs_keep_every_link_and_do_not_chain():
+    """Sets that share a passage but are unlike get no pair; linked ones lie in one component, in groups of any size."""
+    rng = np.random.default_rng(7)
+    passage, sets = rng.integers(0, 2**63, 60).astype(np.uint64), []
+    for k in range(500):
+        sets.append(np.unique(np.concatenate([passage, rng.integers(0, 2**63, int(rng.integers(150, 900))).astype(np.uint64)])))
+    for k in range(0, 100, 2):  # near copies, across the sizes of bitmaps too
+        sets.append(np.unique(np.concatenate([sets[k][int(0.08 * len(sets[k])) :], rng.integers(0, 2**63, int(0.08 * len(sets[k]))).astype(np.uint64)])))
+    links = [(2 * k, 500 + k) for k in range(50)]
+    assert all(100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for i, j in links)
+    test = signature_join.Parities(np.array([len(s) for s in sets]), [signature_join.parities(s) for s in sets], 80)
+    for share in (len(sets), 300, 20):  # sets to a key: pivots, listed by themselves, listed with others
+        keys, own = np.divmod(np.arange(len(sets)), share)
+        near = [(i, j) for i, j in links if i // share == j // share]
+        low, high = common.stars(*signature_join.candidates(keys.astype(np.uint64), own, test))
+        root = dict(zip(high.tolist(), low.tolist()))
+        assert all(root.get(i, i) == root.get(j, j) for i, j in near) and len(root) <= len(near) + 2
+
+
+def test_added_tokens_of_either_case_need_no_slow_search(docs):
+    """Texts are searched for added tokens by plain substrings of any case."""
+    enc = PieceEncoder(BYTE, "lead")
+    assert all(isinstance(a, bytes) for a in enc.added)
+    for t in enc.tok.get_added_tokens_decoder().values():
+        for text in (f"some {t.content} words", f"some {t.content.upper()} words", f"some{t.content}{t.content}"):
+            assert np.frombuffer(enc.encode(text.encode()), enc.dtype).tolist() == enc.whole_ids(text)
