@@ -36,8 +36,8 @@ class PieceEncoder(dict):
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = literal
-        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        added = {t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values() if t.content}
+        self.added = [a for a in added if not any(b in a for b in added - {a})]  # one that holds another needs no search
         self.mode, self.limit, self.spaced = mode, limit, Spaced(self)
         self.width = width if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 8 * width else 4
         # Where the tokenizer folds case itself, folding A-Z beforehand changes nothing and halves the table.
@@ -101,10 +101,12 @@ class PieceEncoder(dict):
         return self.spaced[piece[1:]] if piece[:1] == b" " and len(piece) > 1 else self[piece]
 
     def encode(self, text: bytes) -> bytes:
-        if self.added and self.added.search(text):
-            return self.whole(text)
+        lower = text.lower()  # of bytes: A-Z only
+        for a in self.added:
+            if a in lower:
+                return self.whole(text)
         if self.folds:
-            text = text.lower()
+            text = lower
         if self.mode == "drop":
             return b"".join(map(self.__getitem__, text.split()))
         if not text.isascii() and _ODD.search(text.decode("utf-8", "replace")):
