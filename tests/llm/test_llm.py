@@ -580,3 +580,24 @@ def test_prefix_pairs_keep_every_link_and_do_not_chain():
         low, high = common.stars(*signature_join.candidates(keys.astype(np.uint64), own, test))
         root = dict(zip(high.tolist(), low.tolist()))
         assert all(root.get(i, i) == root.get(j, j) for i, j in near) and len(root) <= len(near) + 2
+
+
+def test_latent_tables_stay_off_the_driver(spark, monkeypatch):
+    """Neither factors nor tables of the search are broadcast or collected."""
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, collect, broadcast = [0], DataFrame.collect, SparkContext.broadcast
+
+    def collected(self):
+        out = collect(self)
+        sent.append(sum(len(v) for r in out for v in r if isinstance(v, (bytes, bytearray))))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", collected)
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(getattr(value, "nbytes", 0)) or broadcast(self, value))
+    items = [(k, invented(k, 24)) for k in range(8)]
+    texts = [(k, invented(500 + k, 40) + " " + items[k][1]) for k in range(8)]
+    got = latent_decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.select("doc_id", "item_id").toLocalIterator()} == {(k, k) for k in range(8)}
+    assert max(sent) < 1 << 20
