@@ -10,6 +10,8 @@ under estimates from the others.  Scores use the counts of all training document
 2. Each block sends its distinct n-grams with their counts to hash buckets, one packed row for
    each block and bucket: counts are summed per block before they are shuffled, so a frequent
    n-gram costs a row's entry for each block, not for each token.  The number of buckets follows the bytes of text.
+   This goes in ``PASSES`` passes, each for a range of the n-grams: its totals are stored and its shuffle files
+   deleted before the next, so that the keys on disk at once are a share of all.
 3. A bucket adds up the counts, in 64 bits, and returns to each block the totals of its own n-grams, without keys;
    those of the fitted documents only for n-grams that the block's deleted documents hold.
 4. With these a block has all it needs.  Deleted documents give a histogram of context buckets and
@@ -31,16 +33,19 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, parts_of, put_bytes, ship, sizes, unpack_ints, unpack_keys
+from .common import Store, cut, docs_of, get_bytes, hash_words, mix, pack_ints, pack_keys, parts_of, put_bytes, ship, shuffles_dropped, sizes, unpack_ints, unpack_keys
 
 HELD, FIT, DELETED = 0, 1, 2
 LEVELS, STEP = 14, 2  # context buckets: powers of two; ratio bins: STEP to an octave
+TOTALS = "bucket int, block long, fit binary, all binary"
+PASSES = 4  # ranges of n-grams that are shuffled one after the other; a power of two, 16 at most
 #: Hashes of the start and the end of a document; no word has them but by chance.
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -65,24 +70,33 @@ class Block:
             three = mix(two + np.uint64(0xD1B54A32D192ED03) * mix(prev2 + np.uint64(3)))
         # The low two bits hold the order: 1 to 3, and 0 for the start sign by itself.
         one, two, three = mix(hashes) & ~np.uint64(3) | (~lead).astype(np.uint64), two & ~np.uint64(3) | np.uint64(2), three & ~np.uint64(3) | np.uint64(3)
-        every = np.concatenate([one, two, three])
-        order = np.argsort(every)
-        ranked = every[order]
+        self.grams = np.concatenate([one, two, three])
+
+    @cached_property
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams in order, and the place of each position's n-grams of the three orders among them."""
+        order = np.argsort(self.grams)
+        ranked = self.grams[order]
         new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        self.unique = ranked[new]
-        group = np.empty(3 * n, np.int32)
+        group = np.empty(len(order), np.int32)
         group[order] = np.cumsum(new, dtype=np.int32) - 1
-        self.at = group.reshape(3, n)
-
-    def counts(self, role: int) -> np.ndarray:
-        pick = self.role == role
-        at = np.concatenate([self.at[0][pick], self.at[1][pick], self.at[2][pick & self.token]])
-        return np.bincount(at, minlength=len(self.unique)).astype(np.uint64)
+        return ranked[new], group.reshape(3, -1)
+
+    def counted(self, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams of one of ``parts`` (a power of two) equal ranges, with their counts in fitted and in deleted documents."""
+        mine = np.flatnonzero(self.grams >> np.uint64(64 - (parts.bit_length() - 1)) == part) if parts > 1 else np.arange(len(self.grams))
+        grams, n = self.grams[mine], len(self.token)
+        order = np.argsort(grams)
+        mine, grams = mine[order], grams[order]
+        new = np.concatenate(([True], grams[1:] != grams[:-1]))[: len(grams)]
+        group, at = np.cumsum(new) - 1, mine % n
+        role = np.where((mine < 2 * n) | self.token[at], self.role[at], HELD)  # no trigram ends in a start sign
+        return grams[new], *(np.bincount(group[role == r], minlength=int(new.sum())).astype(np.uint64) for r in (FIT, DELETED))
 
     def lookups(self, totals: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, ...]:
         """c1, c2, c3 and the counts of both contexts at the tokens in ``pick`` (positions)."""
         c = totals.astype(np.float64)
-        one, two, three = self.at
+        one, two, three = self.ranked[1]
         return c[one[pick]], c[two[pick]], c[three[pick]], c[one[pick - 1]], c[two[pick - 1]]
 
     @staticmethod
@@ -201,15 +215,19 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 1_00
     blocks = made.cut(docs_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(store, "block long, fit long, gone long"), "lm-manifest")
     total = blocks.agg(F.coalesce(F.sum("fit"), F.lit(0)).alias("fit"), F.coalesce(F.sum("gone"), F.lit(0)).alias("gone")).first()
 
-    def send(pdfs: Iterator) -> Iterator:
-        for pdf in pdfs:
-            for block in pdf["block"]:
-                b, _ = Block.load(get_bytes(where(block)))
-                fit, gone = b.counts(FIT), b.counts(DELETED)
-                ends = np.searchsorted(b.unique, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
-                cuts = np.concatenate(([0], ends, [len(b.unique)]))
-                yield pd.DataFrame([(k, block, pack_keys(b.unique[s:e]), pack_ints(fit[s:e]), pack_ints(gone[s:e])) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s],
-                                   columns=["bucket", "block", "keys", "fit", "gone"])
+    def sender(part: int):
+        def send(pdfs: Iterator) -> Iterator:
+            for pdf in pdfs:
+                for block in pdf["block"]:
+                    b, _ = Block.load(get_bytes(where(block)))
+                    keys, fit, gone = b.counted(part, PASSES)
+                    first, own = part * (buckets // PASSES), buckets // PASSES
+                    ends = np.searchsorted(keys, np.arange(first + 1, first + own, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1)))
+                    cuts = np.concatenate(([0], ends, [len(keys)]))
+                    yield pd.DataFrame([(first + k, block, pack_keys(keys[s:e]), pack_ints(fit[s:e]), pack_ints(gone[s:e])) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s],
+                                       columns=["bucket", "block", "keys", "fit", "gone"])
+
+        return send
 
     def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_keys(k) for k in pdf["keys"]]
@@ -230,7 +248,12 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1, block_tokens: int = 1_00
         return pd.DataFrame(rows, columns=["bucket", "block", "fit", "all"])
 
     spread = blocks.select("block").repartition(4 * parts, "block")
-    totals = made.cut(spread.mapInPandas(send, "bucket int, block long, keys binary, fit binary, gone binary").groupBy("bucket").applyInPandas(add_up, "bucket int, block long, fit binary, all binary"), "lm-totals")
+    added = [made.path("lm-totals") for _ in range(PASSES)]
+    with shuffles_dropped(spark):
+        for part, path in enumerate(added):
+            sent = spread.mapInPandas(sender(part), "bucket int, block long, keys binary, fit binary, gone binary")
+            sent.groupBy("bucket").applyInPandas(add_up, TOTALS).write.option("compression", "zstd").parquet(path)
+    totals = spark.read.schema(TOTALS).parquet(*added)
     v_fit = v_all = 0
     for r in totals.where("block = -1").select("fit").collect():  # one row for each bucket
         x, y = struct.unpack("<qq", r["fit"])

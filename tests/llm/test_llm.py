@@ -601,3 +601,21 @@ def test_latent_tables_stay_off_the_driver(spark, monkeypatch):
     got = latent_decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.select("doc_id", "item_id").toLocalIterator()} == {(k, k) for k in range(8)}
     assert max(sent) < 1 << 20
+
+
+def test_ranges_of_ngrams_are_whole():
+    """The ranges that are shuffled one after the other hold each n-gram of a block once, with the counts of all."""
+    rng = np.random.default_rng(5)
+    lengths, roles = np.array([400, 1, 250, 90]), np.array([deleted_interpolation.FIT, deleted_interpolation.DELETED, deleted_interpolation.HELD, deleted_interpolation.DELETED], np.uint8)
+    words = common.mix(rng.integers(0, 60, lengths.sum()).astype(np.uint64))
+    hashes = np.concatenate([np.concatenate(([deleted_interpolation.START], w)) for w in np.split(words, np.cumsum(lengths)[:-1])])
+    b = deleted_interpolation.Block(hashes, lengths, roles)
+    ranges = [b.counted(k, 4) for k in range(4)]
+    keys, fit, gone = (np.concatenate(x) for x in zip(*ranges, strict=True))
+    assert (keys == b.ranked[0]).all() and all(len(r[0]) for r in ranges)
+    for role, got in ((deleted_interpolation.FIT, fit), (deleted_interpolation.DELETED, gone)):
+        one, two, three = b.ranked[1]
+        want = collections.Counter()
+        for k in np.flatnonzero(b.role == role).tolist():
+            want.update([one[k], two[k]] + [three[k]] * bool(b.token[k]))
+        assert {k: n for k, n in enumerate(got.tolist()) if n} == dict(want)
