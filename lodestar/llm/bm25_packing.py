@@ -53,8 +53,8 @@ def encode(docs: DataFrame, tokenizer: str, window: int, end_id: int, store: Sto
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             out: dict[str, list] = {"doc_tokens": [], "crcs": [], "tail": [], "terms": [], "counts": []}
-            for text in b.column("text").to_pylist():
-                ids = np.frombuffer(enc.encode(text) + end, enc.dtype).astype("<u4")
+            for own in enc.encode_all(b.column("text").to_pylist()):
+                ids = np.frombuffer(own + end, enc.dtype).astype("<u4")
                 full = len(ids) // window * window
                 out["doc_tokens"].append(len(ids))
                 out["crcs"].append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, full, window)])

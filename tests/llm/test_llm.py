@@ -1,6 +1,7 @@
 """Brute-force, round-trip and edge-case tests of the training-data operators on small tables."""
 
 import collections
+import json
 import math
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import bm25_packing, boosted_quality, common, deleted_interpolation, latent_decontam, quality_rules, signature_join, surrogates, token_frames, toxicity, url_filter
-from lodestar.llm.pieces import PieceEncoder
+from lodestar.llm.pieces import Merges, PieceEncoder
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = common.tokenizer_path("word_bpe_49k.json"), common.tokenizer_path("byte_bpe_50k.json")
@@ -619,3 +620,23 @@ def test_ranges_of_ngrams_are_whole():
         for k in np.flatnonzero(b.role == role).tolist():
             want.update([one[k], two[k]] + [three[k]] * bool(b.token[k]))
         assert {k: n for k, n in enumerate(got.tolist()) if n} == dict(want)
+
+
+def test_many_texts_are_encoded_as_one_by_one(docs):
+    """New words are merged side by side: the ids are the library's, also for odd texts and once the table is full."""
+    from tokenizers import Tokenizer
+
+    texts = [t for _, t in rows(docs)] + SPECIAL
+    odd = ["", " ", "  a  b", " a", "a ", "it's don't we'll 'x' a'", "a\nb \nc\n d\n\ne f.\n", "tab\tx\r\ny", "x\0y a\0 a", "Ärger über ÀÉ×÷ ªµº ßéÿ ƀɏ ɐ", "naïve,... --- a1b2 ١٢ 10.5", "́a é",
+           "日本語 текст عربى 😀 ok", "w" * 30, "x" * 300 + " " + "Ab" * 90 + ".", "a<|endoftext|>b", "a b  c", "x " * 20 + "y", "zz zz zz zz.zz", "the\n\n\nend", ".\n", "\nfirst line", "a.\nb.\nc!?\n#d"]
+    texts += odd + [" ".join(odd)] + [a + " " + b for a in odd for b in odd]
+    plain = Tokenizer.from_file(BYTE)
+    true = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for bits in (21, 8):
+        enc = PieceEncoder(BYTE, "lead")
+        enc.many = Merges(json.loads(enc.tok.to_str())["model"], enc.dtype, bits)
+        for block in (1 << 19, 700):
+            got = enc.encode_all([t.encode() for t in texts], block)
+            assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == true
+        assert enc.many.held <= (1 << bits) / 2
+    assert enc.encode_all([]) == [] and enc.encode_all([b"\xff\xfe a\xc3 \xe9"]) == [enc.whole(b"\xff\xfe a\xc3 \xe9")]
