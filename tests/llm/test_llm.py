@@ -640,3 +640,44 @@ def test_many_texts_are_encoded_as_one_by_one(docs):
             assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == true
         assert enc.many.held <= (1 << bits) / 2
     assert enc.encode_all([]) == [] and enc.encode_all([b"\xff\xfe a\xc3 \xe9"]) == [enc.whole(b"\xff\xfe a\xc3 \xe9")]
+
+
+def test_candidates_of_many_documents(monkeypatch):
+    """Windows of many documents at once against each window by itself: short, empty, repeated and long documents (in pieces)."""
+    monkeypatch.setattr(latent_decontam, "PIECE", 512)
+    items = latent_decontam.Items([(k, invented(k, 12 + 5 * (k % 9))) for k in range(30)])
+    idf = np.random.default_rng(5).uniform(0.5, 3, latent_decontam.DIM)
+    latent = np.linalg.qr(np.array([np.bincount(latent_decontam.feature(c), minlength=latent_decontam.DIM) * idf for c in items.codes]).T)[0].astype(np.float32)
+    s = latent_decontam.Searcher(items, latent, idf, 0.38, 0.75, 0.5)
+    texts = [" ".join([invented(100 + k, n), invented(k % 30, 12 + 5 * (k % 30 % 9)), invented(200 + k, 3 * n)]) for k, n in enumerate((0, 1, 7, 20, 64, 300, 900))] + ["", "one", "again " * 40, invented(7, 20)]
+    docs = [latent_decontam.word_codes(t.encode()) for t in texts]
+    word = latent * idf[:, None]
+    at = [np.bincount(latent_decontam.feature(c), minlength=latent_decontam.DIM) * idf for c in items.codes]
+    for codes, got in zip(docs, s.candidates(docs), strict=True):
+        f, want = latent_decontam.feature(codes), {}
+        for i, item in enumerate(at):
+            width = latent_decontam.WINDOWS[items.classes[i]]
+            for lo in range(0, max(1, -(-len(f) // 8) * 8 - width + 1), 8):
+                v = np.bincount(f[lo : lo + width], minlength=latent_decontam.DIM) * idf
+                if v.any():
+                    want[i, lo, min(len(f), lo + width)] = (v @ latent) @ (item @ latent) / np.linalg.norm(item) / np.linalg.norm(v)
+        found = {(i, a, b): c for i, a, b, c in got}
+        inside = {x for x in found if x in want}  # the last windows of a piece can be shorter ones
+        assert all(abs(found[x] - want[x]) < 1e-4 for x in inside) and all(x in found for x, c in want.items() if c >= 0.3801)
+        assert len(codes) > 512 or len(inside) == len(found)
+    assert sum(map(len, s.candidates(docs))) > 20 and s.candidates([]) == []
+
+
+def test_word_hashes_by_place_in_text():
+    """The sum over the places in the text, taken back to the word, is the sum over the places in the word."""
+    mask = (1 << 64) - 1
+
+    def one(word):
+        h = len(word)
+        for i, c in enumerate(word):
+            h += (c + 1) * pow(0x9E3779B97F4A7C15, (i & 511) + 1, 1 << 64) * (2 * (i >> 9) + 1 if len(word) > 512 else 1)
+        return h & mask
+
+    for text in (b"", b" \n", b"a", b"Some WORDS\tof a  text ", b"x" * 512, b"y " + b"x" * 513 + b" z", b"ab\xff\x00 c " * 40000):
+        assert common.hash_words(text).tolist() == common.mix(np.array([one(w) for w in common.lower_words(text)], np.uint64)).tolist()
+    assert len(common._AT) == 1 << 18 and int(common._AT[5]) * int(common._BACK[5]) & mask == 0x9E3779B97F4A7C15
